@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from colsense.functions.text import as_col, py_strip
+from colsense.functions.text import as_col, let, py_strip
 
 _D = r"[0-9]{1,2}"
 _Y4 = r"[0-9]{4}"
@@ -68,6 +68,11 @@ def parse_ntz(s: Column, pattern: str, zoned: bool) -> Column:
 def to_datetime(c, formats=None) -> Column:
     """First format in ``formats`` whose shape and pattern both accept the value."""
     formats = DATETIME_FORMATS if formats is None else formats
-    s = F.regexp_replace(F.regexp_replace(py_strip(as_col(c)), _WEEKDAY, ""), _LONG_FRACTION, "$1")
-    return F.coalesce(*[F.when(s.rlike(shape), parse_ntz(s, pat, zoned))
-                        for shape, pat, zoned in formats])
+    prepared = F.regexp_replace(F.regexp_replace(py_strip(as_col(c)), _WEEKDAY, ""),
+                                _LONG_FRACTION, "$1")
+    # one combined guard first: text that fits no shape costs a single regex
+    any_shape = "|".join("(?:" + shape + ")" for shape in dict.fromkeys(f[0] for f in formats))
+    return let(prepared, lambda s: F.when(
+        s.rlike(any_shape),
+        F.coalesce(*[F.when(s.rlike(shape), parse_ntz(s, pat, zoned))
+                     for shape, pat, zoned in formats])))

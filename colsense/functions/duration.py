@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from colsense.functions.text import guarded_double, norm, ws
+from colsense.functions.text import guarded_double, let, norm, ws
 from colsense.functions.vocab import DAY_WORDS
 
 _SUFFIX = "(?Ud)" + ws(r"\s*(days?|d)\s*$")
@@ -14,14 +14,17 @@ _PLAIN_DAYS = r"^-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"
 
 def duration_days(c) -> Column:
     """Days as DOUBLE, or null.  ``P<n>D``; ``<n>[ day|days|d]``; zero..ten."""
-    s = norm(c)
-    iso = s.startswith("p") & s.endswith("d")
-    iso_days = guarded_double(F.substr(s, F.lit(2), F.length(s) - 2))
-    u = F.regexp_replace(s, _SUFFIX, "")
     words = F.create_map(*[x for k, v in DAY_WORDS.items() for x in (F.lit(k), F.lit(float(v)))])
-    plain = F.when(u.rlike(_PLAIN_DAYS), u.cast("double")).otherwise(F.element_at(words, u))
-    days = F.when(iso, iso_days).otherwise(plain)
-    return F.when(~F.isnan(days), days)
+
+    def plain(u):
+        return F.when(u.rlike(_PLAIN_DAYS), u.cast("double")).otherwise(F.element_at(words, u))
+
+    def days(s):
+        iso = s.startswith("p") & s.endswith("d")
+        iso_days = guarded_double(F.substr(s, F.lit(2), F.length(s) - 2))
+        return F.when(iso, iso_days).otherwise(let(F.regexp_replace(s, _SUFFIX, ""), plain))
+
+    return let(let(norm(c), days), lambda d: F.when(~F.isnan(d), d))
 
 
 def days_to_interval(days) -> Column:

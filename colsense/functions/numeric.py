@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from colsense.functions.text import FLOAT_GUARD, as_col, guarded_double, norm, py_strip, ws
+from colsense.functions.text import FLOAT_GUARD, as_col, guarded_double, let, norm, py_strip, ws
 from colsense.functions.vocab import CURRENCY_CODES, CURRENCY_SYMBOLS
 
 _SYMBOLS = "[" + "".join(CURRENCY_SYMBOLS) + "]"
@@ -56,20 +56,31 @@ def _signed_one(sign: Column) -> Column:
 def complex_parts(s: Column) -> Column:
     """N1 on an already trimmed, lower-cased value: struct(ok, re, im)."""
     z = F.regexp_replace(F.regexp_replace(s, "i", "j"), "(?U)([0-9])" + ws(r"\s*") + "j", "$1j")
-    body = F.when(z.rlike(_BRACKETED), py_strip(F.regexp_extract(z, _BRACKETED, 1))).otherwise(z)
-    ok = body.rlike(COMPLEX_REGEX)
-    g1 = F.regexp_extract(body, COMPLEX_REGEX, 1)
-    g2 = F.regexp_extract(body, COMPLEX_REGEX, 2)
-    g3 = F.regexp_extract(body, COMPLEX_REGEX, 3)
-    g4 = F.regexp_extract(body, COMPLEX_REGEX, 4)
-    g5 = F.regexp_extract(body, COMPLEX_REGEX, 5)
-    imag_only = g1 != ""
-    both = g3 != ""
-    re_ = F.when(both, g2.cast("double")).otherwise(F.lit(0.0))
-    im = (F.when(imag_only, g1.cast("double"))
-          .when(both, F.when(g4 != "", F.concat(g3, g4).cast("double")).otherwise(_signed_one(g3)))
-          .otherwise(_signed_one(g5)))
-    return F.struct(ok.alias("ok"), F.when(ok, re_).alias("re"), F.when(ok, im).alias("im"))
+
+    def parse(body):
+        def fields(g):
+            imag_only = g[0] != ""
+            both = g[2] != ""
+            re_ = F.when(both, g[1].cast("double")).otherwise(F.lit(0.0))
+            im = (F.when(imag_only, g[0].cast("double"))
+                  .when(both, F.when(g[3] != "", F.concat(g[2], g[3]).cast("double"))
+                        .otherwise(_signed_one(g[2])))
+                  .otherwise(_signed_one(g[4])))
+            return F.when(g.isNotNull(), F.struct(F.lit(True).alias("ok"), re_.alias("re"),
+                                                  im.alias("im")))
+        groups = F.when(body.rlike(COMPLEX_REGEX),
+                        F.array(*[F.regexp_extract(body, COMPLEX_REGEX, i) for i in range(1, 6)]))
+        parsed = let(groups, fields)
+        return F.coalesce(parsed, F.struct(F.lit(False).alias("ok"),
+                                           F.lit(None).cast("double").alias("re"),
+                                           F.lit(None).cast("double").alias("im")))
+
+    return let(z, lambda zz: parse_body(zz, parse))
+
+
+def parse_body(z: Column, parse) -> Column:
+    return let(F.when(z.rlike(_BRACKETED), py_strip(F.regexp_extract(z, _BRACKETED, 1))).otherwise(z),
+               parse)
 
 
 def strip_currency(s: Column, currency_codes: bool = False) -> Column:
@@ -80,40 +91,52 @@ def strip_currency(s: Column, currency_codes: bool = False) -> Column:
         sign = F.when(F.regexp_extract(s, rx, 1).contains("-"), F.lit("-")).otherwise(F.lit(""))
         return F.concat(sign, F.regexp_extract(s, rx, 2))
 
-    return F.when(s.rlike(pre), signed(pre)).when(s.rlike(suf), signed(suf)).otherwise(s)
+    has_symbol = F.length(F.translate(s, "".join(CURRENCY_SYMBOLS), "")) < F.length(s)
+    if currency_codes:
+        has_symbol = has_symbol | s.rlike("|".join(c.lower() for c in CURRENCY_CODES))
+    return (F.when(~has_symbol, s).when(s.rlike(pre), signed(pre))
+            .when(s.rlike(suf), signed(suf)).otherwise(s))
 
 
 def separators(t: Column, strict_numbers: bool = False) -> Column:
     """Drop commas; with several dots keep only the last one."""
-    u = F.regexp_replace(t, ",", "")
-    if strict_numbers:
-        return F.when(~u.rlike(r"\..*\."), u)
-    return F.regexp_replace(u, r"(?s)\.(?=.*\.)", "")
+    def dots(u):
+        several = F.length(u) - F.length(F.replace(u, F.lit("."), F.lit(""))) > 1
+        if strict_numbers:
+            return F.when(~several, u)
+        return F.when(several, F.regexp_replace(u, r"(?s)\.(?=.*\.)", "")).otherwise(u)
+    return let(F.replace(t, F.lit(","), F.lit("")), dots)
 
 
 def numeric_parts(c, currency_codes: bool = False, strict_numbers: bool = False) -> Column:
     """The full numeric cleaner."""
-    s = norm(c)
-    is_cplx = s.contains("i") | s.contains("j")
-    cp = complex_parts(s)
-    t = strip_currency(s, currency_codes)
-    pct = t.endswith("%")
-    sci = t.contains("e")
-    plain = separators(t, strict_numbers)
-    value = (F.when(pct, guarded_double(F.regexp_replace(t, "%+$", "")) / F.lit(100.0))
-             .when(sci, guarded_double(t))
-             .otherwise(guarded_double(plain)))
-    token = F.when(~pct & ~sci, plain)
-    real_ok = value.isNotNull() & ~F.isnan(value)
-    ok = F.when(is_cplx, cp["ok"]).otherwise(real_ok)
-    return F.struct(
-        F.coalesce(ok, F.lit(False)).alias("ok"),
-        F.when(~is_cplx & real_ok, value).alias("value"),
-        F.when(~is_cplx & real_ok, token).alias("token"),
-        (is_cplx & cp["ok"]).alias("cplx"),
-        F.when(is_cplx, cp["re"]).when(real_ok, value).alias("re"),
-        F.when(is_cplx, cp["im"]).when(real_ok, F.lit(0.0)).alias("im"),
-    )
+
+    def real(t):
+        pct = t.endswith("%")
+        sci = t.contains("e")
+
+        def finish(plain):
+            value = (F.when(pct, guarded_double(F.regexp_replace(t, "%+$", "")) / F.lit(100.0))
+                     .when(sci, guarded_double(t))
+                     .otherwise(guarded_double(plain)))
+            return let(F.when(~F.isnan(value), value),
+                       lambda v: F.struct(v.isNotNull().alias("ok"), v.alias("value"),
+                                          F.when(v.isNotNull() & ~pct & ~sci, plain).alias("token"),
+                                          F.lit(False).alias("cplx"), v.alias("re"),
+                                          F.when(v.isNotNull(), F.lit(0.0)).alias("im")))
+        return let(separators(t, strict_numbers), finish)
+
+    def branch(s):
+        is_cplx = s.contains("i") | s.contains("j")
+
+        def from_complex(cp):
+            return F.struct(cp["ok"].alias("ok"), F.lit(None).cast("double").alias("value"),
+                            F.lit(None).cast("string").alias("token"), cp["ok"].alias("cplx"),
+                            cp["re"].alias("re"), cp["im"].alias("im"))
+        return F.when(is_cplx, let(complex_parts(s), from_complex)).otherwise(
+            let(strip_currency(s, currency_codes), real))
+
+    return let(norm(c), branch)
 
 
 def is_integral(value: Column) -> Column:
@@ -127,13 +150,15 @@ def to_double(c, **kw) -> Column:
 
 def to_bigint(parts: Column) -> Column:
     """Exact BIGINT: integral tokens keep every digit (fix Q7)."""
-    tok = parts["token"]
-    exact = F.when(tok.rlike(_INT_TOKEN), py_strip(tok).try_cast("bigint"))
-    return F.coalesce(exact, F.when(is_integral(parts["value"]), parts["value"].cast("bigint")))
+    def pick(p):
+        tok = p["token"]
+        exact = F.when(tok.rlike(_INT_TOKEN), py_strip(tok).try_cast("bigint"))
+        return F.coalesce(exact, F.when(is_integral(p["value"]), p["value"].cast("bigint")))
+    return let(parts, pick)
 
 
 def to_complex(parts: Column) -> Column:
-    return F.when(parts["ok"], F.struct(parts["re"].alias("re"), parts["im"].alias("im")))
+    return let(parts, lambda p: F.when(p["ok"], F.struct(p["re"].alias("re"), p["im"].alias("im"))))
 
 
 def strict_double(c) -> Column:

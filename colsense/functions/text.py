@@ -33,8 +33,18 @@ FLOAT_BODY = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?"
 FLOAT_GUARD = "(?Ui)^" + WS_CLASS + "*" + FLOAT_BODY + WS_CLASS + "*$"
 
 
+_FLOAT_CAPTURE = "(?Ui)^" + WS_CLASS + "*(" + FLOAT_BODY + ")" + WS_CLASS + "*$"
+
+
 def guarded_double(c) -> Column:
-    """float(x) or null.  The guard keeps out what Java accepts and Python
-    does not (``5d``, ``5f``, ``0x1p3``) before the cast runs."""
-    c = as_col(c)
-    return F.when(c.rlike(FLOAT_GUARD), py_strip(c).try_cast("double"))
+    """float(x) or null.  Only text of Python's float grammar reaches the
+    cast, which keeps out what Java accepts and Python does not (``5d``,
+    ``5f``, ``0x1p3``); no match extracts "" and the cast gives null."""
+    return F.regexp_extract(as_col(c), _FLOAT_CAPTURE, 1).try_cast("double")
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a Column -> Column
+    function) that may use it many times.  Without the binding, every use
+    would copy the whole expression tree of ``value``."""
+    return F.transform(F.array(value), body).getItem(0)
