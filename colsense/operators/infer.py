@@ -52,11 +52,11 @@ def decide(prof: DataFrame, overrides: Mapping[str, str] | None = None) -> DataF
                .otherwise(F.lit(V.FLOAT)))
     cascade = (F.when(F.col("n_non_null") == 0, F.lit(V.OBJECT))
                .when(F.col("all_bool"), F.lit(V.BOOL))
-               .when(F.col("n_numeric") / sampled >= V.NUMERIC_MIN_RATIO, numeric)
-               .when((F.col("n_distinct") / F.col("n_rows") <= max_ratio)
+               .when(F.try_divide(F.col("n_numeric"), sampled) >= V.NUMERIC_MIN_RATIO, numeric)
+               .when((F.try_divide(F.col("n_distinct"), F.col("n_rows")) <= max_ratio)
                      | (F.col("n_distinct") <= max_count), F.lit(V.CATEGORY))
-               .when(F.col("n_duration") / sampled > V.DURATION_MIN_RATIO, F.lit(V.DURATION))
-               .when(F.col("n_datetime") / sampled > V.DATETIME_MIN_RATIO, F.lit(V.DATETIME))
+               .when(F.try_divide(F.col("n_duration"), sampled) > V.DURATION_MIN_RATIO, F.lit(V.DURATION))
+               .when(F.try_divide(F.col("n_datetime"), sampled) > V.DATETIME_MIN_RATIO, F.lit(V.DATETIME))
                .otherwise(F.lit(V.OBJECT)))
     return (prof
             .withColumn("requested_type", req)

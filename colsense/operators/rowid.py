@@ -1,10 +1,14 @@
 """L3: contiguous row ids (0, 1, 2, ...) without a single-partition window.
 
-With ``order_by`` the rows are range-partitioned and sorted on the key, each
-partition is numbered locally (monotonically_increasing_id keeps partition
-order) and shifted by the row count of the partitions before it.  Without a
-key the current partition order is used - for a file scan that is split
-order; ``sources.csv.read_csv`` uses file order explicitly.
+With ``order_by`` the rows are range-partitioned and sorted on the key, and
+that sorted result is checkpointed to the shared checkpoint folder: range
+bounds are sampled, and two evaluations of the same range shuffle may draw
+different bounds, so the row counts and the numbering must read one fixed
+copy.  The checkpoint also cuts lineage, so a lost executor cannot change the
+ids.  Each partition is numbered locally (monotonically_increasing_id keeps
+partition order) and shifted by the row count of the partitions before it.
+Without a key the current partition order is used - for a file scan that is
+split order, which is deterministic.
 
 The offsets table has one row per partition, so it is broadcast with a size
 bound that does not grow with the data (partition count only).  Keys should
@@ -18,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colsense.sources.storage import checkpoint_dir
+
 
 def _num_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -30,7 +36,8 @@ def with_row_id(df: DataFrame, order_by: Sequence[str] | None = None, name: str
         n = num_partitions or _num_partitions(df)
         # explicit partition count: AQE does not coalesce it, so both uses of
         # the numbered rows below see the same partitions
-        df = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
+        checkpoint_dir(df.sparkSession)
+        df = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by).checkpoint(eager=True)
     tagged = (df.withColumn("_pid", F.spark_partition_id())
                 .withColumn("_mid", F.monotonically_increasing_id()))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
