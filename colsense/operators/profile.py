@@ -98,7 +98,7 @@ def sample_weight(row_id: Column, fractions: Mapping[str, float]) -> Column:
     The draw is a hash of (row id, column): order-independent, repeatable,
     no sort and no state; about n rows are kept rather than exactly n."""
     m = F.create_map(*[x for k, fr in fractions.items() for x in (F.lit(k), F.lit(float(fr)))])
-    u = (F.xxhash64(row_id, F.col("column")) & F.lit(0x7FFFFFFFFFFFFFFF)) / F.lit(float(2 ** 63))
+    u = F.xxhash64(row_id, F.col("column")).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)) / F.lit(float(2 ** 63))
     return F.when(u < F.coalesce(F.element_at(m, F.col("column")), F.lit(1.0)), 1).otherwise(0)
 
 

@@ -28,6 +28,9 @@ from colsense.plans import sqlflags as S
 from colsense.plans.dirty import DIRTY_COLUMNS, dirty_orders, dirty_orders_sql
 from colsense.plans.tables import load, raw_table
 from colsense.plans.textsql import TABLE_COLUMNS, text_sql
+from colsense.sources.csv import read_csv, write_csv
+from colsense.sources.encoding import audit_encodings
+from colsense.sources.storage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -425,3 +428,65 @@ register("category_dictionary",
          "SELECT value, CAST(dense_rank() OVER (ORDER BY value) - 1 AS BIGINT) AS code "
          "FROM (SELECT DISTINCT o_orderpriority AS value FROM orders WHERE o_orderpriority IS NOT NULL)")(
     lambda spark, d: category_dictionary(load(spark, d, "orders"), "o_orderpriority"))
+
+# --------------------------------------------------------------- CSV source
+
+def _orders_text(spark, d):
+    return raw_table(spark, d, "orders")
+
+
+def _written(spark, d, name, header=True, encoding=None):
+    path = scratch_path(spark, name)
+    write_csv(_orders_text(spark, d).drop("row_id"), path, header=header, encoding=encoding)
+    return path
+
+
+_ORDERS_TEXT_SQL = text_sql("orders")
+register("csv_roundtrip", _ORDERS_TEXT_SQL)(
+    lambda spark, d: read_csv(spark, _written(spark, d, "csv_roundtrip")))
+
+_HEADERLESS = ", ".join(f"{c} AS Column_{i + 1}" for i, c in enumerate(TABLE_COLUMNS["orders"]))
+register("csv_headerless", f"SELECT row_id, {_HEADERLESS} FROM ({_ORDERS_TEXT_SQL})")(
+    lambda spark, d: read_csv(spark, _written(spark, d, "csv_headerless", header=False), has_headers=False))
+
+_RAGGED_SQL_COLS = ", ".join(
+    (f"CASE WHEN CAST(o_orderkey AS BIGINT) % 11 = 5 THEN NULL ELSE {c} END AS Column_{i + 1}"
+     if i == len(TABLE_COLUMNS["orders"]) - 1 else f"{c} AS Column_{i + 1}")
+    for i, c in enumerate(TABLE_COLUMNS["orders"]))
+register("csv_ragged",
+         f"SELECT CAST(row_number() OVER (ORDER BY row_id) - 1 AS BIGINT) AS row_id, * EXCLUDE (row_id) FROM "
+         f"(SELECT row_id, {_RAGGED_SQL_COLS} FROM ({_ORDERS_TEXT_SQL}) WHERE CAST(o_orderkey AS BIGINT) % 7 <> 3)")
+
+
+@register("csv_ragged")
+def _csv_ragged(spark, d):
+    """Lines with an extra field (key % 7 = 3) are dropped; lines missing the
+    last field (key % 11 = 5) are padded with null."""
+    t = _orders_text(spark, d)
+    cols = [c for c in t.columns if c != "row_id"]
+    key = F.col("o_orderkey").cast("long")
+    line = (F.when(key % 7 == 3, F.concat_ws(",", *cols, F.lit("extra")))
+            .when(key % 11 == 5, F.concat_ws(",", *cols[:-1]))
+            .otherwise(F.concat_ws(",", *cols)))
+    path = scratch_path(spark, "csv_ragged")
+    t.select(line.alias("value")).write.mode("overwrite").text(path)
+    return read_csv(spark, path, has_headers=False)
+
+
+@register("encoding_audit")
+def _encoding_audit(spark, d):
+    """Documents text written as UTF-8 and as Latin-1 files; one row per file."""
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    base = scratch_path(spark, "encoding_audit")
+    docs.write.mode("overwrite").option("encoding", "UTF-8").csv(base + "/utf8")
+    docs.write.mode("overwrite").option("encoding", "ISO-8859-1").csv(base + "/latin1")
+    return audit_encodings(spark, base + "/*").select(
+        F.regexp_extract("path", r"/(utf8|latin1)/", 1).alias("written_as"), "encoding", "n_lines")
+
+
+@register("sample_deterministic")
+def _sample_deterministic(spark, d):
+    """Hash sample of about 1 000 non-null values per column of events."""
+    raw = raw_table(spark, d, "events")
+    return decide(profile(raw, [c for c in raw.columns if c != "row_id"], sample_rows=1000,
+                          row_id="row_id")).select("column", "n_non_null", "n_sampled", "inferred_type")
