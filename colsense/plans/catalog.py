@@ -490,3 +490,17 @@ def _sample_deterministic(spark, d):
     raw = raw_table(spark, d, "events")
     return decide(profile(raw, [c for c in raw.columns if c != "row_id"], sample_rows=1000,
                           row_id="row_id")).select("column", "n_non_null", "n_sampled", "inferred_type")
+
+
+# --------------------------------------------------------------- streaming
+
+@register("stream_chunk_types")
+def _stream_chunk_types(spark, d):
+    """Orders text written as CSV files, typed one file per micro-batch, merged."""
+    from colsense.streaming import merged_stream_types, start_typing_stream
+    src = _written(spark, d, "stream_source")
+    table = scratch_path(spark, "stream_types")
+    cols = TABLE_COLUMNS["orders"]
+    q = start_typing_stream(spark, src, cols, table, max_files_per_trigger=1)
+    q.awaitTermination()
+    return merged_stream_types(spark, table).select("column", "inferred_type", "n_chunks")

@@ -1,0 +1,3 @@
+from colsense.streaming.incremental import batch_types, merged_stream_types, start_typing_stream
+
+__all__ = ["batch_types", "merged_stream_types", "start_typing_stream"]
