@@ -48,12 +48,19 @@ def _override_of(overrides: Mapping[str, str], v: Column) -> Column:
     return expr
 
 
+# Plain unsigned decimals are most values of numeric columns; their flags
+# follow directly: never missing, boolean only as 0/1, always a day count, a
+# date only as 8 digits (yyyyMMdd).
+_PLAIN_DECIMAL = r"^[0-9]+(?:\.[0-9]+)?$"
+
+
 def value_flags(v: Column, overrides: Mapping[str, str] | None = None,
                 numeric_options: Mapping | None = None) -> Column:
     """All per-value facts the decision needs, as one struct."""
     missing = is_missing(v)
+    ovr = _override_of(overrides or {}, v)
 
-    def with_numbers(num):
+    def general(num):
         return F.struct(
             missing.alias("missing"),
             is_bool_token(v).alias("boolish"),
@@ -62,9 +69,22 @@ def value_flags(v: Column, overrides: Mapping[str, str] | None = None,
             F.coalesce(is_integral(num["value"]), F.lit(False)).alias("integral"),
             duration_days(v).isNotNull().alias("dur_ok"),
             F.when(~missing, to_datetime(v).isNotNull()).alias("dt_ok"),
-            _override_of(overrides or {}, v).alias("ovr_fail"),
+            ovr.alias("ovr_fail"),
         )
-    return let(numeric_parts(v, **(numeric_options or {})), with_numbers)
+
+    d = v.cast("double")
+    plain = F.struct(
+        F.lit(False).alias("missing"),
+        v.isin("0", "1").alias("boolish"),
+        F.lit(True).alias("num_ok"),
+        F.lit(False).alias("cplx"),
+        is_integral(d).alias("integral"),
+        F.lit(True).alias("dur_ok"),
+        F.when(F.length(v) == 8, to_datetime(v).isNotNull()).otherwise(F.lit(False)).alias("dt_ok"),
+        ovr.alias("ovr_fail"),
+    )
+    fast = v.rlike(_PLAIN_DECIMAL) & (F.length(v) <= 300)
+    return F.when(fast, plain).otherwise(let(numeric_parts(v, **(numeric_options or {})), general))
 
 
 def long_values(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
@@ -141,13 +161,14 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, group_cols: Sequen
     else:
         is_long = F.coalesce(F.length(v) > LONG_VALUE, F.lit(False))
         key = F.when(is_long, F.sha2(v, 256)).otherwise(v)
-        per_value = lv.groupBy(*gcols, "column", key.alias("key"), is_long.alias("is_long")).agg(
-            F.count(F.lit(1)).alias("cnt"),
-            F.sum(w_s).cast("long").alias("cnt_s"),
-            F.first(F.when(is_long, value_flags(v, overrides, numeric_options)),
-                    ignorenulls=True).alias("lf"))
-        f = F.when(F.col("is_long"), F.col("lf")).otherwise(
-            value_flags(F.col("key"), overrides, numeric_options))
+        # long values carry their flags (computed per row) as part of the
+        # grouping key; short values are flagged once per distinct value below
+        long_flags = F.when(is_long, value_flags(v, overrides, numeric_options))
+        per_value = (lv.select(*gcols, "column", key.alias("key"), long_flags.alias("lf"),
+                               w_s.alias("_ws"))
+                       .groupBy(*gcols, "column", "key", "lf")
+                       .agg(F.count(F.lit(1)).alias("cnt"), F.sum("_ws").cast("long").alias("cnt_s")))
+        f = F.coalesce(F.col("lf"), value_flags(F.col("key"), overrides, numeric_options))
         flagged = per_value.select(*gcols, "column", "cnt", "cnt_s", f.alias("f"))
         out = flagged.groupBy(*gcols, "column").agg(
             *_aggregates(F.col("f"), F.col("cnt"), F.col("cnt_s")),

@@ -26,7 +26,7 @@ from colsense.operators.profile import profile
 from colsense.operators.rowid import with_row_id
 from colsense.plans import sqlflags as S
 from colsense.plans.dirty import DIRTY_COLUMNS, dirty_orders, dirty_orders_sql
-from colsense.plans.tables import load, raw_table
+from colsense.plans.tables import load, raw_table, text_table
 from colsense.plans.textsql import TABLE_COLUMNS, text_sql
 from colsense.sources.csv import read_csv, write_csv
 from colsense.sources.encoding import audit_encodings
@@ -63,8 +63,7 @@ DIRTY_SQL = (f"SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT
 
 
 def _profile_of(spark, sf_dir, table):
-    raw = raw_table(spark, sf_dir, table)
-    return profile(raw, [c for c in raw.columns if c != "row_id"])
+    return profile(text_table(spark, sf_dir, table))
 
 
 def _profile_sql(table):
@@ -72,7 +71,7 @@ def _profile_sql(table):
 
 
 def _dirty_profile(spark, sf_dir, overrides=None):
-    return profile(dirty_raw(spark, sf_dir), DIRTY_COLUMNS, overrides=overrides)
+    return profile(dirty_orders(load(spark, sf_dir, "orders")), DIRTY_COLUMNS, overrides=overrides)
 
 
 DIRTY_PROFILE_SQL = S.profile_sql(DIRTY_SQL, DIRTY_COLUMNS)
@@ -139,7 +138,7 @@ def _infer_sql(table):
 
 def _infer_query(table):
     def run(spark, d):
-        return infer_types(raw_table(spark, d, table), row_id="row_id").select(*_INFER_COLS)
+        return infer_types(text_table(spark, d, table)).select(*_INFER_COLS)
     return run
 
 
@@ -147,14 +146,13 @@ for _t in ["lineitem", "orders", "events", "labels", "part"]:
     register(f"infer_types_{_t}", _infer_sql(_t))(_infer_query(_t))
 
 register("infer_types_dirty", f"SELECT {_INFER_SQL} FROM ({S.decide_sql(DIRTY_PROFILE_SQL)})")(
-    lambda spark, d: infer_types(dirty_raw(spark, d), cols=DIRTY_COLUMNS).select(*_INFER_COLS))
+    lambda spark, d: infer_types(_dirty(spark, d), cols=DIRTY_COLUMNS).select(*_INFER_COLS))
 
 register("type_labels",
          "SELECT \"column\", inferred_type, CASE inferred_type "
          + " ".join(f"WHEN {S.q(k)} THEN {S.q(v)}" for k, v in V.TYPE_LABELS.items())
          + f" ELSE inferred_type END AS label FROM ({S.decide_sql(_profile_sql('orders'))})")(
-    lambda spark, d: infer_types(raw_table(spark, d, "orders"), row_id="row_id")
-    .select("column", "inferred_type", "label"))
+    lambda spark, d: infer_types(text_table(spark, d, "orders")).select("column", "inferred_type", "label"))
 
 # --------------------------------------------------------------- scalar cleaners on dirty orders
 

@@ -59,3 +59,8 @@ def raw_table(spark: SparkSession, sf_dir: str, name: str, cols=None) -> DataFra
     numbered = with_row_id(df, order_by=ROW_KEYS[name])
     wanted = [c for c in df.columns if cols is None or c in cols]
     return as_text(numbered.select("row_id", *wanted), keep=("row_id",))
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Every column as text, no row id (for order-free operators)."""
+    return as_text(load(spark, sf_dir, name))
