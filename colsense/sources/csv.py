@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NULL_MARKER = "\u0000colsense-null\u0000"
+CORRUPT = "_corrupt_record"
 # encodings Spark decodes only with the legacy Java charset switch
 _LEGACY = {"cp1252", "windows-1252", "big5", "shift-jis", "shift_jis", "gb2312", "euc-kr"}
 _MULTILINE = {"utf-16", "utf-16le", "utf-16be", "utf-32", "utf-32le", "utf-32be"}
@@ -72,7 +72,7 @@ def with_file_order_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Contiguous ids in file order.  One small table row per split (path,
     offset): its row count and first local id; offsets follow path/offset
     order and are broadcast (size bound: the number of splits)."""
-    cols = df.columns
+    cols = [c for c in df.columns if c != "_metadata"]
     tagged = (df.withColumn("_f", F.col("_metadata.file_path"))
                 .withColumn("_b", F.col("_metadata.file_block_start"))
                 .withColumn("_mid", F.monotonically_increasing_id()))
@@ -94,19 +94,26 @@ def read_csv(spark: SparkSession, path: str, has_headers: bool = True, encoding:
     tokens = next(csv.reader(io.StringIO(_first_line(spark, path, encoding)), delimiter=sep))
     names = header_names(tokens) if has_headers else [f"Column_{i + 1}" for i in range(len(tokens))]
     width = len(names)
-    # one spare column catches any field past the header's; with a null marker
-    # that never occurs, an empty extra field reads as "" (not null), so a
-    # non-null spare means the line was too long
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width + 1)])
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)]
+                          + [T.StructField(CORRUPT, T.StringType())])
     reader = (spark.read.schema(schema).option("header", str(has_headers).lower())
-              .option("sep", sep).option("mode", "PERMISSIVE").option("nullValue", NULL_MARKER))
+              .option("sep", sep).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", CORRUPT))
     if encoding:
         reader = reader.option("encoding", encoding)
     if enc in _MULTILINE:
         reader = reader.option("multiLine", "true")
     df = reader.csv(path).select("*", "_metadata")
     if drop_long_rows:
-        df = df.where(F.col(f"_c{width}").isNull())
+        # Spark flags short and long lines alike; a flagged line is long when
+        # it has more fields than the header (quoted fields blanked first)
+        bad = F.col(CORRUPT)
+        fields = F.size(F.split(F.regexp_replace(bad, r'"([^"]|"")*"', ""), sep, -1))
+        # The second term (always true) makes every scan of this filter read
+        # all data columns: Spark refuses a scan of the corrupt-record column
+        # alone, and with fewer columns its parser flags different lines.
+        reads_data = F.length(F.concat_ws("\u0001", *[F.col(f"_c{i}") for i in range(width)])) >= 0
+        df = df.where((bad.isNull() | (fields <= width)) & reads_data)
     if row_id:
         # numbered after the drop: kept rows have consecutive positions
         df = with_file_order_id(df, row_id)

@@ -3,8 +3,10 @@
 Lines are read as raw bytes by the text source; per file we aggregate
 (1) whether every line is valid UTF-8, (2) whether any byte is undefined in
 cp1252 and (3) the first bytes of the first line (byte-order marks).  The
-choice, in order: BOM (utf-8-sig / utf-16), utf-8, cp1252, iso-8859-1 (which
-accepts every byte string).  Splittable and native: no file passes whole
+choice, in order: UTF-16 byte-order mark, utf-8, cp1252, iso-8859-1 (which
+accepts every byte string).  A UTF-8 byte-order mark is removed by the line
+reader before Spark sees the line, so such a file reports utf-8 - the setting
+that reads it correctly with Spark.  Splittable and native: no file passes whole
 through one task or the driver.
 """
 
@@ -31,8 +33,7 @@ def audit_encodings(spark: SparkSession, path: str) -> DataFrame:
                  F.when(F.col("_b") == 0, F.col("_mid"))).alias("head"),
         F.count(F.lit(1)).alias("n_lines"))
     head = F.coalesce(F.col("head"), F.lit(""))
-    encoding = (F.when(head.startswith("EFBBBF"), F.lit("utf-8-sig"))
-                .when(head.startswith("FFFE") | head.startswith("FEFF"), F.lit("utf-16"))
+    encoding = (F.when(head.startswith("FFFE") | head.startswith("FEFF"), F.lit("utf-16"))
                 .when(F.col("utf8_ok"), F.lit("utf-8"))
                 .when(~F.col("cp1252_holes"), F.lit("cp1252"))
                 .otherwise(F.lit("iso-8859-1")))
