@@ -48,3 +48,23 @@ def let(value: Column, body) -> Column:
     function) that may use it many times.  Without the binding, every use
     would copy the whole expression tree of ``value``."""
     return F.transform(F.array(value), body).getItem(0)
+
+
+_MEMO: dict = {}
+
+
+def memo_column(build, *key) -> Column:
+    """Build a Column once per Spark application and key.  Large cleaner
+    expressions take thousands of driver-to-JVM calls to assemble; a Column
+    is immutable, so one built expression is reused by every query."""
+    from pyspark import SparkContext
+    sc = SparkContext._active_spark_context
+    full = (sc.applicationId if sc is not None else None,) + key
+    hit = _MEMO.get(full)
+    if hit is None:
+        hit = _MEMO[full] = build()
+    return hit
+
+
+def frozen(mapping) -> tuple:
+    return tuple(sorted((mapping or {}).items()))

@@ -20,6 +20,7 @@ from colsense.functions.datetime import to_datetime
 from colsense.functions.duration import to_duration
 from colsense.functions.missing import null_if_missing
 from colsense.functions.numeric import numeric_parts, to_bigint, to_complex
+from colsense.functions.text import frozen, memo_column
 from colsense.operators.infer import infer_types
 from colsense.operators.overrides import failure_text, override_value, raw_value
 from colsense.operators.rowid import with_row_id
@@ -59,6 +60,11 @@ def _category_field(c: Column, name: str) -> Column:
 
 def column_expr(name: str, type_name: str, override_ok: bool = False,
                 numeric_options: Mapping | None = None, source: str | None = None) -> Column:
+    return memo_column(lambda: _column_expr(name, type_name, override_ok, numeric_options, source),
+                       "convert", name, type_name, override_ok, frozen(numeric_options), source)
+
+
+def _column_expr(name: str, type_name: str, override_ok: bool, numeric_options, source) -> Column:
     src = F.col(source or name).cast("string")
     if override_ok:
         out = override_value(src, type_name)

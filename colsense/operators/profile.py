@@ -25,7 +25,7 @@ from colsense.functions.datetime import to_datetime
 from colsense.functions.duration import duration_days
 from colsense.functions.missing import is_missing
 from colsense.functions.numeric import is_integral, numeric_parts
-from colsense.functions.text import let
+from colsense.functions.text import frozen, let, memo_column
 from colsense.operators.overrides import override_fails
 
 LONG_VALUE = 128
@@ -87,6 +87,11 @@ def value_flags(v: Column, overrides: Mapping[str, str] | None = None,
     return F.when(fast, plain).otherwise(let(numeric_parts(v, **(numeric_options or {})), general))
 
 
+def _flags_of(name: str, overrides, numeric_options) -> Column:
+    return memo_column(lambda: value_flags(F.col(name), overrides, numeric_options),
+                       "flags", name, frozen(overrides), frozen(numeric_options))
+
+
 def long_values(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
     """(group..., column, value) with every wanted column as text."""
     narrow = df.select(*group_cols, *[F.col(c).cast("string").alias(c) for c in cols])
@@ -154,7 +159,7 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, group_cols: Sequen
     v = F.col("value")
 
     if not exact:
-        f = value_flags(v, overrides, numeric_options)
+        f = _flags_of("value", overrides, numeric_options)
         out = lv.groupBy(*gcols, "column").agg(
             *_aggregates(f, F.lit(1), w_s),
             F.approx_count_distinct(F.when(~f["missing"], v), 0.01).alias("n_distinct"))
@@ -163,12 +168,16 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, group_cols: Sequen
         key = F.when(is_long, F.sha2(v, 256)).otherwise(v)
         # long values carry their flags (computed per row) as part of the
         # grouping key; short values are flagged once per distinct value below
-        long_flags = F.when(is_long, value_flags(v, overrides, numeric_options))
+        long_flags = F.when(is_long, _flags_of("value", overrides, numeric_options))
+        counts = [F.count(F.lit(1)).alias("cnt")]
+        if sample_rows:
+            counts.append(F.sum("_ws").cast("long").alias("cnt_s"))
         per_value = (lv.select(*gcols, "column", key.alias("key"), long_flags.alias("lf"),
                                w_s.alias("_ws"))
-                       .groupBy(*gcols, "column", "key", "lf")
-                       .agg(F.count(F.lit(1)).alias("cnt"), F.sum("_ws").cast("long").alias("cnt_s")))
-        f = F.coalesce(F.col("lf"), value_flags(F.col("key"), overrides, numeric_options))
+                       .groupBy(*gcols, "column", "key", "lf").agg(*counts))
+        if not sample_rows:
+            per_value = per_value.withColumn("cnt_s", F.col("cnt"))
+        f = F.coalesce(F.col("lf"), _flags_of("key", overrides, numeric_options))
         flagged = per_value.select(*gcols, "column", "cnt", "cnt_s", f.alias("f"))
         out = flagged.groupBy(*gcols, "column").agg(
             *_aggregates(F.col("f"), F.col("cnt"), F.col("cnt_s")),
