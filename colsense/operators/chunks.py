@@ -16,6 +16,7 @@ from colsense.functions import vocab as V
 from colsense.operators.infer import decide
 from colsense.operators.overrides import failure_text, raw_value
 from colsense.operators.profile import profile
+from colsense.sources.storage import checkpoint_dir
 
 
 def with_chunk_id(df: DataFrame, row_id: str = "row_id",
@@ -49,8 +50,12 @@ def chunk_errors(df: DataFrame, types: DataFrame, row_id: str = "row_id",
 
     The sample window is partitioned by (chunk, column): a group never holds
     more than ``chunk_rows`` rows, however large the table."""
+    # failing (chunk, column) rows are read four times below; checkpoint them
+    # once so the chunk profile is not recomputed (they are far fewer than the
+    # data, but may be too many for the driver)
+    checkpoint_dir(df.sparkSession)
     failed = types.where("override_failed").select("chunk_id", "column", "requested_type",
-                                                   "n_override_fail")
+                                                   "n_override_fail").checkpoint(eager=True)
     cols = [r["column"] for r in failed.select("column").distinct().collect()]
     if not cols:
         return failed.select("chunk_id", "column", "requested_type",

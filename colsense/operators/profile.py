@@ -52,6 +52,10 @@ def _override_of(overrides: Mapping[str, str], v: Column) -> Column:
 # follow directly: never missing, boolean only as 0/1, always a day count, a
 # date only as 8 digits (yyyyMMdd).
 _PLAIN_DECIMAL = r"^[0-9]+(?:\.[0-9]+)?$"
+# ISO-style dates / date-times (most values of timestamp columns): no number,
+# boolean, missing spelling or day count can have this shape, so only the
+# date parse is left to run.
+_ISO_DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?:[ T][0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?)?$"
 
 
 def value_flags(v: Column, overrides: Mapping[str, str] | None = None,
@@ -83,8 +87,19 @@ def value_flags(v: Column, overrides: Mapping[str, str] | None = None,
         F.when(F.length(v) == 8, to_datetime(v).isNotNull()).otherwise(F.lit(False)).alias("dt_ok"),
         ovr.alias("ovr_fail"),
     )
+    iso = F.struct(
+        F.lit(False).alias("missing"),
+        F.lit(False).alias("boolish"),
+        F.lit(False).alias("num_ok"),
+        F.lit(False).alias("cplx"),
+        F.lit(False).alias("integral"),
+        F.lit(False).alias("dur_ok"),
+        to_datetime(v).isNotNull().alias("dt_ok"),
+        ovr.alias("ovr_fail"),
+    )
     fast = v.rlike(_PLAIN_DECIMAL) & (F.length(v) <= 300)
-    return F.when(fast, plain).otherwise(let(numeric_parts(v, **(numeric_options or {})), general))
+    return (F.when(fast, plain).when(v.rlike(_ISO_DATE), iso)
+            .otherwise(let(numeric_parts(v, **(numeric_options or {})), general)))
 
 
 def _flags_of(name: str, overrides, numeric_options) -> Column:

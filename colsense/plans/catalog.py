@@ -390,9 +390,21 @@ _CHUNK_OV = {"ordered_on": V.DATETIME, "prio": "int64"}
 _CHUNK_OV_PROFILE = S.profile_sql(
     f"SELECT *, CAST(floor(row_id / {CHUNK_ROWS}) AS BIGINT) AS chunk_id FROM ({DIRTY_SQL})", DIRTY_COLUMNS,
     group="chunk_id", override_fail={c: _STRICT_FAIL[c] for c in _CHUNK_OV})
-register("chunk_errors_merged",
-         f"""SELECT \"column\", max(chunk_id) AS chunk_id, any_value(requested_type) AS requested_type
-             FROM ({S.decide_sql(_CHUNK_OV_PROFILE, _CHUNK_OV)}) WHERE override_failed GROUP BY "column" """)
+_CHUNK_VALUES = " UNION ALL ".join(
+    f'SELECT row_id, CAST(floor(row_id / {CHUNK_ROWS}) AS BIGINT) AS chunk_id, {S.q(c)} AS "column", {c} AS value '
+    f"FROM ({DIRTY_SQL})" for c in _CHUNK_OV)
+register("chunk_errors_merged", f"""
+    WITH prof AS ({S.decide_sql(_CHUNK_OV_PROFILE, _CHUNK_OV)}),
+    last AS (SELECT "column", max(chunk_id) AS chunk_id FROM prof WHERE override_failed GROUP BY "column"),
+    vals AS (SELECT *, row_number() OVER (PARTITION BY "column", chunk_id ORDER BY row_id) AS rn
+             FROM ({_CHUNK_VALUES}) WHERE value IS NOT NULL AND value NOT IN {S.in_list(V.READER_NULL_TOKENS)}),
+    samp AS (SELECT "column", chunk_id, string_agg(value, '|' ORDER BY row_id) AS samples
+             FROM vals WHERE rn <= {V.ERROR_SAMPLE_SIZE} GROUP BY "column", chunk_id)
+    SELECT p."column", p.chunk_id, p.requested_type,
+           'could not convert ' || CAST(p.n_override_fail AS VARCHAR) || ' value(s) to ' || p.requested_type AS error,
+           s.samples
+    FROM prof p JOIN last l ON p."column" = l."column" AND p.chunk_id = l.chunk_id
+    JOIN samp s ON s."column" = p."column" AND s.chunk_id = p.chunk_id""")
 
 
 @register("chunk_errors_merged")
@@ -401,7 +413,8 @@ def _chunk_errors_merged(spark, d):
     raw = dirty_raw(spark, d)
     types = chunk_types(raw, "row_id", CHUNK_ROWS, overrides=_CHUNK_OV, cols=DIRTY_COLUMNS)
     merged = merge_chunk_errors(chunk_errors(raw, types, "row_id", CHUNK_ROWS))
-    return merged.select("column", "chunk_id", "requested_type")
+    return merged.select("column", "chunk_id", "requested_type", "error",
+                         F.array_join("sample_values", "|").alias("samples"))
 
 
 register("concat_union",

@@ -86,8 +86,21 @@ def with_file_order_id(df: DataFrame, name: str = "row_id") -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, has_headers: bool = True, encoding: str | None = None,
              row_id: str | None = "row_id", sep: str = ",", drop_long_rows: bool = True) -> DataFrame:
-    """All-string read of a CSV file or folder of CSV files."""
+    """All-string read of a CSV file or folder of CSV files.
+
+    Read failures surface as DataTypeError with Spark's error as the cause (I5).
+    With an explicit ``encoding``, characters the decoder could not map
+    (U+FFFD) are dropped, as an 'ignore' decoder would (S6)."""
     _check_path(path)
+    try:
+        return _read_csv(spark, path, has_headers, encoding, row_id, sep, drop_long_rows)
+    except DataTypeError:
+        raise
+    except Exception as e:  # AnalysisException, missing path, bad charset
+        raise DataTypeError("Failed to process file", {"error": str(e)}) from e
+
+
+def _read_csv(spark, path, has_headers, encoding, row_id, sep, drop_long_rows) -> DataFrame:
     enc = (encoding or "utf-8").lower()
     if enc in _LEGACY:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
@@ -117,8 +130,12 @@ def read_csv(spark: SparkSession, path: str, has_headers: bool = True, encoding:
     if row_id:
         # numbered after the drop: kept rows have consecutive positions
         df = with_file_order_id(df, row_id)
-    return df.select(*([row_id] if row_id else []),
-                     *[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)])
+
+    def field(i):
+        c = F.col(f"_c{i}")
+        return F.regexp_replace(c, "\uFFFD", "") if encoding else c
+
+    return df.select(*([row_id] if row_id else []), *[field(i).alias(n) for i, n in enumerate(names)])
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, encoding: str | None = None) -> None:
