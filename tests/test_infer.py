@@ -111,3 +111,26 @@ def test_approximate_profile_agrees_on_types(spark):
     exact = {r["column"]: r["inferred_type"] for r in infer_types(df, row_id="row_id").collect()}
     approx = {r["column"]: r["inferred_type"] for r in infer_types(df, row_id="row_id", exact=False).collect()}
     assert exact == approx
+
+
+def test_hot_value_holding_a_third_of_rows(spark):
+    """One value holds a third of the rows: counts stay exact and the decision
+    sees every row (map-side partial aggregation absorbs the hot value)."""
+    from colsense import profile
+    n = 3000
+    df = spark.range(n).select(
+        F.col("id").alias("row_id"),
+        F.when(F.col("id") % 3 == 0, F.lit("7")).otherwise((F.col("id") * 31).cast("string")).alias("v"))
+    p = profile(df.repartition(6), ["v"]).collect()[0]
+    assert p["n_rows"] == n and p["n_non_null"] == n and p["n_numeric"] == n
+    assert p["n_distinct"] == 2 * n // 3 + 1
+    assert infer_types(df, row_id="row_id").collect()[0]["inferred_type"] == "Int64"
+
+
+def test_long_text_values_are_hashed_not_lost(spark):
+    from colsense import profile
+    long_a = "word " * 60
+    long_b = "text " * 60
+    df = spark.createDataFrame([(i, long_a if i % 2 else long_b) for i in range(40)], "row_id long, v string")
+    p = profile(df, ["v"]).collect()[0]
+    assert p["n_rows"] == 40 and p["n_distinct"] == 2
