@@ -66,8 +66,21 @@ def parse_ntz(s: Column, pattern: str, zoned: bool) -> Column:
 
 
 def to_datetime(c, formats=None) -> Column:
-    """First format in ``formats`` whose shape and pattern both accept the value."""
-    formats = DATETIME_FORMATS if formats is None else formats
+    """First format in ``formats`` whose shape and pattern both accept the value.
+
+    With the default list, text already in one of its first two shapes (ISO
+    date, ISO date and time without zone) is parsed directly - the same
+    patterns the list tries first, in whole-stage generated code."""
+    if formats is None:
+        c = as_col(c)
+        (d_shape, d_pat, _), (t_shape, t_pat, _) = DATETIME_FORMATS[0], DATETIME_FORMATS[1]
+        return (F.when(c.rlike(d_shape), parse_ntz(c, d_pat, False))
+                .when(c.rlike(t_shape), parse_ntz(c, t_pat, False))
+                .otherwise(_to_datetime(c, DATETIME_FORMATS)))
+    return _to_datetime(c, formats)
+
+
+def _to_datetime(c, formats) -> Column:
     prepared = F.regexp_replace(F.regexp_replace(py_strip(as_col(c)), _WEEKDAY, ""),
                                 _LONG_FRACTION, "$1")
     # one combined guard first: text that fits no shape costs a single regex

@@ -35,6 +35,10 @@ ERRORS_SCHEMA = T.StructType([
 ])
 
 
+_PLAIN_INT = r"^[0-9]{1,18}$"
+_PLAIN_DECIMAL = r"^[0-9]{1,300}(?:\.[0-9]+)?$"
+
+
 def typed_value(c, type_name: str, numeric_options: Mapping | None = None) -> Column:
     """The inferred type's cleaner on the missing-normalised value."""
     v = null_if_missing(F.col(c) if isinstance(c, str) else c)
@@ -42,10 +46,12 @@ def typed_value(c, type_name: str, numeric_options: Mapping | None = None) -> Co
         return to_bool(v)
     if type_name in (V.INT, V.FLOAT, V.COMPLEX):
         parts = numeric_parts(v, **(numeric_options or {}))
+        # plain digits (most rows of a numeric column) are cast directly; the
+        # general cleaner gives the same value for them
         if type_name == V.INT:
-            return to_bigint(parts)
+            return F.when(v.rlike(_PLAIN_INT), v.cast("bigint")).otherwise(to_bigint(parts))
         if type_name == V.FLOAT:
-            return parts["value"]
+            return F.when(v.rlike(_PLAIN_DECIMAL), v.cast("double")).otherwise(parts["value"])
         return to_complex(parts)
     if type_name == V.DURATION:
         return to_duration(v)

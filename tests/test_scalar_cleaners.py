@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from colsense.functions import (duration_days, is_missing_pattern, is_missing_token, numeric_parts,
+from colsense.functions import (DATETIME_FORMATS, duration_days, is_missing_pattern, is_missing_token, numeric_parts,
                                 to_bool, to_datetime)
 
 
@@ -100,3 +100,19 @@ def test_datetime(spark):
     got = _run(spark, [c for c, _ in DATETIME_CASES], to_datetime)
     for (case, want), g in zip(DATETIME_CASES, got):
         assert g == want, (case, g)
+
+
+def test_conversion_fast_paths_agree_with_general_cleaner(spark):
+    from colsense.functions.numeric import to_bigint
+    from colsense.operators.convert import typed_value
+    vals = ["0", "007", "42", "123456789012345678", "9007199254740993", "1.5", "20.0", "0.001",
+            "2024-01-02", "2024-1-2 3:04", "2024-01-02 03:04:05.123456", "12", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v string")
+    rows = df.select(
+        typed_value("v", "Int64").alias("fi"), to_bigint(numeric_parts("v")).alias("gi"),
+        typed_value("v", "float64").alias("ff"), numeric_parts("v")["value"].alias("gf"),
+        typed_value("v", "datetime64[ns]").alias("fd"),
+        to_datetime(F.col("v"), formats=list(DATETIME_FORMATS))
+        .alias("gd")).collect()
+    for r in rows:
+        assert r["fi"] == r["gi"] and r["ff"] == r["gf"] and r["fd"] == r["gd"], r
