@@ -25,19 +25,16 @@ from pyspark.sql import functions as F
 from colsense.sources.storage import checkpoint_dir
 
 
-def _num_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def with_row_id(df: DataFrame, order_by: Sequence[str] | None = None, name: str = "row_id",
                 num_partitions: int | None = None) -> DataFrame:
     cols = df.columns
     if order_by:
-        n = num_partitions or _num_partitions(df)
-        # explicit partition count: AQE does not coalesce it, so both uses of
-        # the numbered rows below see the same partitions
+        # AQE may coalesce the range partitions: the checkpoint fixes whatever
+        # layout it chose before anything is counted
         checkpoint_dir(df.sparkSession)
-        df = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by).checkpoint(eager=True)
+        ranged = (df.repartitionByRange(num_partitions, *order_by) if num_partitions
+                  else df.repartitionByRange(*order_by))
+        df = ranged.sortWithinPartitions(*order_by).checkpoint(eager=True)
     tagged = (df.withColumn("_pid", F.spark_partition_id())
                 .withColumn("_mid", F.monotonically_increasing_id()))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

@@ -26,7 +26,8 @@ def _write_batch(table_dir: str, cols: Sequence[str], overrides: Mapping[str, st
     def write(batch: DataFrame, batch_id: int) -> None:
         prof = profile(batch, list(cols), overrides=overrides)
         types = decide(prof, overrides).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        (types.write.mode("overwrite").partitionBy("batch_id")
+        # one row per column: a single file per batch (size bound: the schema)
+        (types.coalesce(1).write.mode("overwrite").partitionBy("batch_id")
               .option("partitionOverwriteMode", "dynamic").parquet(table_dir))
     return write
 
