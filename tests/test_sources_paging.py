@@ -104,3 +104,32 @@ def test_stream_is_idempotent_per_batch(spark, tmp_dir):
     # a second run over the same checkpoint adds nothing
     start_typing_stream(spark, src, ["x", "y"], table, checkpoint=ck).awaitTermination()
     assert batch_types(spark, table).count() == 4
+
+
+def test_forced_encoding_drops_undecodable(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "latin.csv")
+    with open(p, "wb") as f:
+        f.write("name\ncaf\xe9 ok\n".encode("latin-1"))
+    rows = read_csv(spark, p, encoding="utf-8").collect()
+    assert rows[0]["name"] == "caf ok"
+
+
+def test_response_bundle(spark):
+    from colsense import infer_and_convert, response
+    df = spark.createDataFrame([(i, str(i), "x" if i == 4 else f"2024-01-{i + 1:02d}") for i in range(12)],
+                               "row_id long, n string, d string")
+    res = infer_and_convert(df, overrides={"d": "datetime64[ns]"}, row_id="row_id")
+    r = response(res.types, res.errors, res.data, page_no=2, page_size=5)
+    assert r.total_rows == 12 and r.failed
+    assert [json.loads(x["json"])["n"] for x in r.preview.collect()] == [5, 6, 7, 8, 9]
+
+
+def test_bad_column_does_not_disturb_others(spark):
+    from colsense import infer_and_convert
+    weird = ["\x00", "((((", "1e999999", "j" * 500, "--5", "P1e400D", "💥"]
+    df = spark.createDataFrame([(i, str(i * 3), weird[i % len(weird)]) for i in range(40)],
+                               "row_id long, good string, weird string")
+    res = infer_and_convert(df, row_id="row_id")
+    types = {r["column"]: r["inferred_type"] for r in res.types.collect()}
+    assert types["good"] == "Int64"
+    assert res.data.count() == 40 and res.errors.count() == 0
