@@ -368,7 +368,12 @@ register("preview_bool",
     lambda spark, d: preview_bool(_converted(spark, d, "labels")).select("row_id", F.col("doc_id").cast("string").alias("doc_id"),
                                                          "quality", "toxic"))
 
-register("preview_json")(lambda spark, d: preview_json(_converted(spark, d, "orders")))
+register("preview_json",
+         "SELECT row_id, CAST(json_object('o_orderkey', o_orderkey, 'o_custkey', o_custkey, "
+         "'o_orderstatus', o_orderstatus, 'o_totalprice', o_totalprice, "
+         "'o_orderdate', strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g'), "
+         f"'o_orderpriority', o_orderpriority) AS VARCHAR) AS json FROM ({_convert_sql('orders', ORDERS_TYPES_SF001)})")(
+    lambda spark, d: preview_json(_converted(spark, d, "orders")))
 
 # --------------------------------------------------------------- chunks
 
@@ -484,6 +489,14 @@ def _csv_ragged(spark, d):
     return read_csv(spark, path, has_headers=False)
 
 
+_LINES = "CAST(sum(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1) AS BIGINT)"
+register("encoding_audit",
+         f"SELECT 'utf8' AS written_as, 'utf-8' AS encoding, {_LINES} AS n_lines FROM documents "
+         "UNION ALL SELECT 'latin1' AS written_as, "
+         "CASE WHEN bool_or(regexp_matches(coalesce(text, ''), '[\\x{81}\\x{8d}\\x{8f}\\x{90}\\x{9d}]')) "
+         f"THEN 'iso-8859-1' ELSE 'cp1252' END AS encoding, {_LINES} AS n_lines FROM documents")
+
+
 @register("encoding_audit")
 def _encoding_audit(spark, d):
     """Documents text written as UTF-8 and as Latin-1 files; one row per file."""
