@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from colsense.functions.text import FLOAT_GUARD, as_col, guarded_double, let, norm, py_strip, ws
+from colsense.functions.text import as_col, guarded_double, let, norm, py_strip, ws
 from colsense.functions.vocab import CURRENCY_CODES, CURRENCY_SYMBOLS
 
 _SYMBOLS = "[" + "".join(CURRENCY_SYMBOLS) + "]"
@@ -75,12 +75,12 @@ def complex_parts(s: Column) -> Column:
                                            F.lit(None).cast("double").alias("re"),
                                            F.lit(None).cast("double").alias("im")))
 
-    return let(z, lambda zz: parse_body(zz, parse))
+    def unbracket(zz):
+        # "(3+4j)" -> "3+4j"; blanks inside the brackets are allowed
+        return let(F.when(zz.rlike(_BRACKETED), py_strip(F.regexp_extract(zz, _BRACKETED, 1)))
+                   .otherwise(zz), parse)
 
-
-def parse_body(z: Column, parse) -> Column:
-    return let(F.when(z.rlike(_BRACKETED), py_strip(F.regexp_extract(z, _BRACKETED, 1))).otherwise(z),
-               parse)
+    return let(z, unbracket)
 
 
 def strip_currency(s: Column, currency_codes: bool = False) -> Column:
@@ -165,5 +165,3 @@ def strict_double(c) -> Column:
     """O1: to_numeric on the raw value - no currency, percent or comma handling."""
     return guarded_double(as_col(c))
 
-
-FLOAT_GUARD_REGEX = FLOAT_GUARD

@@ -26,6 +26,7 @@ _INT_SPARK = {8: "tinyint", 16: "smallint", 32: "int", 64: "bigint"}
 _TEXT_TYPES = {V.CATEGORY, V.OBJECT, V.STRING, "str"}
 _STRICT_INT = r"^\s*[+-]?[0-9]+\s*$"
 _REAL_ONLY = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|nan)$"
+_BRACKETED = r"(?s)^\((.*)\)$"
 
 SUPPORTED_OVERRIDES = ([V.INT, V.FLOAT, V.COMPLEX, V.DURATION, V.DATETIME, V.BOOL, "float32"]
                        + sorted(_TEXT_TYPES) + list(_INT_WIDTHS))
@@ -44,9 +45,11 @@ def raw_value(c) -> Column:
 def _override_complex(r: Column) -> Column:
     """struct(ok, re, im): complex() of the value with i -> j (case-sensitive)."""
     z = F.lower(py_strip(F.replace(r, F.lit("i"), F.lit("j"))))
-    real_ok = z.rlike(_REAL_ONLY)
+    # complex() accepts one pair of brackets around any of its forms
+    body = F.when(z.rlike(_BRACKETED), py_strip(F.regexp_extract(z, _BRACKETED, 1))).otherwise(z)
+    real_ok = body.rlike(_REAL_ONLY)
     cp = complex_parts(z)
-    real = F.when(z == "nan", F.lit(float("nan"))).otherwise(z.try_cast("double"))
+    real = F.when(body == "nan", F.lit(float("nan"))).otherwise(body.try_cast("double"))
     ok = real_ok | cp["ok"]
     return F.struct(ok.alias("ok"),
                     F.when(real_ok, real).otherwise(cp["re"]).alias("re"),

@@ -285,11 +285,10 @@ def _override_duration(spark, d):
 
 _STRICT = {"ordered_on": V.DATETIME, "flag": V.BOOL, "prio": "int64", "amount": V.COMPLEX}
 _STRICT_FAIL = {
-    "ordered_on": f"value IS NOT NULL AND value NOT IN {S.in_list(V.READER_NULL_TOKENS)} AND {S.datetime_value('value')} IS NULL",
-    "flag": f"value IS NOT NULL AND value NOT IN {S.in_list(V.READER_NULL_TOKENS)} AND {S.bool_value('value')} IS NULL",
-    "prio": f"value IS NOT NULL AND value NOT IN {S.in_list(V.READER_NULL_TOKENS)} AND NOT regexp_matches(value, '^{S.RE2_WS}*[+-]?[0-9]+{S.RE2_WS}*$')",
-    "amount": f"value IS NOT NULL AND value NOT IN {S.in_list(V.READER_NULL_TOKENS)} AND NOT regexp_matches(lower({S.strip('replace(value, ' + S.q('i') + ', ' + S.q('j') + ')')}), {S.q('^(?:[+-]?(?:(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:e[+-]?[0-9]+)?|nan)|' + S.COMPLEX_REGEX[1:-1] + ')$')})"
-             f" AND NOT regexp_matches(lower({S.strip('replace(value, ' + S.q('i') + ', ' + S.q('j') + ')')}), '^\\(.*\\)$')",
+    "ordered_on": S.override_fails_sql("value", V.DATETIME),
+    "flag": S.override_fails_sql("value", V.BOOL),
+    "prio": S.override_fails_sql("value", "int64"),
+    "amount": S.override_fails_sql("value", V.COMPLEX),
 }
 _STRICT_COLS = list(_STRICT)
 _STRICT_TYPES_SQL = S.decide_sql(S.profile_sql(DIRTY_SQL, _STRICT_COLS, override_fail=_STRICT_FAIL), _STRICT)

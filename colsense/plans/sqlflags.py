@@ -221,3 +221,25 @@ def decide_sql(profile: str, overrides: dict | None = None) -> str:
     FROM (SELECT *, requested_type IS NOT NULL AND NOT req_ok AS override_failed FROM
           (SELECT *, {req} AS requested_type,
                   ({req}) IS NOT NULL AND n_override_fail = 0 AS req_ok FROM ({profile})))"""
+
+
+_BRACKETED = r"(?s)^\((.*)\)$"
+_REAL = r"[+-]?(?:(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:e[+-]?[0-9]+)?|nan)"
+
+
+def override_fails_sql(x: str, type_name: str) -> str:
+    """Predicate: a present raw value that the all-or-nothing override rejects."""
+    present = f"{x} IS NOT NULL AND {x} NOT IN {in_list(V.READER_NULL_TOKENS)}"
+    if type_name == V.DATETIME:
+        return f"{present} AND {datetime_value(x)} IS NULL"
+    if type_name == V.BOOL:
+        return f"{present} AND {bool_value(x)} IS NULL"
+    if type_name == "int64":
+        return f"{present} AND NOT regexp_matches({x}, '^{RE2_WS}*[+-]?[0-9]+{RE2_WS}*$')"
+    if type_name == V.COMPLEX:
+        z = "lower(" + strip("replace(" + x + ", 'i', 'j')") + ")"
+        inner = strip("regexp_extract(" + z + ", " + q(_BRACKETED) + ", 1)")
+        body = f"(CASE WHEN regexp_matches({z}, {q(_BRACKETED)}) THEN {inner} ELSE {z} END)"
+        grammar = "^(?:" + _REAL + "|" + COMPLEX_REGEX[1:-1] + ")$"
+        return f"{present} AND NOT regexp_matches({body}, {q(grammar)})"
+    raise ValueError(type_name)

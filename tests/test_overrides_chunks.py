@@ -71,3 +71,17 @@ def test_chunk_errors_latest_wins(spark):
     assert sorted(r["chunk_id"] for r in errs.collect()) == [0, 2]
     (m,) = merge_chunk_errors(errs).collect()
     assert m["chunk_id"] == 2 and m["sample_values"][0] == "2024-01-13"
+
+
+def test_complex_override_accepts_complex_grammar(spark):
+    vals = ["3+4i", "(5)", "2j", "( 1-2j )", "7", None, "NaN"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "row_id long, z string")
+    res = infer_and_convert(df, overrides={"z": "complex128"}, row_id="row_id")
+    (t,) = res.types.collect()
+    assert not t["override_failed"] and t["inferred_type"] == "complex128"
+    got = {r["row_id"]: (r["z"]["re"], r["z"]["im"]) if r["z"] else None for r in res.data.collect()}
+    assert got[0] == (3.0, 4.0) and got[1] == (5.0, 0.0) and got[2] == (0.0, 2.0)
+    assert got[3] == (1.0, -2.0) and got[4] == (7.0, 0.0) and got[5] is None
+    bad = spark.createDataFrame([(0, "3 + 4i"), (1, "1")], "row_id long, z string")
+    (e,) = infer_and_convert(bad, overrides={"z": "complex128"}, row_id="row_id").errors.collect()
+    assert e["sample_values"] == ["3 + 4i", "1"]
