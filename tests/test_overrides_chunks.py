@@ -85,3 +85,15 @@ def test_complex_override_accepts_complex_grammar(spark):
     bad = spark.createDataFrame([(0, "3 + 4i"), (1, "1")], "row_id long, z string")
     (e,) = infer_and_convert(bad, overrides={"z": "complex128"}, row_id="row_id").errors.collect()
     assert e["sample_values"] == ["3 + 4i", "1"]
+
+
+def test_category_codes_both_join_paths(spark):
+    from colsense import category_codes, category_dictionary
+    df = spark.createDataFrame([(i, ["b", "a", "c", "NA"][i % 4]) for i in range(40)], "row_id long, v string")
+    d = {r["value"]: r["code"] for r in category_dictionary(df, "v").collect()}
+    assert d == {"a": 0, "b": 1, "c": 2}
+    small = category_codes(df, "v", broadcast_limit=10)
+    large = category_codes(df, "v", broadcast_limit=1)
+    a = sorted((r["row_id"], r["v_code"]) for r in small.collect())
+    b = sorted((r["row_id"], r["v_code"]) for r in large.collect())
+    assert a == b and a[0] == (0, 1) and a[3] == (3, None)
