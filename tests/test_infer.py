@@ -134,3 +134,13 @@ def test_long_text_values_are_hashed_not_lost(spark):
     df = spark.createDataFrame([(i, long_a if i % 2 else long_b) for i in range(40)], "row_id long, v string")
     p = profile(df, ["v"]).collect()[0]
     assert p["n_rows"] == 40 and p["n_distinct"] == 2
+
+
+def test_columns_named_like_internal_fields(spark):
+    df = spark.createDataFrame([(i, str(i), f"k{i % 3}", "yes" if i % 2 else "no", str(i) + ".5")
+                                for i in range(30)],
+                               "row_id long, column string, key string, value string, cnt string")
+    got = {r["column"]: r["inferred_type"] for r in infer_types(df, row_id="row_id").collect()}
+    assert got == {"column": "Int64", "key": "category", "value": "bool", "cnt": "float64"}
+    from colsense import chunk_types
+    assert chunk_types(df, "row_id", 10).count() == 12
