@@ -84,7 +84,7 @@ def value_flags(v: Column, overrides: Mapping[str, str] | None = None,
         F.lit(False).alias("cplx"),
         is_integral(d).alias("integral"),
         F.lit(True).alias("dur_ok"),
-        F.when(F.length(v) == 8, to_datetime(v).isNotNull()).otherwise(F.lit(False)).alias("dt_ok"),
+        F.when(v.rlike("^[0-9]{8}$"), to_datetime(v).isNotNull()).otherwise(F.lit(False)).alias("dt_ok"),
         ovr.alias("ovr_fail"),
     )
     iso = F.struct(
@@ -174,10 +174,13 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, group_cols: Sequen
     v = F.col("value")
 
     if not exact:
-        f = _flags_of("value", overrides, numeric_options)
-        out = lv.groupBy(*gcols, "column").agg(
-            *_aggregates(f, F.lit(1), w_s),
-            F.approx_count_distinct(F.when(~f["missing"], v), 0.01).alias("n_distinct"))
+        # flags once per row in their own projection; the aggregates below
+        # read its fields instead of re-evaluating the cleaners
+        flagged = lv.select(*gcols, "column", "value", w_s.alias("_ws"),
+                            _flags_of("value", overrides, numeric_options).alias("f"))
+        out = flagged.groupBy(*gcols, "column").agg(
+            *_aggregates(F.col("f"), F.lit(1), F.col("_ws")),
+            F.approx_count_distinct(F.when(~F.col("f.missing"), F.col("value")), 0.01).alias("n_distinct"))
     else:
         is_long = F.coalesce(F.length(v) > LONG_VALUE, F.lit(False))
         key = F.when(is_long, F.sha2(v, 256)).otherwise(v)

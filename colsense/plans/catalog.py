@@ -529,3 +529,10 @@ def _stream_chunk_types(spark, d):
     q = start_typing_stream(spark, src, cols, table, max_files_per_trigger=max(1, -(-n_files // 8)))
     q.awaitTermination()
     return merged_stream_types(spark, table).select("column", "inferred_type", "n_chunks")
+
+
+# --------------------------------------------------------------- approximate profile (scale option)
+
+register("infer_types_lineitem_approx",
+         f"SELECT \"column\", inferred_type FROM ({S.decide_sql(_profile_sql('lineitem'))})")(
+    lambda spark, d: infer_types(text_table(spark, d, "lineitem"), exact=False).select("column", "inferred_type"))
