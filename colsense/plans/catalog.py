@@ -242,6 +242,9 @@ def _convert_sql(table, typed: dict[str, str]) -> str:
     return f"SELECT row_id, {', '.join(cols)} FROM ({text_sql(table)})"
 
 
+# The conversion oracles cast to the types the cascade decides at sf0.01 (the
+# scale of the correctness check; SQL cannot choose a column's type from data).
+# The Spark side infers them; infer_types_orders/_events check that decision.
 ORDERS_TYPES_SF001 = {"o_orderkey": V.INT, "o_custkey": V.INT, "o_orderstatus": V.CATEGORY,
                       "o_totalprice": V.FLOAT, "o_orderdate": V.DATETIME, "o_orderpriority": V.CATEGORY}
 EVENTS_TYPES = {"event_id": V.INT, "ts": V.DATETIME, "user_id": V.INT, "event_type": V.CATEGORY,
