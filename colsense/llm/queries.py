@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colsense.llm import bpe, langid
+from colsense.llm import bpe, langid, minhash
 from colsense.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,10 @@ def op2_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     profiles = langid.fit(docs.where(~held_out() & F.col("doc_id").isNotNull()))
     return langid.predict(docs, profiles).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near-copies of every document."""
+    docs = read_table(spark, sf_dir, "documents")
+    return minhash.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
