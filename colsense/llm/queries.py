@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colsense.llm import bpe, langid, minhash
+from colsense.llm import bpe, langid, minhash, pii
 from colsense.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,14 @@ def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near-copies of every document."""
     docs = read_table(spark, sf_dir, "documents")
     return minhash.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op4_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every text."""
+    out = pii.find(read_table(spark, sf_dir, "documents"))
+    kinds = F.col("fixed.kind")
+    count = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}")
+             for k, name in enumerate(pii.KINDS)]
+    return out.select("doc_id", *count, F.sha2(pii.span_text("fixed"), 256).alias("base_sha256"),
+                      pii.span_text("spans").alias("spans"))
