@@ -92,7 +92,7 @@ def signature_bands(sets: np.ndarray, seed: int) -> np.ndarray:
     return key
 
 
-def profile(docs: DataFrame, words: int = 5, seed: int = 11) -> DataFrame:
+def profile(docs: DataFrame, words: int = 5, seed: int = 11, others: tuple[str, ...] = ()) -> DataFrame:
     """``row`` (a number of the row), ``doc_id``, ``text``, ``node`` (16-byte
     digest of the shingle set; null if it is empty), ``n_shingles`` and
     ``bands``.  Words are runs of other bytes than ASCII white space, with A-Z
@@ -105,13 +105,13 @@ def profile(docs: DataFrame, words: int = 5, seed: int = 11) -> DataFrame:
             size.append(len(s))
             node.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             bands.append(signature_bands(s, seed).view(np.int64) if len(s) else None)
-        yield {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "text": batch.column("text"),
-               "node": node, "n_shingles": size, "bands": bands}
+        yield {c: batch.column(c) for c in batch.schema.names} | {"node": node, "n_shingles": size, "bands": bands}
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary"))
-    kind = dict(rows.dtypes)["doc_id"]
-    return written(map_batches(
-        rows, run, f"row long, doc_id {kind}, text binary, node binary, n_shingles long, bands array<long>"), "minhash")
+    other = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(0)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary"),
+                       other.alias("other"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return written(map_batches(rows, run, f"{kinds}, node binary, n_shingles long, bands array<long>"), "minhash")
 
 
 def _sets(rows: DataFrame, words: int) -> DataFrame:
@@ -181,9 +181,11 @@ def components(rows: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
         k += 1
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, seed: int = 11) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, seed: int = 11,
+                    others: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs``: ``row``, ``doc_id``, ``text`` (bytes), ``n_shingles``,
-    ``component_id`` (smallest doc_id reachable) and ``kept``.
+    ``component_id`` (smallest doc_id reachable), ``kept`` and, if there are
+    ``others``, the struct ``other`` with these columns.
 
     Null and empty texts have an empty set, no link and stay.  Rows with equal
     doc_id stand alone unless their texts link them; of several rows with the
@@ -191,7 +193,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, seed: in
     doc_id counts as larger than any; a component of such rows has a null id
     and is kept.  An empty table gives an empty table.
     """
-    rows = profile(docs, words, seed)
+    rows = profile(docs, words, seed, others)
     labels = components(rows, words, percent)
     linked = (rows.select("row", "doc_id", "node").join(labels, "node", "left")
               .withColumn("label", F.coalesce("label", "node")))
@@ -202,4 +204,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, seed: in
     out = rows.join(by_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("row", "doc_id", "text", "n_shingles", component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"))
+                      F.col("doc_id").eqNullSafe(component).alias("kept"), *(["other"] if others else []))
+
+
+def deduplicate(docs: DataFrame, words: int = 5, percent: int = 75, seed: int = 11) -> DataFrame:
+    """The rows of ``docs`` with one document of each component: the first row
+    (in the order they were dealt) that has the component's id.  Documents
+    without a word stay, rows that repeat such a doc_id too."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    out = near_duplicates(docs, words, percent, seed, others).where("kept")
+    first = out.where("n_shingles > 0").groupBy("component_id").agg(F.min("row").alias("row"))
+    stay = out.join(first.select("row"), "row", "left_semi").unionByName(out.where("n_shingles = 0"))
+    return stay.select(*(F.col("doc_id") if c == "doc_id" else F.col("text").cast("string").alias("text") if c == "text"
+                         else F.col("other")[c].alias(c) for c in docs.columns))

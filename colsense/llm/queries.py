@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colsense.llm import bpe, langid, minhash, pii
+from colsense.llm import bpe, langid, minhash, mixing, pii
 from colsense.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,13 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of ``corpus_pipeline`` over the documents."""
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 @query
 def op2_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text, learned from the rows that are not held out."""
@@ -60,3 +67,42 @@ def op4_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
              for k, name in enumerate(pii.KINDS)]
     return out.select("doc_id", *count, F.sha2(pii.span_text("fixed"), 256).alias("base_sha256"),
                       pii.span_text("spans").alias("spans"))
+
+
+@query
+def op9_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    return mixing.mix(read_table(spark, sf_dir, "documents")).drop("copies")
+
+
+ORACLES["op9_hash_threshold_mix"] = r"""
+WITH sized AS (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+           ('0x' || substr(md5(concat_ws(chr(10), doc_id::VARCHAR, md5(text))), 1, 15))::BIGINT AS hash
+    FROM documents),
+sources AS (
+    SELECT source, sum(size)::BIGINT AS source_size,
+           CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w
+    FROM sized GROUP BY source),
+levels AS (
+    SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2.0::DOUBLE * source_size) OVER b, 0))
+              / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
+    FROM sources
+    WINDOW b AS (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+goals AS (
+    SELECT source, source_size,
+           CASE WHEN 2.0::DOUBLE * source_size <= level * w THEN 2.0::DOUBLE * source_size
+                ELSE w * (SELECT arg_min(level, 2.0::DOUBLE * source_size / w) FROM levels
+                          WHERE NOT 2.0::DOUBLE * source_size <= level * w) END AS target
+    FROM levels),
+running AS (
+    SELECT d.*, g.source_size, g.target,
+           CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size)::BIGINT ELSE 0 END AS whole,
+           sum(d.size) OVER (PARTITION BY d.source ORDER BY d.hash RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+           sum(d.size) OVER (PARTITION BY d.source, d.hash) AS here
+    FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+       (size * (whole + CASE WHEN upto <= target - whole * source_size
+                               OR 2 * upto - here <= 2 * (target - whole * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM running
+"""
