@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colsense.llm import bpe, chat, langid, minhash, mixing, pii
+from colsense.llm import bpe, chat, fertility, langid, minhash, mixing, pii
 from colsense.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,15 @@ def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@query
+def op3_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word statistics of every text and the verdict of the fertility bands."""
+    docs = read_table(spark, sf_dir, "documents")
+    out = fertility.judge(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                      "script", *fertility.MEASURES)
+
+
 @query
 def op4_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every text."""
