@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colsense.llm import bpe, chat, fertility, langid, minhash, mixing, pii
+from colsense.llm import bpe, chat, fertility, langid, minhash, mixing, pii, warc
 from colsense.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,10 @@ SELECT conv_id, count(*) AS n_turns,
            + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
 FROM said GROUP BY conv_id
 """
+
+
+@query
+def op1_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to seekable archives, and the archives read back."""
+    index = warc.write_bundles(read_table(spark, sf_dir, "pages"))
+    return warc.read_bundles(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
