@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colsense.llm import bpe, chat, fertility, langid, minhash, mixing, pii, warc
+from colsense.llm import ann, bpe, chat, fertility, langid, minhash, mixing, pii, warc
 from colsense.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,9 @@ def op1_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to seekable archives, and the archives read back."""
     index = warc.write_bundles(read_table(spark, sf_dir, "pages"))
     return warc.read_bundles(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
