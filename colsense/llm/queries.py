@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colsense.llm import ann, bpe, chat, fertility, langid, minhash, mixing, pii, warc
+from colsense.llm import ann, bpe, chat, fertility, langid, minhash, mixing, passages, pii, warc
 from colsense.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,12 @@ def op1_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every twentieth one."""
     return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op8_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the passages that a document before it has."""
+    out = passages.remove_repeats(read_table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"])
+    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
