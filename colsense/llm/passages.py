@@ -239,8 +239,8 @@ def _packed(docs: DataFrame, block_bytes: int) -> DataFrame:
     return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, schema), "passages")
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 1 << 20, part_bytes: int = 64 << 20,
-                   common: int = 1000, batch_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 1 << 20, part_bytes: int = 16 << 20,
+                   common: int = 1000, batch_bytes: int = 1 << 20) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``removed`` (array of (start, end) in bytes, the
     maximal removed runs) and ``kept`` (the other bytes) for each row of
     ``docs(doc_id, text)``.
