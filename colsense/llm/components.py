@@ -23,13 +23,15 @@ def min_labels(edges: DataFrame) -> DataFrame:
     both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct(), "cc-edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
                      .select("node", F.least("node", "m").alias("label")), "cc-labels")
-    while True:
-        near = (both.join(labels.withColumnsRenamed({"node": "b"}), "b")
+    def step(now: DataFrame) -> DataFrame:
+        near = (both.join(now.withColumnsRenamed({"node": "b"}), "b")
                 .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near")))
-        step = (labels.join(near, "node").select("node", F.col("label").alias("old"),
-                                                 F.least("label", "near").alias("mid")))
-        jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        new = written(step.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("label")), "cc-labels")
+        jump = now.select(F.col("node").alias("mid"), F.col("label").alias("far"))
+        return (now.join(near, "node").withColumn("mid", F.least("label", "near")).join(jump, "mid")
+                .select("node", "old", F.least("mid", "far").alias("label")))
+
+    while True:
+        new = written(step(labels.withColumn("old", F.col("label"))), "cc-labels")
         changed = new.where("old != label").limit(1).count()
         labels = new.select("node", "label")
         if not changed:

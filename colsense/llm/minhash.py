@@ -12,8 +12,8 @@ whatever their number).  Nodes that share a band meet, and a link counts if the
 full sets confirm it.  All pairs of a band would grow with the square of a
 group, so nodes meet in rounds.  First every node meets the smallest node of
 each of its bands.  Then the nodes of a band that are not yet connected meet a
-share of the band's nodes, chosen by hash, and the share doubles (in expected
-nodes of the band) until it holds all of them.  Two nodes of one band end either
+share of the band's nodes, chosen by hash: one node, then 16, then 256 and so on
+(as expected numbers) until the share is all of them.  Two nodes of one band end either
 connected or compared, so no component depends on the share; a group of copies
 becomes one component in the first rounds and drops out.
 """
@@ -160,7 +160,7 @@ def components(rows: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
         now = (meet.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
         split = (now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
                  .where("lo != hi").select("band"))
-        share = F.least(F.lit(1.0), F.lit(float(1 << k)) / F.col("m"))
+        share = F.least(F.lit(1.0), F.lit(float(16 ** k)) / F.col("m"))
         still = now.join(split, "band").where(share_before < 1)
         still = written(still.withColumn("before", share_before).withColumn("share", share), "minhash-open")
         if still.limit(1).count() == 0:
@@ -177,7 +177,7 @@ def components(rows: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
             edges = edges.union(found)
             labels = min_labels(edges)
         meet = still.select("band", "m", "node", "n_shingles", "u")
-        share_before = F.least(F.lit(1.0), F.lit(float(1 << k)) / F.col("m"))
+        share_before = share
         k += 1
 
 
