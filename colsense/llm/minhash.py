@@ -8,14 +8,17 @@ so the two permutations give all coordinates.  Coordinates are cut into
 probability about 1 - (1 - s^ROWS)^BANDS, which is above 0.999999 at s = 0.75.
 
 Links.  Documents with the same shingle set are one node (its members are linked
-whatever their number).  Nodes that share a band meet, and a link counts if the
-full sets confirm it.  All pairs of a band would grow with the square of a
-group, so nodes meet in rounds.  First every node meets the smallest node of
-each of its bands.  Then the nodes of a band that are not yet connected meet a
-share of the band's nodes, chosen by hash: one node, then 16, then 256 and so on
-(as expected numbers) until the share is all of them.  Two nodes of one band end either
-connected or compared, so no component depends on the share; a group of copies
-becomes one component in the first rounds and drops out.
+whatever their number).  Nodes that share a band are candidates, and a link
+counts if the full sets confirm it.  All pairs of a band would grow with the
+square of a group, so pairs are compared in rounds, and only between nodes that
+are not yet connected.  First every node meets the hub (smallest node) that it
+shares most bands with, which makes most groups one component; bands of one
+component drop out.  Nodes of the other bands are open.  Sets that are similar
+enough share one of their rarest shingles (a quarter of the set, plus one), so
+open nodes meet over those: twice each node meets only the one of a larger
+component that it shares most of them with, and in the last round all of them.
+So any two nodes of one band end either connected, compared, or known to be
+too different, and no candidate is dropped.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colsense.llm.common import map_batches, written
@@ -146,39 +149,50 @@ def components(rows: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     meet = written(own.join(shared, "band"), "minhash-meet")
     chosen = meet.select("row").distinct()
     sets = written(_sets(rows.select("row", "node", "text").join(chosen, "row"), words), "minhash-sets")
-    sizes = meet.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a")).distinct()
+    def best(met: DataFrame) -> DataFrame:
+        """Of the nodes that ``b`` meets, the one that it meets most often."""
+        shared = met.groupBy("a", "b", "n_b").agg(F.count("*").alias("bands"))
+        return shared.groupBy("b", "n_b").agg(F.max(F.struct("bands", "a")).alias("top")).select("top.a", "b", "n_b")
 
-    pairs = (meet.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"),
-                                              F.col("n_shingles").alias("n_b")).distinct())
-    edges = written(confirm(pairs, sets, percent), "minhash-edges")
+    edges = written(confirm(best(meet.where("node != hub").select(
+        F.col("hub").alias("a"), F.col("node").alias("b"), F.col("n_shingles").alias("n_b"))), sets, percent), "minhash-edges")
     labels = min_labels(edges)
-    # u: a place in 0..1 for each node of each band, which decides from which share on it is chosen
-    u = F.pmod(F.xxhash64("band", "node"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    meet = meet.select("band", "m", "node", "n_shingles", u.alias("u"))
-    share_before, k = F.lit(0.0), 0
-    while True:
-        now = (meet.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-        split = (now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-                 .where("lo != hi").select("band"))
-        share = F.least(F.lit(1.0), F.lit(float(16 ** k)) / F.col("m"))
-        still = now.join(split, "band").where(share_before < 1)
-        still = written(still.withColumn("before", share_before).withColumn("share", share), "minhash-open")
+    open_ = meet.select("band", "node", "n_shingles")
+    for likeliest in (True, True, False):
+        sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
+        now = (open_.join(labels.join(sizes, "label"), "node", "left")
+               .withColumn("group", F.struct(F.coalesce("n", F.lit(1).cast("long")), F.coalesce("label", "node"))))
+        split = now.groupBy("band").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo != hi").select("band")
+        still = written(now.join(split, "band").select("band", "node", "n_shingles", "group"), "minhash-open")
         if still.limit(1).count() == 0:
-            return labels
-        hubs = still.where("u >= before and u < share").select(
-            "band", F.col("node").alias("h"), F.col("n_shingles").alias("n_h"), F.col("label").alias("label_h"))
-        rest = still.where("u >= before").select("band", "node", "n_shingles", "label")
-        pairs = (rest.join(hubs, "band").where("label != label_h")
-                 .select(F.least("h", "node").alias("a"), F.greatest("h", "node").alias("b"),
-                         F.when(F.col("h") < F.col("node"), F.col("n_shingles")).otherwise(F.col("n_h")).alias("n_b"))
-                 .distinct())
-        found = written(confirm(pairs, sets, percent), "minhash-edges")
+            break
+        nodes = still.select("node", "n_shingles", "group").distinct()
+        rare = written(rarest(nodes, sets, percent), "minhash-rare")
+        other = rare.select("item", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("group").alias("group_a"),
+                            F.col("place").alias("place_a"))
+        # all that two sets can share, if this is the rarest shingle that they share, must be enough
+        most = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place")) + 1
+        met = (rare.withColumnsRenamed({"node": "b", "n_shingles": "n_b"}).join(other, "item").where(
+            (F.col("group") < F.col("group_a"))
+            & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))).select("a", "b", "n_b"))
+        found = written(confirm(best(met) if likeliest else met.distinct(), sets, percent), "minhash-edges")
         if found.limit(1).count():
             edges = edges.union(found)
             labels = min_labels(edges)
-        meet = still.select("band", "m", "node", "n_shingles", "u")
-        share_before = share
-        k += 1
+        open_ = still.select("band", "node", "n_shingles")
+    return labels
+
+
+def rarest(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(item, node, n_shingles, group, place): for each node, the shingles that fewest
+    ``nodes`` have, so many that any set similar enough has one of them among
+    its own rarest; those that no other node has are left out."""
+    own = nodes.join(sets, "node").select("node", "n_shingles", "group", F.explode("items").alias("item"))
+    counted = own.join(own.groupBy("item").agg(F.count("*").alias("n")), "item")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("n", "item"))
+    room = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
+    return (counted.withColumn("place", place).where((F.col("place") <= room) & (F.col("n") > 1))
+            .select("item", "node", "n_shingles", "group", "place"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, seed: int = 11,
