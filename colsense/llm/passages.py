@@ -239,7 +239,7 @@ def _packed(docs: DataFrame, block_bytes: int) -> DataFrame:
     return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, schema), "passages")
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 1 << 20, part_bytes: int = 16 << 20,
+def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 1 << 20, part_bytes: int = 4 << 20,
                    common: int = 1000, batch_bytes: int = 1 << 20) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``removed`` (array of (start, end) in bytes, the
     maximal removed runs) and ``kept`` (the other bytes) for each row of
@@ -259,7 +259,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 1 << 20
     blocks = _packed(docs, block_bytes)
     total = blocks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / part_bytes))
-    parts = 4 * tasks
+    parts = 2 * tasks
 
     def opened(batch: pa.RecordBatch) -> Iterator[tuple[int, Block, int]]:
         for i in range(batch.num_rows):
