@@ -49,6 +49,14 @@ DATETIME_FORMATS = [
     (rf"^{_MON} {_D} {_Y4}$", "MMMM d yyyy", False),
     (rf"^{_D} {_MON} {_Y4} [0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}} [+-][0-9]{{4}}$", "d MMM yyyy HH:mm:ss X", True),
     (r"^[0-9]{8}$", "yyyyMMdd", False),
+    (r"^[0-9]{8}T[0-9]{6}$", "yyyyMMdd'T'HHmmss", False),
+    (rf"^{_D}/{_D}/{_Y4} {_D}:[0-9]{{2}} [AaPp][Mm]$", "M/d/yyyy h:mm a", False),
+    (rf"^{_D}/{_D}/{_Y4} {_D}:[0-9]{{2}} [AaPp][Mm]$", "d/M/yyyy h:mm a", False),
+    (rf"^{_D}-{_MON}-{_Y4}$", "d-MMM-yyyy", False),
+    (rf"^{_MON} {_Y4}$", "MMM yyyy", False),
+    (rf"^{_MON} {_Y4}$", "MMMM yyyy", False),
+    (rf"^{_MON} {_D}, {_Y4} {_D}:[0-9]{{2}} [AaPp][Mm]$", "MMM d, yyyy h:mm a", False),
+    (rf"^{_MON} {_D}, {_Y4} {_D}:[0-9]{{2}} [AaPp][Mm]$", "MMMM d, yyyy h:mm a", False),
 ]
 
 _WEEKDAY = r"^[A-Za-z]{3}, "
@@ -87,5 +95,12 @@ def _to_datetime(c, formats) -> Column:
     any_shape = "|".join("(?:" + shape + ")" for shape in dict.fromkeys(f[0] for f in formats))
     return let(prepared, lambda s: F.when(
         s.rlike(any_shape),
-        F.coalesce(*[F.when(s.rlike(shape), parse_ntz(s, pat, zoned))
+        F.coalesce(*[F.when(s.rlike(shape), _century(parse_ntz(s, pat, zoned), pat))
                      for shape, pat, zoned in formats])))
+
+
+def _century(ts: Column, pattern: str) -> Column:
+    """Two-digit years 69-99 are of the 20th century, 00-68 of the 21st."""
+    if "yy" not in pattern or "yyyy" in pattern:
+        return ts
+    return F.when(F.year(ts) >= 2069, ts - F.make_ym_interval(F.lit(100), F.lit(0))).otherwise(ts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colsense.functions.text import as_col, ws
+from colsense.functions.text import as_col, named, ws
 from colsense.functions.vocab import ALL_MISSING_TOKENS, MISSING_PATTERNS
 
 # One case-insensitive alternation; (?d) makes "$" honour only "\n" as a line
@@ -38,5 +38,5 @@ def clean_missing(df: DataFrame, cols=None) -> DataFrame:
     if cols is None:
         cols = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
     wanted = set(cols)
-    return df.select(*[null_if_missing(F.col(n)).alias(n) if n in wanted else F.col(n)
+    return df.select(*[null_if_missing(named(n)).alias(n) if n in wanted else named(n)
                        for n in df.columns])

@@ -68,3 +68,8 @@ def memo_column(build, *key) -> Column:
 
 def frozen(mapping) -> tuple:
     return tuple(sorted((mapping or {}).items()))
+
+
+def named(name: str) -> Column:
+    """The top-level column of this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")

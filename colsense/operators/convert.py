@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections import namedtuple
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,7 @@ from colsense.functions.datetime import to_datetime
 from colsense.functions.duration import to_duration
 from colsense.functions.missing import null_if_missing
 from colsense.functions.numeric import numeric_parts, to_bigint, to_complex
-from colsense.functions.text import frozen, memo_column
+from colsense.functions.text import frozen, memo_column, named
 from colsense.operators.infer import infer_types
 from colsense.operators.overrides import failure_text, override_value, raw_value
 from colsense.operators.rowid import with_row_id
@@ -71,7 +71,7 @@ def column_expr(name: str, type_name: str, override_ok: bool = False,
 
 
 def _column_expr(name: str, type_name: str, override_ok: bool, numeric_options, source) -> Column:
-    src = F.col(source or name).cast("string")
+    src = named(source or name).cast("string")
     if override_ok:
         out = override_value(src, type_name)
     else:
@@ -84,7 +84,8 @@ def _column_expr(name: str, type_name: str, override_ok: bool, numeric_options,
 def _type_rows(types) -> list[dict]:
     if isinstance(types, Mapping):
         return [{"column": k, "inferred_type": v, "override_ok": False} for k, v in types.items()]
-    rows = types.select("column", "inferred_type", "requested_type", "override_failed").collect()
+    asked = [F.col(c) if c in types.columns else F.lit(None).alias(c) for c in ("requested_type", "override_failed")]
+    rows = types.select("column", "inferred_type", *asked).collect()  # merged chunk types have no override columns
     return [{"column": r["column"], "inferred_type": r["inferred_type"],
              "override_ok": r["requested_type"] is not None and not r["override_failed"]}
             for r in rows]
@@ -99,7 +100,7 @@ def convert(df: DataFrame, types, keep: Sequence[str] = (),
     for name in df.columns:
         r = by_name.get(name)
         if r is None or name in keep:
-            out.append(F.col(name))
+            out.append(named(name))
         else:
             out.append(column_expr(name, r["inferred_type"], r["override_ok"], numeric_options))
     return df.select(*out)
@@ -109,20 +110,15 @@ def error_samples(df: DataFrame, columns: Sequence[str], row_id: str,
                   k: int = V.ERROR_SAMPLE_SIZE) -> DataFrame:
     """First k non-null raw values of each column in row order.
 
-    One distributed top-k per column (each partition keeps k rows, the
-    merge sees k x partitions rows); only failing columns are sampled."""
-    parts = []
-    for c in columns:
-        r = raw_value(F.col(c).cast("string"))
-        parts.append(df.where(r.isNotNull()).orderBy(row_id).limit(k)
-                       .select(F.lit(c).alias("column"), F.col(row_id).alias("_rid"),
-                               r.alias("_v")))
-    if not parts:
+    One pass over the failing columns: every task keeps its first k values of
+    each column before the shuffle, so a column's window sees k rows a task."""
+    if not columns:
         return df.sparkSession.createDataFrame([], "column string, sample_values array<string>")
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return union.groupBy("column").agg(
+    values = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), raw_value(named(c).cast("string")).alias("_v"))
+                                 for c in columns)))
+    long = df.select(named(row_id).alias("_rid"), values.alias("_x")).select("_rid", "_x.*").where("_v is not null")
+    first = F.row_number().over(Window.partitionBy("column").orderBy("_rid"))
+    return long.withColumn("_n", first).where(F.col("_n") <= k).groupBy("column").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_rid", "_v"))),
                     lambda s: s["_v"]).alias("sample_values"))
 

@@ -63,14 +63,20 @@ def _strict_int(r: Column, width: int) -> Column:
     return F.when((v >= lo) & (v <= hi), v.cast(_INT_SPARK[width]))
 
 
+def _exact_int(r: Column) -> Column:
+    """BIGINT of a number: integer text keeps all its digits."""
+    d = strict_double(r)
+    whole = F.when(r.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(r).try_cast("bigint"))
+    return F.coalesce(whole, F.when(is_integral(d), d.cast("bigint")))
+
+
 def override_value(c, type_name: str) -> Column:
     """Converted value under a successful override."""
     r = raw_value(c)
     if type_name == V.FLOAT:
         return strict_double(r)
     if type_name == V.INT:
-        d = strict_double(r)
-        return F.when(is_integral(d), d.cast("bigint"))
+        return _exact_int(r)
     if type_name == "float32":
         return strict_double(r).cast("float")
     if type_name in _INT_WIDTHS:
@@ -93,7 +99,9 @@ def override_fails(c, type_name: str) -> Column:
     """True where a non-null raw value cannot take the requested type."""
     r = raw_value(c)
     present = r.isNotNull()
-    if type_name in (V.FLOAT, V.INT, V.DURATION) or type_name in _TEXT_TYPES:
+    if type_name == V.INT:  # a number that is no 64-bit integer; text that is no number is null, as for float64
+        return present & strict_double(r).isNotNull() & _exact_int(r).isNull()
+    if type_name in (V.FLOAT, V.DURATION) or type_name in _TEXT_TYPES:
         return F.lit(False)
     if type_name == "float32":
         return present & strict_double(r).isNull()

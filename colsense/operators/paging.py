@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colsense.functions.text import named
 from colsense.functions import vocab as V
 from colsense.functions.boolean import render_bool
 from colsense.functions.duration import interval_seconds
@@ -72,7 +73,7 @@ def json_ready(df: DataFrame) -> DataFrame:
     """Columns rendered as the preview shows them."""
     out = []
     for f in df.schema.fields:
-        c, t = F.col(f.name), f.dataType
+        c, t = named(f.name), f.dataType
         if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS")
         elif isinstance(t, T.DayTimeIntervalType):
@@ -89,13 +90,13 @@ def preview_json(df: DataFrame, row_id: str = "row_id") -> DataFrame:
     """L4: (row_id, one JSON record per row), nulls kept."""
     ready = json_ready(df)
     body = [c for c in ready.columns if c != row_id]
-    return ready.select(row_id, F.to_json(F.struct(*body), {"ignoreNullFields": "false"}).alias("json"))
+    return ready.select(row_id, F.to_json(F.struct(*map(named, body)), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def preview_bool(df: DataFrame) -> DataFrame:
     """B2 at the preview sink: boolean columns as 'True' / 'False' text."""
-    return df.select(*[render_bool(F.col(f.name)).alias(f.name)
-                       if isinstance(f.dataType, T.BooleanType) else F.col(f.name)
+    return df.select(*[render_bool(named(f.name)).alias(f.name)
+                       if isinstance(f.dataType, T.BooleanType) else named(f.name)
                        for f in df.schema.fields])
 
 

@@ -25,7 +25,7 @@ from colsense.functions.datetime import to_datetime
 from colsense.functions.duration import duration_days
 from colsense.functions.missing import is_missing
 from colsense.functions.numeric import is_integral, numeric_parts
-from colsense.functions.text import frozen, let, memo_column
+from colsense.functions.text import frozen, let, memo_column, named
 from colsense.operators.overrides import override_fails
 
 LONG_VALUE = 128
@@ -109,8 +109,14 @@ def _flags_of(name: str, overrides, numeric_options) -> Column:
 
 def long_values(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
     """(group..., column, value) with every wanted column as text."""
-    narrow = df.select(*group_cols, *[F.col(c).cast("string").alias(c) for c in cols])
-    return narrow.unpivot(list(group_cols), list(cols), "column", "value")
+    narrow = df.select(*group_cols, *[named(c).cast("string").alias(c) for c in cols])
+    return _long(narrow, list(group_cols), cols)
+
+
+def _long(narrow: DataFrame, ids: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """(ids..., column, value): one row per cell.  Names may hold dots."""
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), named(c).alias("value")) for c in cols))
+    return narrow.select(*map(named, ids), F.explode(cells).alias("_cell")).select(*map(named, ids), "_cell.*")
 
 
 def _aggregates(f: Column, w: Column, ws: Column) -> list[Column]:
@@ -163,8 +169,8 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, group_cols: Sequen
     cols = [c for c in (cols or df.columns) if c not in skip]
     overrides = {k: v for k, v in (overrides or {}).items() if k in cols}
     keep_id = [row_id] if (sample_rows and row_id) else []
-    narrow = df.select(*gcols, *keep_id, *[F.col(c).cast("string").alias(c) for c in cols])
-    lv = narrow.unpivot(gcols + keep_id, list(cols), "column", "value")
+    narrow = df.select(*gcols, *keep_id, *[named(c).cast("string").alias(c) for c in cols])
+    lv = _long(narrow, gcols + keep_id, cols)
     if sample_rows:
         if not row_id:
             raise ValueError("sample_rows needs a row_id column")

@@ -13,6 +13,7 @@ from __future__ import annotations
 import csv
 import io
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,11 +26,11 @@ _MULTILINE = {"utf-16", "utf-16le", "utf-16be", "utf-32", "utf-32le", "utf-32be"
 
 
 class DataTypeError(Exception):
-    """Dataset-level failure (unsupported file, unreadable input)."""
+    """The data set as a whole can't be read; ``details`` says why."""
 
     def __init__(self, message: str, details: dict | None = None):
-        super().__init__(message)
-        self.details = details or {}
+        self.details = dict(details) if details else {}
+        Exception.__init__(self, message)
 
 
 def header_names(tokens: list[str]) -> list[str]:
@@ -52,8 +53,7 @@ def header_names(tokens: list[str]) -> list[str]:
 def _check_path(path: str) -> None:
     """Only .csv files (a folder is read as its .csv files)."""
     if os.path.splitext(path.rstrip("/"))[1].lower() not in ("", ".csv"):
-        raise DataTypeError("Failed to process file",
-                            {"error": "Unsupported file format. Please provide a CSV file."})
+        raise DataTypeError(f"not a .csv path: {path}", {"error": "only .csv files, or a folder of them, are read"})
 
 
 def _first_line(spark: SparkSession, path: str, encoding: str | None) -> str:
@@ -64,7 +64,7 @@ def _first_line(spark: SparkSession, path: str, encoding: str | None) -> str:
                                       F.col("_metadata.file_block_start").alias("b"))
              .where(F.col("b") == 0).orderBy("f").limit(1).collect())
     if not first:
-        raise DataTypeError("Failed to process file", {"error": "empty input"})
+        raise DataTypeError(f"no line in {path}", {"error": "empty input"})
     return first[0]["value"].lstrip("﻿").rstrip("\r")
 
 
@@ -97,7 +97,7 @@ def read_csv(spark: SparkSession, path: str, has_headers: bool = True, encoding:
     except DataTypeError:
         raise
     except Exception as e:  # AnalysisException, missing path, bad charset
-        raise DataTypeError("Failed to process file", {"error": str(e)}) from e
+        raise DataTypeError(f"Spark could not read {path}", {"error": str(e)}) from e
 
 
 def _read_csv(spark, path, has_headers, encoding, row_id, sep, drop_long_rows) -> DataFrame:
@@ -110,7 +110,7 @@ def _read_csv(spark, path, has_headers, encoding, row_id, sep, drop_long_rows) -
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)]
                           + [T.StructField(CORRUPT, T.StringType())])
     reader = (spark.read.schema(schema).option("header", str(has_headers).lower())
-              .option("sep", sep).option("mode", "PERMISSIVE")
+              .option("sep", sep).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
               .option("columnNameOfCorruptRecord", CORRUPT))
     if encoding:
         reader = reader.option("encoding", encoding)
@@ -121,7 +121,7 @@ def _read_csv(spark, path, has_headers, encoding, row_id, sep, drop_long_rows) -
         # Spark flags short and long lines alike; a flagged line is long when
         # it has more fields than the header (quoted fields blanked first)
         bad = F.col(CORRUPT)
-        fields = F.size(F.split(F.regexp_replace(bad, r'"([^"]|"")*"', ""), sep, -1))
+        fields = F.size(F.split(F.regexp_replace(bad, r'"[^"]*+(?:""[^"]*+)*+"', ""), re.escape(sep), -1))
         # The second term (always true) makes every scan of this filter read
         # all data columns: Spark refuses a scan of the corrupt-record column
         # alone, and with fewer columns its parser flags different lines.
@@ -139,7 +139,7 @@ def _read_csv(spark, path, has_headers, encoding, row_id, sep, drop_long_rows) -
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, encoding: str | None = None) -> None:
-    w = df.write.mode("overwrite").option("header", str(header).lower())
+    w = df.write.mode("overwrite").option("header", str(header).lower()).option("quote", '"').option("escape", '"')
     if encoding:
         w = w.option("encoding", encoding)
     w.csv(path)
