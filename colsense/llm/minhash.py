@@ -158,6 +158,7 @@ def components(rows: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
         F.col("hub").alias("a"), F.col("node").alias("b"), F.col("n_shingles").alias("n_b"))), sets, percent), "minhash-edges")
     labels = min_labels(edges)
     open_ = meet.select("band", "node", "n_shingles")
+    rare = None
     for likeliest in (True, True, False):
         sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
         now = (open_.join(labels.join(sizes, "label"), "node", "left")
@@ -167,32 +168,35 @@ def components(rows: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
         if still.limit(1).count() == 0:
             break
         nodes = still.select("node", "n_shingles", "group").distinct()
-        rare = written(rarest(nodes, sets, percent), "minhash-rare")
-        other = rare.select("item", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("group").alias("group_a"),
+        if rare is None:
+            # the open nodes of a later round are among these, so this order of the shingles serves all rounds
+            rare = written(rarest(nodes.select("node", "n_shingles"), sets, percent), "minhash-rare")
+        now = rare.join(nodes.select("node", "group"), "node")
+        other = now.select("item", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("group").alias("group_a"),
                             F.col("place").alias("place_a"))
         # all that two sets can share, if this is the rarest shingle that they share, must be enough
         most = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place")) + 1
-        met = (rare.withColumnsRenamed({"node": "b", "n_shingles": "n_b"}).join(other, "item").where(
+        met = (now.withColumnsRenamed({"node": "b", "n_shingles": "n_b"}).join(other, "item").where(
             (F.col("group") < F.col("group_a"))
             & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))).select("a", "b", "n_b"))
         found = written(confirm(best(met) if likeliest else met.distinct(), sets, percent), "minhash-edges")
         if found.limit(1).count():
-            edges = edges.union(found)
-            labels = min_labels(edges)
+            # a star for each component says as much as all links before
+            labels = min_labels(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found))
         open_ = still.select("band", "node", "n_shingles")
     return labels
 
 
 def rarest(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(item, node, n_shingles, group, place): for each node, the shingles that fewest
+    """(item, node, n_shingles, place): for each node, the shingles that fewest
     ``nodes`` have, so many that any set similar enough has one of them among
     its own rarest; those that no other node has are left out."""
-    own = nodes.join(sets, "node").select("node", "n_shingles", "group", F.explode("items").alias("item"))
+    own = nodes.join(sets, "node").select("node", "n_shingles", F.explode("items").alias("item"))
     counted = own.join(own.groupBy("item").agg(F.count("*").alias("n")), "item")
     place = F.row_number().over(Window.partitionBy("node").orderBy("n", "item"))
     room = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
     return (counted.withColumn("place", place).where((F.col("place") <= room) & (F.col("n") > 1))
-            .select("item", "node", "n_shingles", "group", "place"))
+            .select("item", "node", "n_shingles", "place"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, seed: int = 11,
