@@ -10,9 +10,9 @@ partition order) and shifted by the row count of the partitions before it.
 Without a key the current partition order is used - for a file scan that is
 split order, which is deterministic.
 
-The offsets table has one row per partition, so it is broadcast with a size
-bound that does not grow with the data (partition count only).  Keys should
-be unique: rows that tie on the key may swap ids between runs.
+The offsets table has one row per partition; Spark broadcasts it if it is
+small.  A partition that the counts don't know raises, so rows are never lost
+if a keyless input is dealt differently the second time.  Keys should be unique: rows that tie on the key may swap ids between runs.
 """
 
 from __future__ import annotations
@@ -41,5 +41,6 @@ def with_row_id(df: DataFrame, order_by: Sequence[str] | None = None, name: str
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (tagged.join(F.broadcast(offsets), "_pid")
-                  .select(*cols, (F.col("_off") + local).alias(name)))
+    start = F.coalesce(F.col("_off"), F.raise_error(F.lit("the partitions changed while rows were numbered")))
+    return (tagged.join(offsets, "_pid", "left")
+                  .select(*cols, (start + local).alias(name)))

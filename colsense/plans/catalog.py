@@ -28,7 +28,7 @@ from colsense.plans import sqlflags as S
 from colsense.plans.dirty import DIRTY_COLUMNS, dirty_orders, dirty_orders_sql
 from colsense.plans.tables import load, raw_table, text_table
 from colsense.plans.textsql import TABLE_COLUMNS, text_sql
-from colsense.sources.csv import read_csv, write_csv
+from colsense.sources.csv import dropped_rows, read_csv, write_csv
 from colsense.sources.encoding import audit_encodings
 from colsense.sources.storage import scratch_path
 
@@ -476,8 +476,7 @@ register("csv_ragged",
          f"(SELECT row_id, {_RAGGED_SQL_COLS} FROM ({_ORDERS_TEXT_SQL}) WHERE CAST(o_orderkey AS BIGINT) % 7 <> 3)")
 
 
-@register("csv_ragged")
-def _csv_ragged(spark, d):
+def _ragged_file(spark, d):
     """Lines with an extra field (key % 7 = 3) are dropped; lines missing the
     last field (key % 11 = 5) are padded with null."""
     t = _orders_text(spark, d)
@@ -488,7 +487,22 @@ def _csv_ragged(spark, d):
             .otherwise(F.concat_ws(",", *cols)))
     path = scratch_path(spark, "csv_ragged")
     t.select(line.alias("value")).write.mode("overwrite").text(path)
-    return read_csv(spark, path, has_headers=False)
+    return path
+
+
+register("csv_ragged")(lambda spark, d: read_csv(spark, _ragged_file(spark, d), has_headers=False))
+register("csv_dropped_counts",
+         f"SELECT count(*) AS n_rows, count(*) FILTER (CAST(o_orderkey AS BIGINT) % 7 = 3) AS n_dropped FROM ({_ORDERS_TEXT_SQL})")(
+    lambda spark, d: dropped_rows(spark, _ragged_file(spark, d), has_headers=False)
+    .agg(F.sum("n_rows").alias("n_rows"), F.sum("n_dropped").alias("n_dropped")))
+
+
+@register("csv_quotes", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, source FROM documents")
+def _csv_quotes(spark, d):
+    """Whole document texts, with their quotes, commas and line breaks, written and read back."""
+    path = scratch_path(spark, "csv_quotes")
+    write_csv(load(spark, d, "documents").select(F.col("doc_id").cast("string"), "text", "source"), path)
+    return read_csv(spark, path, row_id=None, multiline=True)
 
 
 _LINES = "CAST(sum(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1) AS BIGINT)"

@@ -4,7 +4,7 @@ Spark owns splitting and decoding; the engine owns typing, so no schema is
 inferred: every column is STRING.  Header names are repaired the way a pandas
 reader names them (duplicates get ``.1``, ``.2``; blanks become
 ``Unnamed: i``); a headerless file gets ``Column_1..n``.  Rows with too many
-fields are dropped (and counted), rows with too few are padded with nulls.
+fields are dropped (``dropped_rows`` counts them), rows with too few are padded with nulls.
 ``row_id`` is file order: files by path, then splits by offset, then lines.
 """
 
@@ -14,6 +14,7 @@ import csv
 import io
 import os
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -56,22 +57,33 @@ def _check_path(path: str) -> None:
         raise DataTypeError(f"not a .csv path: {path}", {"error": "only .csv files, or a folder of them, are read"})
 
 
-def _first_line(spark: SparkSession, path: str, encoding: str | None) -> str:
-    reader = spark.read.option("lineSep", "\n")
-    if encoding:
-        reader = reader.option("encoding", encoding)
-    first = (reader.text(path).select("value", F.col("_metadata.file_path").alias("f"),
-                                      F.col("_metadata.file_block_start").alias("b"))
-             .where(F.col("b") == 0).orderBy("f").limit(1).collect())
-    if not first:
+def _header_tokens(spark: SparkSession, path: str, encoding: str | None, sep: str, multiline: bool) -> list[str]:
+    """Fields of the first record of the first file (by path); no other file is
+    read.  With ``multiline`` the record may go over several lines."""
+    files = spark.read.text(path).inputFiles()
+    if not files:
+        raise DataTypeError(f"no file in {path}", {"error": "empty input"})
+    first = min(files)
+    reader = spark.read.option("encoding", encoding) if encoding else spark.read
+    if multiline:
+        got = (reader.option("multiLine", "true").option("sep", sep).option("quote", '"').option("escape", '"')
+               .csv(unquote(first)).limit(1).collect())
+        tokens = [x or "" for x in got[0]] if got else []
+    else:
+        got = (reader.option("lineSep", "\n").text(unquote(first)).where(F.col("_metadata.file_block_start") == 0)
+               .select("value").limit(1).collect())
+        line = got[0]["value"].lstrip("\ufeff").rstrip("\r") if got else ""
+        tokens = next(csv.reader(io.StringIO(line), delimiter=sep), [])
+    if not tokens:
         raise DataTypeError(f"no line in {path}", {"error": "empty input"})
-    return first[0]["value"].lstrip("﻿").rstrip("\r")
+    return tokens
 
 
 def with_file_order_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Contiguous ids in file order.  One small table row per split (path,
     offset): its row count and first local id; offsets follow path/offset
-    order and are broadcast (size bound: the number of splits)."""
+    order.  Spark broadcasts them if they are small.  The counts come from
+    a scan of their own: a split that they don't know raises."""
     cols = [c for c in df.columns if c != "_metadata"]
     tagged = (df.withColumn("_f", F.col("_metadata.file_path"))
                 .withColumn("_b", F.col("_metadata.file_block_start"))
@@ -80,66 +92,107 @@ def with_file_order_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("_f", "_b", "_first",
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (tagged.join(F.broadcast(offsets), ["_f", "_b"])
-                  .select((F.col("_off") + F.col("_mid") - F.col("_first")).alias(name), *cols))
+    start = F.coalesce(F.col("_off"), F.raise_error(F.lit("the files or their splits changed while rows were numbered")))
+    return (tagged.join(offsets, ["_f", "_b"], "left")
+                  .select((start + F.col("_mid") - F.col("_first")).alias(name), *cols))
 
 
 def read_csv(spark: SparkSession, path: str, has_headers: bool = True, encoding: str | None = None,
-             row_id: str | None = "row_id", sep: str = ",", drop_long_rows: bool = True) -> DataFrame:
+             row_id: str | None = "row_id", sep: str = ",", drop_long_rows: bool = True,
+             multiline: bool = False) -> DataFrame:
     """All-string read of a CSV file or folder of CSV files.
 
     Read failures surface as DataTypeError with Spark's error as the cause (I5).
     With an explicit ``encoding``, characters the decoder could not map
-    (U+FFFD) are dropped, as an 'ignore' decoder would (S6)."""
+    (U+FFFD) are dropped, as an 'ignore' decoder would (S6).
+
+    Names come from the first file.  A file whose header has other names, or
+    the same in another order, makes the job fail when it is read.  Headers
+    with blank or repeated names can't be compared by Spark's reader; there the
+    first lines are compared by a scan of their own.
+
+    ``multiline`` allows line breaks inside quoted fields.  Then a file is one
+    task, since only reading from its start tells which quote opens a field;
+    large inputs should come as many files."""
     _check_path(path)
     try:
-        return _read_csv(spark, path, has_headers, encoding, row_id, sep, drop_long_rows)
+        names, df = _records(spark, path, has_headers, encoding, sep, multiline)
     except DataTypeError:
         raise
     except Exception as e:  # AnalysisException, missing path, bad charset
         raise DataTypeError(f"Spark could not read {path}", {"error": str(e)}) from e
+    if drop_long_rows:
+        df = df.where(~F.col("_long"))
+    if row_id:
+        # numbered after the drop: kept rows have consecutive positions
+        df = with_file_order_id(df, row_id)
+
+    def field(i):
+        c = F.col(f"_c{i}")
+        return F.regexp_replace(c, "\uFFFD", "") if encoding else c
+
+    return df.select(*([row_id] if row_id else []), *[field(i).alias(n) for i, n in enumerate(names)])
+
 
+def dropped_rows(spark: SparkSession, path: str, has_headers: bool = True, encoding: str | None = None,
+                 sep: str = ",", multiline: bool = False) -> DataFrame:
+    """(path, n_rows, n_dropped) for each file: its records, and how many of
+    them ``read_csv`` drops because they have more fields than the header."""
+    _, df = _records(spark, path, has_headers, encoding, sep, multiline)
+    return (df.groupBy(F.col("_metadata.file_path").alias("path"))
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("_long").alias("n_dropped")))
 
-def _read_csv(spark, path, has_headers, encoding, row_id, sep, drop_long_rows) -> DataFrame:
+
+def _records(spark, path, has_headers, encoding, sep, multiline) -> tuple[list[str], DataFrame]:
+    """(names, records): fields ``_c0``.., ``_long`` (more fields than names) and ``_metadata``."""
     enc = (encoding or "utf-8").lower()
     if enc in _LEGACY:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    tokens = next(csv.reader(io.StringIO(_first_line(spark, path, encoding)), delimiter=sep))
+    tokens = _header_tokens(spark, path, encoding, sep, multiline)
     names = header_names(tokens) if has_headers else [f"Column_{i + 1}" for i in range(len(tokens))]
     width = len(names)
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)]
-                          + [T.StructField(CORRUPT, T.StringType())])
+    plain = {t.lower() for t in tokens} - {"", CORRUPT, "_metadata"}
+    comparable = has_headers and len(plain) == width and names == tokens
+    if has_headers and not comparable:
+        _compare_first_lines(spark, path, encoding)
+    fields = tokens if comparable else [f"_c{i}" for i in range(width)]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*fields, CORRUPT]])
     reader = (spark.read.schema(schema).option("header", str(has_headers).lower())
+              .option("enforceSchema", str(not comparable).lower())
               .option("sep", sep).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
               .option("columnNameOfCorruptRecord", CORRUPT))
     if encoding:
         reader = reader.option("encoding", encoding)
-    if enc in _MULTILINE:
+    if multiline or enc in _MULTILINE:
         reader = reader.option("multiLine", "true")
-    df = reader.csv(path).select("*", "_metadata")
-    if drop_long_rows:
-        # Spark flags short and long lines alike; a flagged line is long when
-        # it has more fields than the header (quoted fields blanked first)
-        bad = F.col(CORRUPT)
-        fields = F.size(F.split(F.regexp_replace(bad, r'"[^"]*+(?:""[^"]*+)*+"', ""), re.escape(sep), -1))
-        # The second term (always true) makes every scan of this filter read
-        # all data columns: Spark refuses a scan of the corrupt-record column
-        # alone, and with fewer columns its parser flags different lines.
-        reads_data = F.length(F.concat_ws("\u0001", *[F.col(f"_c{i}") for i in range(width)])) >= 0
-        df = df.where((bad.isNull() | (fields <= width)) & reads_data)
-    if row_id:
-        # numbered after the drop: kept rows have consecutive positions
-        df = with_file_order_id(df, row_id)
-
-    def field(i):
-        c = F.col(f"_c{i}")
-        return F.regexp_replace(c, "\uFFFD", "") if encoding else c
-
-    return df.select(*([row_id] if row_id else []), *[field(i).alias(n) for i, n in enumerate(names)])
+    cells = [F.col("`" + n.replace("`", "``") + "`") for n in fields]
+    # Spark flags short and long lines alike; a flagged line is long when
+    # it has more fields than the header (quoted fields blanked first)
+    bad = F.col(CORRUPT)
+    found = F.size(F.split(F.regexp_replace(bad, r'"[^"]*+(?:""[^"]*+)*+"', ""), re.escape(sep), -1))
+    # The second term (never false) makes every use of this flag read all data
+    # columns: Spark refuses a scan of the corrupt-record column alone, and
+    # with fewer columns its parser flags different lines.
+    reads_data = F.length(F.concat_ws("\u0001", *cells)) >= 0
+    long = bad.isNotNull() & (found > width) & reads_data
+    return names, reader.csv(path).select(*(c.alias(f"_c{i}") for i, c in enumerate(cells)),
+                                          F.coalesce(long, F.lit(False)).alias("_long"), "_metadata")
+
+
+def _compare_first_lines(spark: SparkSession, path: str, encoding: str | None) -> None:
+    """Raise unless all files have the same first line."""
+    reader = spark.read.option("encoding", encoding) if encoding else spark.read
+    heads = (reader.option("lineSep", "\n").text(path).where(F.col("_metadata.file_block_start") == 0)
+             .select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"),
+                     F.regexp_replace("value", "\r$", "").alias("line"))
+             .groupBy("file").agg(F.min_by("line", "at").alias("head")))
+    if heads.select("head").distinct().limit(2).count() > 1:
+        raise DataTypeError(f"headers differ in {path}", {"error": "files of one folder need one header"})
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, encoding: str | None = None) -> None:
     w = df.write.mode("overwrite").option("header", str(header).lower()).option("quote", '"').option("escape", '"')
+    w = w.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
     if encoding:
         w = w.option("encoding", encoding)
     w.csv(path)

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from colsense import convert, infer_types, merge_chunk_types, chunk_types, preview_json, read_csv, write_csv
+from colsense import DataTypeError, convert, dropped_rows, infer_types, merge_chunk_types, chunk_types, preview_json, read_csv, write_csv
 from colsense.functions.datetime import to_datetime
 from colsense.operators.overrides import override_fails, override_value
 
@@ -71,3 +71,39 @@ def test_bigint_override_keeps_digits_and_reports_fractions(spark):
 def test_everyday_dates(spark, text, want):
     df = spark.createDataFrame([(text,)], "v string")
     assert df.select(to_datetime("v").cast("string").alias("x")).first().x == want
+
+
+def test_line_breaks_inside_quotes(spark, tmp_dir):
+    path = _file(tmp_dir, '"a\nb",c\n"line1\nline2",1\n"x, ""y""\n",2\n1,2,"3\n4"\n')
+    got = read_csv(spark, path, multiline=True)
+    assert got.columns == ["row_id", "a\nb", "c"]
+    assert [tuple(r) for r in got.orderBy("row_id").collect()] == [(0, "line1\nline2", "1"), (1, 'x, "y"\n', "2")]
+
+
+def test_dropped_rows_are_counted(spark, tmp_dir):
+    _file(tmp_dir, "a,b\n1,2\n1,2,3\n1\n", "x.csv")
+    _file(tmp_dir, "a,b\n1,2\n", "y.csv")
+    got = {r["path"][-5:]: (r["n_rows"], r["n_dropped"]) for r in dropped_rows(spark, tmp_dir).collect()}
+    assert got == {"x.csv": (3, 1), "y.csv": (1, 0)} and read_csv(spark, tmp_dir, row_id=None).count() == 3
+
+
+@pytest.mark.parametrize("head", ["b,a", "a,b,c", "a"])
+def test_other_header_in_a_file_fails(spark, tmp_dir, head):
+    _file(tmp_dir, "a,b\n1,2\n", "x.csv")
+    _file(tmp_dir, head + "\n1,2\n", "y.csv")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, tmp_dir, row_id=None).collect()
+
+
+def test_other_header_with_repeated_names_fails(spark, tmp_dir):
+    _file(tmp_dir, "a,a\n1,2\n", "x.csv")
+    assert read_csv(spark, tmp_dir, row_id=None).columns == ["a", "a.1"]
+    _file(tmp_dir, "a,b\n1,2\n", "y.csv")
+    with pytest.raises(DataTypeError):
+        read_csv(spark, tmp_dir, row_id=None)
+
+
+def test_written_blanks_stay(spark, tmp_dir):
+    out = os.path.join(tmp_dir, "w.csv")
+    write_csv(spark.createDataFrame([(" a ", "\tb")], "a string, b string"), out)
+    assert [tuple(r) for r in read_csv(spark, out, row_id=None).collect()] == [(" a ", "\tb")]
