@@ -83,8 +83,6 @@ DATETIME_MIN_RATIO = 0.9     # exclusive
 
 # Defaults of the original tool.
 DEFAULT_CHUNK_ROWS = 100000
-DEFAULT_SAMPLE_ROWS = 10000
-SAMPLE_SEED = 42
 ERROR_SAMPLE_SIZE = 5
 DEFAULT_PAGE_SIZE = 10
 

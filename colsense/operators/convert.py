@@ -170,13 +170,12 @@ def category_dictionary(df: DataFrame, column: str) -> DataFrame:
     return with_row_id(distinct, order_by=["value"], name="code")
 
 
-def category_codes(df: DataFrame, column: str, dictionary: DataFrame | None = None,
-                   broadcast_limit: int = 1_000_000) -> DataFrame:
-    """Add ``<column>_code`` by joining the dictionary back.  The dictionary
-    is broadcast only when its counted size is under ``broadcast_limit``."""
+def category_codes(df: DataFrame, column: str, dictionary: DataFrame | None = None) -> DataFrame:
+    """Add ``<column>_code`` by joining the dictionary back.  Spark broadcasts
+    the dictionary if its measured size in bytes allows it, else it joins by
+    exchange, where adaptive execution splits a value that many rows have.
+    Missing values have no code."""
     d = dictionary if dictionary is not None else category_dictionary(df, column)
-    n = d.count()
     d = d.withColumnRenamed("value", "_cat_value").withColumnRenamed("code", f"{column}_code")
-    side = F.broadcast(d) if n <= broadcast_limit else d
-    key = null_if_missing(F.col(column).cast("string"))
-    return (df.withColumn("_cat_value", key).join(side, "_cat_value", "left").drop("_cat_value"))
+    key = null_if_missing(F.col("`" + column.replace("`", "``") + "`").cast("string"))
+    return df.withColumn("_cat_value", key).join(d, "_cat_value", "left").drop("_cat_value")

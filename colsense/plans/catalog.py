@@ -19,7 +19,7 @@ from colsense.functions.missing import is_missing_pattern, is_missing_token
 from colsense.functions.numeric import numeric_parts, separators, strip_currency
 from colsense.functions.text import guarded_double, norm
 from colsense.operators.chunks import chunk_errors, chunk_types, merge_chunk_types
-from colsense.operators.convert import category_dictionary, convert, errors_frame
+from colsense.operators.convert import category_codes, category_dictionary, convert, errors_frame
 from colsense.operators.infer import decide, infer_types
 from colsense.operators.paging import page, preview_bool, preview_json
 from colsense.operators.profile import profile
@@ -447,6 +447,11 @@ register("category_dictionary",
          "FROM (SELECT DISTINCT o_orderpriority AS value FROM orders WHERE o_orderpriority IS NOT NULL)")(
     lambda spark, d: category_dictionary(load(spark, d, "orders"), "o_orderpriority"))
 
+register("category_codes",
+         "SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderpriority IS NOT NULL THEN CAST(dense_rank() OVER "
+         "(ORDER BY o_orderpriority NULLS LAST) - 1 AS BIGINT) END AS o_orderpriority_code FROM orders")(
+    lambda spark, d: category_codes(load(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority"))
+
 # --------------------------------------------------------------- CSV source
 
 def _orders_text(spark, d):

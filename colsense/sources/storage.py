@@ -33,8 +33,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared checkpoint folder."""
     base = checkpoint_dir(spark)
     return f"{base.rstrip('/')}/colsense/{name}-{uuid.uuid4().hex}"
-
-
-def local_path(path: str) -> str:
-    """Path without a file: scheme, for Python-side file access in local mode."""
-    return path[len("file:"):] if path.startswith("file:") else path

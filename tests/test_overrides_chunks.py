@@ -92,8 +92,15 @@ def test_category_codes_both_join_paths(spark):
     df = spark.createDataFrame([(i, ["b", "a", "c", "NA"][i % 4]) for i in range(40)], "row_id long, v string")
     d = {r["value"]: r["code"] for r in category_dictionary(df, "v").collect()}
     assert d == {"a": 0, "b": 1, "c": 2}
-    small = category_codes(df, "v", broadcast_limit=10)
-    large = category_codes(df, "v", broadcast_limit=1)
-    a = sorted((r["row_id"], r["v_code"]) for r in small.collect())
-    b = sorted((r["row_id"], r["v_code"]) for r in large.collect())
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+
+    def codes(threshold):
+        spark.conf.set(limit, threshold)
+        return sorted((r["row_id"], r["v_code"]) for r in category_codes(df, "v").collect())
+
+    try:
+        a, b = codes("10m"), codes("-1")
+    finally:
+        spark.conf.set(limit, before)
     assert a == b and a[0] == (0, 1) and a[3] == (3, None)
