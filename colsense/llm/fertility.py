@@ -4,12 +4,16 @@ Base rules look at words, lines and repeated word windows.  The method adds
 three measures of how public vocabularies cope with a text: characters per
 token and the share of tokens that fall back to single bytes (a vocabulary with
 byte fallback), and the entropy of its tokens in bits.  Each measure has a band
-for each script; a text outside a band is rejected.
+for each language of a script, and one for the script, which holds for texts
+without a language and for languages with less than ``LEAST`` texts; a text
+outside a band is rejected.
 
 Bands come from all texts that pass the base rules: the median of a measure,
-plus and minus ``spread`` times the median distance from it on that side, but
-never narrower than ``FLOOR``.  Scripts are a fixed list, so the table of bands
-has a fixed size.
+plus and minus ``spread`` times the median distance from it on that side (six of
+them are about four standard deviations of a normal distribution), but never
+narrower than ``FLOOR`` and never down to less than half of the median.  Scripts
+are a fixed list and a language needs ``LEAST`` texts, so the table of bands is
+small.
 
 Words are encoded one by one (no piece of the vocabulary holds a space between
 letters), with a bounded memory of the words met.
@@ -30,9 +34,11 @@ from colsense.llm.common import SPACES, map_batches, written
 SYMBOLS = b"#*$%&|<>"
 #: Scripts by the first word of a letter's Unicode name; others are "Other".
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Cjk", "Hiragana", "Katakana", "Hangul", "Thai")
-#: Least half-width of a band: (characters per token, fallback share, entropy).
-FLOOR = {"chars_per_token": 0.6, "fallback_share": 0.1, "token_entropy": 2.0}
+#: Least half-width of a band as a part of the median; of the fallback share, itself a part, as it is.
+FLOOR = {"chars_per_token": 0.05, "fallback_share": 0.05, "token_entropy": 0.1}
 MEASURES = tuple(FLOOR)
+#: Texts that a language needs for bands of its own.
+LEAST = 100
 _CONTINUED = bytes(range(0x80, 0xC0))
 
 
@@ -139,38 +145,59 @@ COLUMNS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_
            "script": "string", "chars_per_token": "double", "fallback_share": "double", "token_entropy": "double"}
 
 
-def bands(measured: DataFrame, spread: float = 12.0) -> DataFrame:
-    """(script, low and high of each measure) over the rows that pass the base
-    rules.  Medians are approximate ones that Spark merges from each task."""
+def bands(measured: DataFrame, spread: float = 6.0) -> DataFrame:
+    """(script, lang, low and high of each measure) over the rows that pass the
+    base rules; the bands of a whole script have a null ``lang``.  Medians are
+    approximate ones that Spark merges from each task."""
     sane = measured.where("not base_failed and script is not null")
-    middle = sane.groupBy("script").agg(*(F.percentile_approx(m, 0.5, 1000).alias(f"{m}_mid") for m in MEASURES))
-    off = sane.join(middle, "script")
+    # each row once for its script and, if it has a language, once for that
+    levels = sane.select("script", F.explode(F.array_distinct(F.array(F.lit(None).cast("string"), "__lang"))).alias("lang"),
+                         *MEASURES)
+    middle = (levels.groupBy("script", "lang").agg(F.count("*").alias("n"), *(
+        F.percentile_approx(m, 0.5, 1000).alias(f"{m}_mid") for m in MEASURES))
+        .where((F.col("n") >= LEAST) | F.col("lang").isNull())
+        .withColumnsRenamed({"script": "__of_script", "lang": "__of_lang"}))
+    off = levels.join(F.broadcast(middle), (F.col("script") == F.col("__of_script")) & F.col("lang").eqNullSafe(F.col("__of_lang")))
     sides = []
     for m in MEASURES:
         far = F.col(m) - F.col(f"{m}_mid")
         sides += [F.percentile_approx(F.when(far <= 0, -far), 0.5, 1000).alias(f"{m}_down"),
                   F.percentile_approx(F.when(far >= 0, far), 0.5, 1000).alias(f"{m}_up"), F.first(f"{m}_mid").alias(f"{m}_mid")]
-    width = off.groupBy("script").agg(*sides)
-    edge = lambda m, side: F.greatest(F.lit(FLOOR[m]), spread * F.coalesce(F.col(f"{m}_{side}"), F.lit(0.0)))
-    return width.select("script", *(x for m in MEASURES for x in (
-        (F.col(f"{m}_mid") - edge(m, "down")).alias(f"{m}_low"), (F.col(f"{m}_mid") + edge(m, "up")).alias(f"{m}_high"))))
+    width = off.groupBy("script", "lang").agg(*sides)
+
+    def edge(m: str, side: str):
+        mid = F.col(f"{m}_mid")
+        least = F.lit(FLOOR[m]) if m == "fallback_share" else FLOOR[m] * mid
+        return F.greatest(least, spread * F.coalesce(F.col(f"{m}_{side}"), F.lit(0.0)))
+
+    return width.select("script", "lang", *(x for m in MEASURES for x in (
+        (F.col(f"{m}_mid") - F.least(edge(m, "down"), F.col(f"{m}_mid") / 2)).alias(f"{m}_low"),
+        (F.col(f"{m}_mid") + edge(m, "up")).alias(f"{m}_high"))))
 
 
 def judge(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
-          min_words: int = 50, spread: float = 12.0) -> DataFrame:
+          min_words: int = 50, spread: float = 6.0, lang: str | None = None) -> DataFrame:
     """``measure`` plus ``base_failed``, ``kept`` and ``reasons`` (the measures
-    out of their band).  Texts that fail the base rules are not kept; a script
-    without a band (no text of it passed) rejects nothing more.  Entropy has no
-    upper bound of its own: long texts may hold many tokens, so only its lower
-    end rejects; so does only the upper end of the fallback share."""
+    out of their band).  ``lang`` names the column of languages; without it
+    bands are by script alone.  Texts that fail the base rules are not kept; a
+    script without a band (no text of it passed) rejects nothing more.  Entropy
+    has no upper bound of its own: long texts may hold many tokens, so only its
+    lower end rejects; so does only the upper end of the fallback share."""
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    measured = written(measure(docs, vocabulary, text, keep).withColumn("base_failed", failed), "fertility")
-    limits = F.broadcast(bands(measured, spread))  # one row for each of the fixed scripts
-    low = lambda m: F.col(m) < F.col(f"{m}_low")
-    high = lambda m: F.col(m) > F.col(f"{m}_high")
+    named = docs.withColumn("__lang", (F.col(f"`{lang}`") if lang else F.lit(None)).cast("string"))
+    measured = written(measure(named, vocabulary, text, (*keep, "__lang")).withColumn("base_failed", failed), "fertility")
+    limits = written(bands(measured, spread), "fertility-bands")  # a row for each script and language with texts enough
+    edges = [f"{m}_{side}" for m in MEASURES for side in ("low", "high")]
+    script = limits.where("lang is null").select(F.col("script").alias("__of_script"), F.struct(*edges).alias("__by_script"))
+    own = limits.where("lang is not null").select(F.col("script").alias("__in_script"), F.col("lang").alias("__in_lang"),
+                                                  F.struct(*edges).alias("__by_lang"))
+    rows = (measured.join(F.broadcast(script), F.col("script") == F.col("__of_script"), "left")
+            .join(F.broadcast(own), (F.col("script") == F.col("__in_script")) & (F.col("__lang") == F.col("__in_lang")), "left")
+            .withColumn("__band", F.coalesce("__by_lang", "__by_script")))
+    low = lambda m: F.col(m) < F.col("__band")[f"{m}_low"]
+    high = lambda m: F.col(m) > F.col("__band")[f"{m}_high"]
     out = {"chars_per_token": low("chars_per_token") | high("chars_per_token"),
            "fallback_share": high("fallback_share"), "token_entropy": low("token_entropy")}
     reasons = F.array_compact(F.array(*(F.when(c, F.lit(m)) for m, c in out.items())))
-    rows = measured.join(limits, "script", "left").withColumn("reasons", reasons)
-    return rows.select(*keep, *COLUMNS, "base_failed", (~F.col("base_failed") & (F.size("reasons") == 0)).alias("kept"),
-                       "reasons")
+    return (rows.withColumn("reasons", reasons)
+            .select(*keep, *COLUMNS, "base_failed", (~F.col("base_failed") & (F.size("reasons") == 0)).alias("kept"), "reasons"))

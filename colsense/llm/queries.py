@@ -62,7 +62,7 @@ def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word statistics of every text and the verdict of the fertility bands."""
     docs = read_table(spark, sf_dir, "documents")
-    out = fertility.judge(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    out = fertility.judge(docs, public_tokenizers.path("piece_bpe_32k.model"), lang="lang")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
                       "script", *fertility.MEASURES)
 

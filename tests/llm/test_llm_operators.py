@@ -105,6 +105,26 @@ def test_fertility_rejects_what_is_no_text(spark):
     assert {r.doc_id for r in out.collect() if not r.kept and not r.base_failed} == {99}
 
 
+def test_fertility_rejects_latin_junk_by_language(spark):
+    rng = random.Random(6)
+    some = spark.read.parquet(f"{SF_SMALL}/documents.parquet").where("lang in ('en', 'es')").select("lang", "text").collect()
+    pool = {lang: sorted({w for r in some if r.lang == lang for w in r.text.split() if w.isalpha()}) for lang in ("en", "es")}
+    text = lambda lang, n=150: " ".join(rng.choice(pool[lang]) for _ in range(n))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(["en"] * 150 + ["es"] * 150)]
+    rows += [(i, text("es", 60), "tiny") for i in range(300, 303)] + [(i, text("en"), None) for i in range(303, 306)]
+    spoil = [lambda w: w[::-1], lambda w: "".join(rng.sample(w, len(w))), lambda w: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in w)]
+    rows += [(900 + i, " ".join(map(f, text("en").split())), "en") for i, f in enumerate(spoil)]
+    rows.append((903, " ".join(rng.choice(pool["en"][::300][:9]) for _ in range(150)), "en"))
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").select("*", *(F.lit("x").alias(c) for c in CLASH))
+    gone = {r.doc_id for r in fertility.judge(df, path, lang="lang").collect() if not r.kept and not r.base_failed}
+    assert gone >= {900, 901, 902, 903} and len(gone - {900, 901, 902, 903}) <= 15, gone
+    measured = fertility.measure(df.withColumn("__lang", F.col("lang")), path, keep=("doc_id", "__lang"))
+    limits = {(r.script, r.lang): r for r in fertility.bands(measured.withColumn("base_failed", F.lit(False))).collect()}
+    assert set(limits) == {("Latin", None), ("Latin", "en"), ("Latin", "es")}
+    assert all(r.chars_per_token_low > 0 and r.token_entropy_low > 0 for r in limits.values())
+
+
 def test_personal_data(spark, none):
     rows = [(i, f"please call me at +1 555 010 {1000 + i} today") for i in range(12)]
     rows += [(100, "please call me at 030 5557788 today"), (101, "order number 20240102 came"), (102, None), (103, ""),
