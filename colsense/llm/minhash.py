@@ -202,6 +202,7 @@ def rarest(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, seed: int = 11,
                     others: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs``: ``row``, ``doc_id``, ``text`` (bytes), ``n_shingles``,
+    ``component`` (digest that names the component; null without a word),
     ``component_id`` (smallest doc_id reachable), ``kept`` and, if there are
     ``others``, the struct ``other`` with these columns.
 
@@ -209,7 +210,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, seed: in
     doc_id stand alone unless their texts link them; of several rows with the
     component's id all are kept by ``kept`` (``deduplicate`` keeps one).  A null
     doc_id counts as larger than any; a component of such rows has a null id
-    and is kept.  An empty table gives an empty table.
+    and is kept.  Components with the same id, null or not, stay apart by
+    ``component``.  An empty table gives an empty table.
     """
     rows = profile(docs, words, seed, others)
     labels = components(rows, words, percent)
@@ -218,11 +220,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, seed: in
     smallest = written(linked.where("node is not null").groupBy("label")
                        .agg(F.min("doc_id").alias("component_id")), "minhash-groups")
     by_node = (linked.where("node is not null").select("node", "label").distinct()
-               .join(smallest, "label").select("node", "component_id"))
+               .join(smallest, "label").select("node", F.col("label").alias("component"), "component_id"))
     out = rows.join(by_node, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("row", "doc_id", "text", "n_shingles", component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"), *(["other"] if others else []))
+    smallest_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("row", "doc_id", "text", "n_shingles", "component", smallest_id.alias("component_id"),
+                      F.col("doc_id").eqNullSafe(smallest_id).alias("kept"), *(["other"] if others else []))
 
 
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 75, seed: int = 11) -> DataFrame:
@@ -231,7 +233,7 @@ def deduplicate(docs: DataFrame, words: int = 5, percent: int = 75, seed: int =
     without a word stay, rows that repeat such a doc_id too."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     out = near_duplicates(docs, words, percent, seed, others).where("kept")
-    first = out.where("n_shingles > 0").groupBy("component_id").agg(F.min("row").alias("row"))
+    first = out.where("n_shingles > 0").groupBy("component").agg(F.min("row").alias("row"))
     stay = out.join(first.select("row"), "row", "left_semi").unionByName(out.where("n_shingles = 0"))
     return stay.select(*(F.col("doc_id") if c == "doc_id" else F.col("text").cast("string").alias("text") if c == "text"
                          else F.col("other")[c].alias(c) for c in docs.columns))

@@ -168,6 +168,16 @@ def test_near_duplicates(spark, docs, texts, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_deduplicate_keeps_unlike_texts_with_equal_ids(spark):
+    rng = random.Random(12)
+    text = [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(60)) for _ in range(8)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (None, text[2] + " end"), (None, text[2]), (5, text[3]), (5, text[4]),
+            (5, text[4]), (6, text[5]), (None, text[5]), (7, text[6]), (8, text[6]), (8, text[7]), (None, None), (None, "")]
+    got = minhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    want = [rows[i] for i in (0, 1, 3, 5, 6, 8, 10, 12, 13, 14)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_near_duplicates_in_a_drifting_group(spark):
     rng, words = random.Random(8), [f"w{i}" for i in range(400)]
     rows, now = [], [rng.choice(words) for _ in range(120)]
