@@ -541,14 +541,20 @@ def _sample_deterministic(spark, d):
 
 @register("stream_chunk_types")
 def _stream_chunk_types(spark, d):
-    """Orders text written as CSV files, typed one file per micro-batch, merged."""
+    """Orders text written as CSV files, typed in eight micro-batches, merged.
+
+    Files are dealt by row id, and their number follows from the rows alone:
+    one a micro-batch, more only if a file would pass 100 000 rows."""
     from colsense.streaming import merged_stream_types, start_typing_stream
-    src = _written(spark, d, "stream_source")
-    table = scratch_path(spark, "stream_types")
+    src, table = scratch_path(spark, "stream_source"), scratch_path(spark, "stream_types")
     cols = TABLE_COLUMNS["orders"]
-    # about eight micro-batches, whatever number of files the write produced
-    n_files = len(spark.read.text(src).inputFiles())
-    q = start_typing_stream(spark, src, cols, table, max_files_per_trigger=max(1, -(-n_files // 8)))
+    rows = _orders_text(spark, d)
+    per_batch = max(1, -(-rows.count() // (8 * 100_000)))
+    files = 8 * per_batch
+    write_csv(rows.withColumn("file", F.col("row_id") % files).drop("row_id").repartition(files, "file"), src,
+              partition_by="file")
+    # the folders by file number are no column of the stream
+    q = start_typing_stream(spark, src + "/file=*", cols, table, max_files_per_trigger=per_batch)
     q.awaitTermination()
     return merged_stream_types(spark, table).select("column", "inferred_type", "n_chunks")
 

@@ -190,9 +190,12 @@ def _compare_first_lines(spark: SparkSession, path: str, encoding: str | None) -
         raise DataTypeError(f"headers differ in {path}", {"error": "files of one folder need one header"})
 
 
-def write_csv(df: DataFrame, path: str, header: bool = True, encoding: str | None = None) -> None:
+def write_csv(df: DataFrame, path: str, header: bool = True, encoding: str | None = None,
+              partition_by: str | None = None) -> None:
     w = df.write.mode("overwrite").option("header", str(header).lower()).option("quote", '"').option("escape", '"')
     w = w.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
     if encoding:
         w = w.option("encoding", encoding)
+    if partition_by:
+        w = w.partitionBy(partition_by)
     w.csv(path)

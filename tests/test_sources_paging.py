@@ -89,6 +89,18 @@ def test_row_ids_contiguous(spark):
     assert sorted(r["row_id"] for r in plain.collect()) == list(range(300))
 
 
+@pytest.mark.parametrize("partitions", ["1", "5"])
+def test_stream_query_has_eight_chunks_however_rows_are_dealt(spark, partitions):
+    from colsense.plans.catalog import QUERIES
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = QUERIES["stream_chunk_types"](spark, "/root/testdata/sf0.001").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert len(got) == 6 and {r["n_chunks"] for r in got} == {8}
+
+
 def test_stream_is_idempotent_per_batch(spark, tmp_dir):
     from colsense.streaming import batch_types, merged_stream_types, start_typing_stream
     src = os.path.join(tmp_dir, "in")
