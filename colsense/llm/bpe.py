@@ -60,6 +60,9 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Transducer:
     """Bytes of one piece -> ids, one byte at a time."""
 
+    #: Pieces of more bytes than this are encoded by ``stream``.
+    WALK = 4096
+
     def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
@@ -143,9 +146,12 @@ class Transducer:
         return arc
 
     def encode(self, piece: bytes) -> list[int]:
-        """All ids of ``piece``: one walk to its end, then back along the tokens."""
+        """All ids of ``piece``: one walk to its end, then back along the tokens;
+        of a long piece each id as soon as it is sure."""
         if piece in self.ranks:
             return [self.ranks[piece]]
+        if len(piece) > self.WALK:
+            return list(self.stream((piece,)))
         if len(self._states) > self.max_states:
             self._reset()
         ended, state, arcs = [], self.start, self._arcs
@@ -164,11 +170,16 @@ class Transducer:
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
         """Ids of one piece that comes in chunks, each as soon as no later byte
-        can change it.  Holds at most the bytes since the last sure token."""
+        can change it.  Holds at most the bytes since the last sure token, and
+        little more than ``max_states`` states."""
         ended: list[int] = []
         state = self.start
         for chunk in chunks:
             for byte in chunk:
+                if len(self._states) > self.max_states:
+                    live = self._states[state]
+                    self._reset()
+                    state = self._state(live)
                 state, token = self._arcs[state].get(byte) or self._arc(state, byte)
                 ended.append(token)
                 starts = {len(ended) - len(held) for held, _ in self._states[state]}

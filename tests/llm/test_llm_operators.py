@@ -66,6 +66,17 @@ def test_bpe_streams():
         assert "".join(decoder.stream(ids)) == raw.decode("utf-8", "replace")
 
 
+def test_bpe_holds_little_of_a_long_piece(monkeypatch):
+    import tiktoken
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    one, rng, held, walk = bpe.Transducer(ranks, max_states=200), random.Random(7), [], bpe.Transducer._walk_back
+    monkeypatch.setattr(bpe.Transducer, "_walk_back", lambda self, ended, end: held.append(len(ended)) or walk(self, ended, end))
+    for piece in ("".join(rng.choice(["a", "th", "ing", "é", "tion", "e", "x", "漢"]) for _ in range(20000)), "a" * 50000):
+        assert one.encode(piece.encode()) == own._encode_single_piece(piece)
+        assert max(held) < 500 and len(one._states) <= 202
+
+
 def test_language_is_learned(spark, none):
     rows = [(i, w * 20, lang) for i, (w, lang) in enumerate(
         [("the cat and dog ", "en"), ("der hund und katze ", "de"), ("le chien et chat ", "fr")] * 4)]
