@@ -8,7 +8,8 @@ import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from colsense.sources.storage import scratch_path
 
@@ -35,6 +36,31 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, groups: list[str], order: list[str], label: str) -> DataFrame:
+    """``df`` as a written table with ``index`` (0, 1, ... in each group, by
+    ``order``, nulls first) and ``total`` (rows of the group).  Rows that tie
+    on all of it are numbered as they were dealt.
+
+    The sort is a range partitioning by all keys, so a group that holds most
+    rows, or rows that are all equal, go to as many tasks as any others.  The
+    counts that make the numbers are one row for each group and partition; a
+    window meets at most one row of a group for each partition.
+    """
+    keys = [*groups, *order, "__dealt"]
+    dealt = df.withColumn("__dealt", F.monotonically_increasing_id())
+    placed = written(dealt.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__dealt")
+                     .withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), label)
+    runs = placed.groupBy("__part", *groups).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    group = Window.partitionBy(*groups)
+    before = F.sum("__n").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select(F.col("__part").alias("__p"), *(F.col(g).alias(f"__g_{g}") for g in groups),
+                       (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__shift"), F.sum("__n").over(group).alias("total"))
+    same = F.col("__part") == F.col("__p")
+    for g in groups:
+        same &= F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+    return placed.join(runs, same).select(*df.columns, (F.col("__at") + F.col("__shift")).alias("index"), "total")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers of the session, once."""
     sc = spark.sparkContext

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colsense.llm import ann, bpe, chat, fertility, langid, minhash, mixing, passages, pii, warc
+from colsense.llm import ann, bpe, chat, fertility, langid, merkle, minhash, mixing, passages, pii, warc
 from colsense.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,78 @@ def op8_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"])
     return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree for each language over all documents, and each document proved,
+    with ``n_chars`` tampered where 7 divides the checksum of the id."""
+    docs = read_table(spark, sf_dir, "documents")
+    changed = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & F.col("n_chars").isNotNull()
+    parts = [merkle.field_text(c) for c in FIELDS]
+    leaf, claim = merkle.row_digest(*parts), merkle.row_digest(*parts[:3], merkle.field_text("more"), *parts[4:])
+    rows = docs.withColumn("more", F.col("n_chars") + 1).select(
+        "doc_id", "lang", leaf.alias("leaf"), F.when(changed, claim).alias("claim"))
+    manifest = merkle.build(rows, "leaf", "lang", ["doc_id"], ("doc_id", "claim"))
+    out = merkle.proofs(manifest)
+    out = out.withColumn("folded", merkle.folded(manifest, F.coalesce("item.claim", "leaf")))
+    root = F.lit(manifest.root)
+
+    def text(x):
+        return F.lower(F.hex(x))
+
+    return out.select("item.doc_id", text("leaf").alias("leaf"), text("subroot").alias("subroot"), text(root).alias("root"),
+                      F.sha2(text("path").cast("binary"), 256).alias("proof_sha256"), text("folded").alias("folded_root"),
+                      (F.col("folded") == root).alias("verified"))
+
+
+ORACLES["op11_merkle_manifest"] = r"""
+WITH RECURSIVE
+bits AS (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+         FROM range(256) t(b)),
+crc AS (SELECT list(v ORDER BY b) AS v FROM bits),
+fields AS (SELECT doc_id, lang, n_chars,
+           xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+                           lambda c, b: xor(c >> 8, crc.v[(xor(c, b) & 255) + 1])), 4294967295) AS check_sum,
+           coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+               || coalesce(strlen(lang) || ':' || lang, '-') AS before,
+           coalesce(strlen(text) || ':' || text, '-') AS after
+           FROM documents, crc),
+leaves AS (SELECT doc_id, lang, sha256(before || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || after) AS leaf,
+           CASE WHEN check_sum % 7 = 0 AND n_chars IS NOT NULL
+                THEN sha256(before || strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) || after) END AS claim
+           FROM fields),
+langs AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT lang FROM documents)),
+placed AS (SELECT row_number() OVER () AS doc, doc_id, leaf, claim, tree,
+                  row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+           FROM leaves JOIN langs ON leaves.lang IS NOT DISTINCT FROM langs.lang),
+nodes AS (SELECT tree, 0 AS depth, i, leaf AS h FROM placed
+          UNION ALL
+          SELECT tree, depth + 1, i // 2, sha256(string_agg(h, '' ORDER BY i))
+          FROM (SELECT *, max(i) OVER (PARTITION BY tree) AS most FROM nodes) WHERE most > 0 GROUP BY tree, depth, i // 2),
+subroots AS (SELECT tree, arg_max(h, depth) AS h, max(depth) AS depth FROM nodes GROUP BY tree),
+over AS (SELECT 0 AS depth, tree AS i, h FROM subroots
+         UNION ALL
+         SELECT depth + 1, i // 2, sha256(string_agg(h, '' ORDER BY i))
+         FROM (SELECT *, max(i) OVER () AS most FROM over) WHERE most > 0 GROUP BY depth, i // 2),
+top AS (SELECT arg_max(h, depth) AS root, max(depth) AS depth FROM over),
+steps AS (SELECT doc, tree, 0 AS depth, i, coalesce(claim, leaf) AS h, '' AS path FROM placed
+          UNION ALL
+          SELECT s.doc, s.tree, s.depth + 1, CASE WHEN s.depth + 1 = r.depth THEN s.tree ELSE s.i // 2 END,
+                 sha256(CASE WHEN s.i % 2 = 1 THEN n.h || s.h ELSE s.h || coalesce(n.h, '') END), s.path || coalesce(n.h, '')
+          FROM (SELECT steps.*, subroots.depth AS d FROM steps JOIN subroots USING (tree)) s
+          JOIN subroots r ON r.tree = s.tree LEFT JOIN nodes n ON n.tree = s.tree AND n.depth = s.depth AND n.i = xor(s.i, 1)
+          WHERE s.depth < s.d),
+below AS (SELECT s.doc, s.tree, s.h, s.path FROM steps s JOIN subroots r ON r.tree = s.tree AND r.depth = s.depth),
+climbs AS (SELECT doc, 0 AS depth, tree AS i, h, path FROM below
+           UNION ALL
+           SELECT c.doc, c.depth + 1, c.i // 2,
+                  sha256(CASE WHEN c.i % 2 = 1 THEN o.h || c.h ELSE c.h || coalesce(o.h, '') END), c.path || coalesce(o.h, '')
+           FROM climbs c CROSS JOIN top LEFT JOIN over o ON o.depth = c.depth AND o.i = xor(c.i, 1)
+           WHERE c.depth < top.depth)
+SELECT p.doc_id, p.leaf, r.h AS subroot, t.root, sha256(c.path) AS proof_sha256, c.h AS folded_root, c.h = t.root AS verified
+FROM placed p JOIN subroots r ON r.tree = p.tree CROSS JOIN top t JOIN climbs c ON c.doc = p.doc AND c.depth = t.depth
+"""
