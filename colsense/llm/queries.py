@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colsense.llm import ann, bpe, chat, fertility, langid, merkle, minhash, mixing, passages, pii, warc
+from colsense.llm import ann, bpe, chat, collocations, fertility, langid, merkle, minhash, mixing, passages, pii, warc
 from colsense.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -244,3 +244,36 @@ climbs AS (SELECT doc, 0 AS depth, tree AS i, h, path FROM below
 SELECT p.doc_id, p.leaf, r.h AS subroot, t.root, sha256(c.path) AS proof_sha256, c.h AS folded_root, c.h = t.root AS verified
 FROM placed p JOIN subroots r ON r.tree = p.tree CROSS JOIN top t JOIN climbs c ON c.doc = p.doc AND c.depth = t.depth
 """
+
+
+@query
+def op13_dynamic_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of every language, from counts over all texts."""
+    return collocations.mine(read_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_dynamic_collocations"] = r"""
+WITH pieces AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+    FROM (SELECT coalesce(lang, 'und') AS lang,
+                 unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL)),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+          FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 5) t(k))),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+often AS MATERIALIZED (SELECT * FROM f WHERE f >= 30),
+words AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM often WHERE k > 1),
+cuts AS (SELECT c.lang, c.phrase, c.a, cut, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.a) // (x.f::HUGEINT + y.f))::BIGINT AS score
+         FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c
+         JOIN often x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:cut], ' ')
+         JOIN often y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:], ' ')),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS most
+           FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM candidates, range(2, 4) t(m) WHERE m < k) GROUP BY 1, 2),
+kept AS (SELECT s.* FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase
+         WHERE i.most IS NULL OR 100::HUGEINT * i.most < 80::HUGEINT * s.a)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept) JOIN words USING (lang)
+WHERE rank <= 2000
+"""
