@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colsense.llm import ann, bpe, chat, collocations, fertility, langid, merkle, minhash, mixing, passages, pii, warc
+from colsense.llm import ann, bpe, chat, collocations, fertility, langid, merkle, minhash, mixing, passages, pii, projections, warc
 from colsense.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,6 +246,28 @@ FROM placed p JOIN subroots r ON r.tree = p.tree CROSS JOIN top t JOIN climbs c
 """
 
 
+@query
+def op12_collision_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector among those of its label."""
+    return projections.links(read_table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_collision_projections"] = r"""
+WITH RECURSIVE
+own AS (SELECT row_number() OVER () AS row, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+usable AS (SELECT * FROM own WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                               AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.row AS a, b.row AS b FROM usable a JOIN usable b
+                       ON a.label = b.label AND a.row <> b.row AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+met AS (SELECT a AS row, a AS other FROM links UNION SELECT met.row, l.b FROM met JOIN links l ON l.a = met.other),
+component AS (SELECT met.row, min(own.vec_id) AS component_id FROM met JOIN own ON own.row = met.other GROUP BY met.row),
+counted AS (SELECT a AS row, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, CASE WHEN n_links IS NULL THEN vec_id ELSE component_id END AS component_id,
+       vec_id IS NOT DISTINCT FROM (CASE WHEN n_links IS NULL THEN vec_id ELSE component_id END) AS kept
+FROM own LEFT JOIN counted USING (row) LEFT JOIN component USING (row)
+"""
+
+
 @query
 def op13_dynamic_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 best phrases of every language, from counts over all texts."""
