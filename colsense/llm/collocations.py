@@ -6,13 +6,13 @@ step after both phrases that it has one word less than (without its last word,
 without its first) reached the threshold, so several lengths are counted in one
 scan.  A phrase is done after one full circle, which met every shard once.
 
-What tasks need to know is which phrases have reached the threshold.  They get
-it as a bitmap of ``2 ** filter_bits`` hashed bits as it was before a step and
-as it was a circle ago: a phrase is active if both subphrases are in the first
-and done if both are in the second.  Bits are never cleared, so every phrase
-that is counted at all is counted for exactly one circle, and counts are exact
-whatever bits collide; a collision only starts the count of a phrase that
-otherwise would not be counted.
+These counts are kept in ``2 ** table_bits`` counters, a phrase in that of its
+hash.  A counter holds at least what its phrases occur, so none that reaches the
+threshold is missed, and phrases that meet in one only make more phrases active.
+Tasks get one bit a counter (has it reached the threshold?), as it was before a
+step and as it was a circle ago: a phrase is active if both subphrases are in
+the first, and done if both are in the second.  When no phrase is active any
+more, one scan counts those exactly that are in the bits, by their words.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from colsense.llm.common import pa_schema, ship, written
 
 LONGEST = 4
-COUNTS = "lang string, k int, phrase binary, hash long, f long"
-PAGE = 1 << 15
+COUNTS = "lang string, k int, phrase binary, f long"
+#: Counters of a page, numbered by 16 bits.
+PAGE = 1 << 16
+PAGES = "page int, slots binary, counts binary"
 #: Text that a task holds at once, in bytes.
 CHUNK = 1 << 23
 
@@ -43,7 +45,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _EDGE = re.compile(rb"[ \t.,;:!?\n\x0b\x0c\r]")
 _AHEAD = re.compile(rb"(?:[ \t]+[^ \t.,;:!?\n\x0b\x0c\r]+){0,%d}" % (LONGEST - 1))
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP, _ONE, _UPPER = np.uint64(0x9E3779B97F4A7C15), np.uint64(1), np.uint64(1 << 63)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -89,8 +91,11 @@ class Bits:
         return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 != 0
 
 
-def count_chunk(chunk: list[tuple[str, bytes, bytes]], now: Bits, before: Bits, words_too: bool) -> Iterator[dict]:
-    """Columns of ``COUNTS``: the phrases of ``chunk`` that are active by ``now`` and not done by ``before``."""
+def count_chunk(chunk: list[tuple[str, bytes, bytes]], now: Bits, before: Bits | None, words_too: bool = False) -> Iterator:
+    """With ``before``: (hashes, counts) of the phrases of ``chunk`` that are
+    active by ``now`` and not done by ``before``.  Without it: columns of
+    ``COUNTS`` for the phrases that are in ``now`` themselves, and a row without
+    words (k 0) with the number of words for each language."""
     langs = sorted({c[0] for c in chunk})
     code = {x: i for i, x in enumerate(langs)}
     joined = np.frombuffer(b"\n".join(own + ahead for _, own, ahead in chunk), np.uint8)
@@ -113,22 +118,25 @@ def count_chunk(chunk: list[tuple[str, bytes, bytes]], now: Bits, before: Bits,
     del joined, kind, inside, edges, data
 
     lang = np.array([code[c[0]] for c in chunk])[segment]
-    units, first, unit = np.unique(lang * len(names) + word, return_index=True, return_inverse=True)
+    units, first, unit = _distinct(lang * len(names) + word, len(langs) * len(names))
     of_word = np.fromiter((xxhash.xxh3_64_intdigest(x.as_buffer()) for x in names), np.uint64, len(names))
     of_lang = np.array([xxhash.xxh3_64_intdigest(x.encode(), seed=1) for x in langs], np.uint64)
-    one = _mix(of_word[units % len(names)] + of_lang[units // len(names)])
+    one = _mix(of_word[units % len(names)] + of_lang[units // len(names)]) >> _ONE
 
-    def columns(k: int, at: np.ndarray, hashes: np.ndarray, f: np.ndarray) -> dict:
+    def columns(k: int, at: np.ndarray, f: np.ndarray) -> dict:
         parts = [names.take(pa.array(word[at + j])) for j in range(k)]
         phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if k > 1 else parts[0]
-        return {"lang": pa.array(langs).take(pa.array(lang[at])), "k": np.full(len(at), k), "phrase": phrase.cast(pa.binary()),
-                "hash": hashes.view(np.int64), "f": f}
+        return {"lang": pa.array(langs).take(pa.array(lang[at])), "k": np.full(len(at), k), "phrase": phrase.cast(pa.binary()), "f": f}
 
-    if words_too:
+    reached = now[one]
+    if before is None:
+        total = np.bincount(lang[own], minlength=len(langs))
+        yield {"lang": pa.array(langs), "k": np.zeros(len(langs), int), "phrase": pa.array([b""] * len(langs)), "f": total}
+    if before is None or words_too:
         f = np.bincount(unit[own], minlength=len(units))
-        some = np.flatnonzero(f)
-        yield columns(1, first[some], one[some], f[some])
-    hashes, frequent = one, np.where(now[one][unit], unit, -1)
+        some = np.flatnonzero((f > 0) & reached if before is None else f)
+        yield columns(1, first[some], f[some]) if before is None else (one[some], f[some])
+    hashes, frequent = one, np.where(reached[unit], unit, -1)
     for k in range(2, LONGEST + 1):
         both = (frequent[:-1] >= 0) & (frequent[1:] >= 0)
         if k == 2:
@@ -139,22 +147,88 @@ def count_chunk(chunk: list[tuple[str, bytes, bytes]], now: Bits, before: Bits,
             return
         keys, first, phrase = np.unique(frequent[at] * len(units) + unit[at + k - 1], return_index=True, return_inverse=True)
         first = at[first]
-        old = before[hashes]
-        open_ = ~(old[frequent[first]] & old[frequent[first + 1]])
-        longer = _mix(hashes[frequent[first]] * _STEP + one[unit[first + k - 1]])
+        longer = _mix(hashes[frequent[first]] * _STEP + one[unit[first + k - 1]]) >> _ONE
+        if k == LONGEST:  # the upper half: nothing depends on these bits, so the circle may end before they do
+            longer |= _UPPER
+        reached = now[longer]
+        if before is None:
+            wanted = reached
+        else:
+            old = before[hashes]
+            wanted = ~(old[frequent[first]] & old[frequent[first + 1]])
         f = np.bincount(phrase[own[at]], minlength=len(keys))
-        some = np.flatnonzero(open_ & (f > 0))
+        some = np.flatnonzero(wanted & (f > 0))
         if len(some):
-            yield columns(k, first[some], longer[some], f[some])
-        if k < LONGEST:
-            hashes, reached = longer, now[longer][phrase]
-            frequent = np.full(n, -1)
-            frequent[at[reached]] = phrase[reached]
-
-
-def frequent_phrases(docs: DataFrame, least: int = 30, shards: int = 4, filter_bits: int = 26) -> tuple[DataFrame, DataFrame]:
+            yield columns(k, first[some], f[some]) if before is None else (longer[some], f[some])
+        hashes, frequent = longer, np.full(n, -1)
+        frequent[at] = np.where(reached[phrase], phrase, -1)
+
+
+def _distinct(keys: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``np.unique`` with first places and inverse; without a sort if the keys are dense."""
+    if bound > 8 * len(keys):
+        return np.unique(keys, return_index=True, return_inverse=True)
+    first = np.full(bound, -1)
+    first[keys[::-1]] = np.arange(len(keys) - 1, -1, -1)
+    some = np.flatnonzero(first >= 0)
+    number = np.zeros(bound, np.int64)
+    number[some] = np.arange(len(some))
+    return some, first[some], number[keys]
+
+
+class Counters:
+    """Counters up to ``most``, in pages that exist once something is added."""
+
+    def __init__(self, most: int):
+        self.most, self.kind = most, np.min_scalar_type(2 * most)
+        self.pages: dict[int, np.ndarray] = {}
+
+    def add(self, page: int, slots: np.ndarray, counts: np.ndarray) -> None:
+        """``slots`` without repeats; none means all in order."""
+        if page not in self.pages:
+            self.pages[page] = np.zeros(PAGE, self.kind)
+        own, at = self.pages[page], slots if len(slots) else slice(None)
+        own[at] = np.minimum(own[at] + np.minimum(counts, self.most).astype(self.kind), self.most)
+
+    def add_slots(self, slots: np.ndarray, counts: np.ndarray) -> None:
+        order = np.argsort(slots)
+        slots, counts = slots[order], counts[order]
+        new = np.flatnonzero(np.diff(slots, prepend=-1))
+        slots, counts = slots[new], np.add.reduceat(counts, new) if len(new) else counts
+        pages = slots // PAGE
+        heads = np.flatnonzero(np.diff(pages, prepend=-1)).tolist()
+        for a, b in zip(heads, heads[1:] + [len(slots)]):
+            self.add(int(pages[a]), slots[a:b] % PAGE, counts[a:b])
+
+    def rows(self) -> Iterator[tuple[int, bytes, bytes]]:
+        for page, own in self.pages.items():
+            some = np.flatnonzero(own)
+            sparse = len(some) * (2 + own.itemsize) < own.nbytes
+            yield page, some.astype(np.uint16).tobytes() if sparse else b"", (own[some] if sparse else own).tobytes()
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        held = list(self.rows())
+        for a in range(0, len(held), 256):
+            page, slots, counts = zip(*held[a:a + 256])
+            yield pa.RecordBatch.from_arrays([pa.array(page, pa.int32()), pa.array(slots, pa.binary()), pa.array(counts, pa.binary())],
+                                             names=["page", "slots", "counts"])
+
+
+def _merged(rows: DataFrame, least: int) -> DataFrame:
+    """One row a page: the sums of ``rows``, in a stream that holds the pages of one task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Counters(least)
+        for batch in batches:
+            for page, slots, counts in zip(*(batch.column(c) for c in ("page", "slots", "counts"))):
+                held.add(page.as_py(), np.frombuffer(slots.as_py(), np.uint16), np.frombuffer(counts.as_py(), held.kind))
+        yield from held.batches()
+
+    return rows.repartition("page").mapInArrow(run, PAGES)
+
+
+def frequent_phrases(docs: DataFrame, least: int = 30, shards: int = 4, table_bits: int = 26) -> tuple[DataFrame, DataFrame]:
     """((lang, k, phrase as bytes, f) of the phrases of 1 to 4 words with
-    ``f >= least``, (lang, n) with n all words), both as tables.
+    ``f >= least``, (lang, n) with n all words).
 
     ``docs(lang, text)``: A-Z are lowered, texts split at ``.,;:!?`` and line
     breaks into pieces and these at blanks and tabs into words; phrases are
@@ -163,56 +237,66 @@ def frequent_phrases(docs: DataFrame, least: int = 30, shards: int = 4, filter_b
     time.  A long text is counted in parts that know the words after them.  Other
     columns are ignored.  An empty table gives two empty ones.
 
-    Each step merges the counts of its scan with those of phrases whose circle
-    is not over; phrases below ``least`` go when it is.  What comes to the
-    driver is the bitmap, ``2 ** filter_bits / 8`` bytes at most.
+    The counters (one half for the longest phrases) are a table of ``2 ** table_bits`` numbers up to ``least``,
+    whatever the texts are; a task holds at most as many, and the driver and the
+    tasks get a bit of each.  Fewer counters than distinct active phrases give
+    the same result, but count more phrases exactly.
     """
     spark = docs.sparkSession
     ship(spark)
-    out = pa_schema(spark, COUNTS)
     dealt = written(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"),
                                 (F.monotonically_increasing_id() % shards).cast("int").alias("shard")), "dic-shards",
                     partition_by="shard")
-    bits = [np.zeros((1 << filter_bits) // 8, np.uint8)]
-    merged, open_, step = [], None, 0
-    while step < shards or not np.array_equal(bits[step], bits[step - shards]):
-        state = spark.sparkContext.broadcast((bits[step], bits[max(0, step - shards)], step < shards))
+    table_bits = max(table_bits, 16)
+    bits, counters, step = [np.zeros((1 << table_bits) // 8, np.uint8)], None, 0
+    half = len(bits[0]) // 2
+    while step < shards or not np.array_equal(bits[step][:half], bits[step - shards][:half]):
+        state = spark.sparkContext.broadcast((bits[step], bits[max(0, step - shards)]))
+        words_too = step < shards
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, before, words_too = state.value
+            now, before = map(Bits, state.value)
+            held = Counters(least)
             for chunk in _chunks(batches):
-                for c in count_chunk(chunk, Bits(now), Bits(before), words_too):
-                    for a in range(0, len(c["k"]), 50000):
-                        yield pa.RecordBatch.from_arrays([pa.array(c[f.name][a:a + 50000], f.type) for f in out], schema=out)
-
-        found = dealt.where(F.col("shard") == step % shards).select("lang", "text").mapInArrow(scan, COUNTS)
-        found = found.withColumn("since", F.when(F.col("k") == 1, 0).otherwise(step))
-        counted = found if open_ is None else open_.unionByName(found)
-        counted = counted.groupBy("lang", "k", "phrase", "hash").agg(F.sum("f").alias("f"), F.min("since").alias("since"))
-        # a phrase was first met in the step that it became active or later, so its circle is over by then
-        counted = written(counted.withColumn("over", F.col("since") + shards - 1 <= step), "dic-counts")
-        slot = F.shiftrightunsigned("hash", 64 - filter_bits)
-        pages = (counted.where((F.col("f") >= least) & (F.col("k") < LONGEST))
-                 .groupBy(F.shiftright(slot, 15).alias("page")).agg(F.bitmap_construct_agg(slot % PAGE).alias("bits")).collect())
+                for hashes, f in count_chunk(chunk, now, before, words_too):
+                    held.add_slots((hashes >> now.shift).astype(np.int64), f)
+            yield from held.batches()
+
+        found = dealt.where(F.col("shard") == step % shards).select("lang", "text").mapInArrow(scan, PAGES)
+        counters = written(_merged(found if counters is None else counters.unionByName(found), least), "dic-counters")
+
+        def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                one = Counters(least)
+                for page, slots, counts in zip(*(batch.column(c) for c in ("page", "slots", "counts"))):
+                    one.add(page.as_py(), np.frombuffer(slots.as_py(), np.uint16), np.frombuffer(counts.as_py(), one.kind))
+                reached = [np.packbits(x >= least, bitorder="little").tobytes() for x in one.pages.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(one.pages), pa.int32()), pa.array(reached, pa.binary())], names=["page", "bits"])
+
         bits.append(bits[step].copy())
-        for p in pages:
-            part = bits[-1][p["page"] * PAGE // 8:(p["page"] + 1) * PAGE // 8]
-            part |= np.frombuffer(p["bits"], np.uint8)[:len(part)]
+        for p in counters.mapInArrow(full, "page int, bits binary").collect():  # 8 KB a page
+            bits[-1][p["page"] * PAGE // 8:(p["page"] + 1) * PAGE // 8] = np.frombuffer(p["bits"], np.uint8)
         if step >= shards:
             bits[step - shards] = None
         state.destroy()
-        merged.append(counted.where("over"))
-        open_ = counted.where("NOT over").drop("over")
         step += 1
-    every = open_
-    for m in merged:
-        every = every.unionByName(m.drop("over"))
-    words = written(every.where("k = 1").groupBy("lang").agg(F.sum("f").alias("n")), "dic-words")
-    return written(every.where(F.col("f") >= least).select("lang", "k", "phrase", "f"), "dic-frequent"), words
+
+    last, out = spark.sparkContext.broadcast(bits[step]), pa_schema(spark, COUNTS)
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = Bits(last.value)
+        for chunk in _chunks(batches):
+            for c in count_chunk(chunk, now, None):
+                for a in range(0, len(c["k"]), 50000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[f.name][a:a + 50000], f.type) for f in out], schema=out)
+
+    counted = written(dealt.select("lang", "text").mapInArrow(exact, COUNTS).groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
+                      .where((F.col("f") >= least) | (F.col("k") == 0)), "dic-frequent")
+    return counted.where("k > 0"), counted.where("k = 0 AND f > 0").select("lang", F.col("f").alias("n"))
 
 
 def mine(docs: DataFrame, least: int = 30, top: int = 2000, inside_percent: int = 80, scale: int = 2_000_000,
-         shards: int = 4, filter_bits: int = 26, salts: int = 8) -> DataFrame:
+         shards: int = 4, table_bits: int = 26, salts: int = 8) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of each
     language; see ``frequent_phrases`` for what is counted.
 
@@ -224,7 +308,7 @@ def mine(docs: DataFrame, least: int = 30, top: int = 2000, inside_percent: int
     digits.  A part that very many phrases share, as a frequent word is, is
     joined in ``salts`` shares.
     """
-    frequent, words = frequent_phrases(docs, least, shards, filter_bits)
+    frequent, words = frequent_phrases(docs, least, shards, table_bits)
     frequent = frequent.withColumn("phrase", F.col("phrase").cast("string"))
     phrases = frequent.where("k > 1").select("lang", "phrase", "k", F.col("f").alias("a"))
     salt = F.pmod(F.xxhash64("phrase"), F.lit(salts)).cast("int")

@@ -62,15 +62,14 @@ def rows():
 def test_phrases_match_all_counts(spark, rows):
     df = spark.createDataFrame(rows, "lang string, text string").repartition(5).select(
         "*", *(F.lit("x").alias(c) for c in ("phrase", "k", "f", "hash", "shard", "since", "part", "salt")))
-    for shards, filter_bits, least, top in ((4, 20, 30, 2000), (3, 3, 12, 7)):
-        # with 8 bits nearly every phrase is active: more is counted, the result is the same
-        got = collocations.mine(df, least=least, top=top, shards=shards, filter_bits=filter_bits).collect()
+    for shards, table_bits, least, top in ((4, 20, 30, 2000), (3, 16, 300, 7), (1, 16, 12, 2000)):
+        got = collocations.mine(df, least=least, top=top, shards=shards, table_bits=table_bits).collect()
         assert sorted(tuple(r) for r in got) == brute(rows, least, top)
     assert collocations.mine(df.where("false")).count() == 0
 
 
-def test_only_a_circle_is_counted(spark, rows):
-    frequent, words = collocations.frequent_phrases(spark.createDataFrame(rows, "lang string, text string"), least=20, filter_bits=16)
+def test_frequent_phrases(spark, rows):
+    frequent, words = collocations.frequent_phrases(spark.createDataFrame(rows, "lang string, text string"), least=20, table_bits=16)
     want = {k: c for k, c in counts(rows).items() if c >= 20}
     assert {(r.lang, bytes(r.phrase).decode()): r.f for r in frequent.collect()} == want
     assert {r.lang for r in words.collect()} == {"en", "de", "und", "es"}
@@ -80,12 +79,49 @@ def test_long_texts_are_cut_at_words():
     rng = random.Random(6)
     text = " ".join(rng.choice("ab") + str(rng.randint(0, 9)) for _ in range(3000)).encode()
     every = np.full(1 << 8, 255, np.uint8)
-    none = np.zeros(1 << 8, np.uint8)
     parts = list(collocations.cut(text, 500))
     assert len(parts) > 10 and b"".join(p for p, _ in parts) == text
     got = Counter()
     for own, ahead in parts:
-        for c in collocations.count_chunk([("en", own, ahead)], collocations.Bits(every), collocations.Bits(none), True):
-            got.update(dict(zip([("en", x.decode()) for x in c["phrase"].to_pylist()], c["f"].tolist())))
+        for c in collocations.count_chunk([("en", own, ahead)], collocations.Bits(every), None):
+            if c["k"][0]:
+                got.update(dict(zip([("en", x.decode()) for x in c["phrase"].to_pylist()], c["f"].tolist())))
     assert got == counts([("en", text.decode())])
     assert list(collocations.cut(b"a" * 100, 10)) == [(b"a" * 100, b"")]
+
+
+def test_each_phrase_is_counted_for_one_circle(rows):
+    """The counts of all steps are those of all phrases that were active."""
+    least, shards, size = 20, 3, 1 << 20
+    chunks = [[(lang or "und", (t or "").encode(), b"") for lang, t in rows[i::shards]] for i in range(shards)]
+    bits, table, got = [np.zeros(size // 8, np.uint8)], np.zeros(size, np.int64), Counter()
+    for step in range(4 * shards):
+        now, before = collocations.Bits(bits[step]), collocations.Bits(bits[max(0, step - shards)])
+        for hashes, f in collocations.count_chunk(chunks[step % shards], now, before, step < shards):
+            got.update(dict(zip(hashes.tolist(), f.tolist())))
+            np.add.at(table, (hashes >> now.shift).astype(np.int64), f)
+        bits.append(np.packbits(table >= least, bitorder="little"))
+    assert np.array_equal(bits[-1][:size // 16], bits[-1 - shards][:size // 16])
+    want = counts(rows)
+    assert len(want) > len(got)  # not all phrases were ever active
+    every = np.full(size // 8, 255, np.uint8)
+    chunk = [c for part in chunks for c in part]
+    for hashes, f in collocations.count_chunk(chunk, collocations.Bits(every), collocations.Bits(bits[0]), True):
+        for h, c in zip(hashes.tolist(), f.tolist()):
+            assert got.get(h, c) == c
+            assert c < least or h in got
+
+
+def test_counters():
+    rng = np.random.Generator(np.random.PCG64(8))
+    for most in (30, 1000):
+        one, want = collocations.Counters(most), np.zeros(3 * collocations.PAGE, np.int64)
+        for size in (10, 200000, 500):
+            slots, f = rng.integers(0, len(want), size), rng.integers(1, 20, size)
+            one.add_slots(slots, f)
+            np.add.at(want, slots, f)
+        other = collocations.Counters(most)
+        for page, slots, f in one.rows():
+            other.add(page, np.frombuffer(slots, np.uint16), np.frombuffer(f, one.kind))
+        got = np.concatenate([other.pages[i] for i in range(3)])
+        assert (got == np.minimum(want, most)).all()
