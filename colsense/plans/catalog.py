@@ -21,7 +21,7 @@ from colsense.functions.text import guarded_double, norm
 from colsense.operators.chunks import chunk_errors, chunk_types, merge_chunk_types
 from colsense.operators.convert import category_codes, category_dictionary, convert, errors_frame
 from colsense.operators.infer import decide, infer_types
-from colsense.operators.paging import page, preview_bool, preview_json
+from colsense.operators.paging import page, page_count, preview_bool, preview_json
 from colsense.operators.profile import profile
 from colsense.operators.rowid import with_row_id
 from colsense.plans import sqlflags as S
@@ -357,10 +357,8 @@ register("page_count",
 @register("page_count")
 def _page_count(spark, d):
     total = load(spark, d, "orders").agg(F.count(F.lit(1)).alias("total_rows"))
-    sized = (total.select(F.explode(F.array(*[F.lit(s) for s in _SIZES])).alias("page_size"), "total_rows")
-                  .withColumn("page_size", F.col("page_size").cast("long")))
-    return sized.select("page_size", "total_rows",
-                        F.ceil(F.col("total_rows") / F.col("page_size")).cast("long").alias("page_count"))
+    sized = [F.struct(F.lit(s).cast("long").alias("page_size"), page_count(F.col("total_rows"), s).alias("page_count")) for s in _SIZES]
+    return total.select("total_rows", F.inline(F.array(*sized)))
 
 
 register("preview_bool",
@@ -529,6 +527,23 @@ def _encoding_audit(spark, d):
         F.regexp_extract("path", r"/(utf8|latin1)/", 1).alias("written_as"), "encoding", "n_lines")
 
 
+_LATIN = "regexp_replace(text, '[^\\x{00}-\\x{FF}]', '?', 'g')"
+register("csv_mixed_encodings",
+         "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN text IS NULL OR text = '' THEN NULL "
+         f"WHEN doc_id % 3 = 1 THEN {_LATIN} ELSE text END AS text FROM documents")
+
+
+@register("csv_mixed_encodings")
+def _csv_mixed_encodings(spark, d):
+    """Documents dealt to UTF-8, Latin-1 and UTF-16 files, line breaks in quotes
+    and all, and the folder read in one job by each file's own encoding."""
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    base = scratch_path(spark, "csv_mixed")
+    for i, encoding in enumerate(("UTF-8", "ISO-8859-1", "UTF-16")):
+        write_csv(docs.where(F.col("doc_id") % 3 == i), f"{base}/{i}", encoding=encoding)
+    return read_csv(spark, base + "/*", encoding="auto", row_id=None)
+
+
 @register("sample_deterministic")
 def _sample_deterministic(spark, d):
     """Hash sample of about 1 000 non-null values per column of events."""
