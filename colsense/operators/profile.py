@@ -29,6 +29,7 @@ from colsense.functions.text import frozen, let, memo_column, named
 from colsense.operators.overrides import override_fails
 
 LONG_VALUE = 128
+SKETCH_LG = 14
 
 PROFILE_FIELDS = ["n_rows", "n_missing", "n_non_null", "n_distinct", "all_bool", "n_sampled",
                   "n_numeric", "any_complex", "all_integral", "n_duration", "n_datetime",
@@ -158,9 +159,12 @@ def sample_fractions(df: DataFrame, cols: Sequence[str], sample_rows: int) -> di
 def profile(df: DataFrame, cols: Sequence[str] | None = None, group_cols: Sequence[str] = (),
             overrides: Mapping[str, str] | None = None, exact: bool = True,
             numeric_options: Mapping | None = None, sample_rows: int | None = None,
-            row_id: str | None = None) -> DataFrame:
+            row_id: str | None = None, sketch: bool = False) -> DataFrame:
     """One row per (group..., column): counts and flags for the type decision.
 
+    ``sketch`` adds ``distinct_sketch``, from which profiles of several tables
+    get a common distinct count (``mergeable``).
+
     ``sample_rows`` (needs ``row_id``) restricts the parse ratios to a hash
     sample of about that many non-null values per column; the default is a
     full, exact pass."""
@@ -179,6 +183,10 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, group_cols: Sequen
         w_s = F.lit(1)
     v = F.col("value")
 
+    def sketches(name):
+        present = F.when(~F.col("f.missing"), F.col(name))
+        return [F.hll_sketch_agg(present, F.lit(SKETCH_LG)).alias("distinct_sketch")] if sketch else []
+
     if not exact:
         # flags once per row in their own projection; the aggregates below
         # read its fields instead of re-evaluating the cleaners
@@ -186,7 +194,8 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, group_cols: Sequen
                             _flags_of("value", overrides, numeric_options).alias("f"))
         out = flagged.groupBy(*gcols, "column").agg(
             *_aggregates(F.col("f"), F.lit(1), F.col("_ws")),
-            F.approx_count_distinct(F.when(~F.col("f.missing"), F.col("value")), 0.01).alias("n_distinct"))
+            F.approx_count_distinct(F.when(~F.col("f.missing"), F.col("value")), 0.01).alias("n_distinct"),
+            *sketches("value"))
     else:
         is_long = F.coalesce(F.length(v) > LONG_VALUE, F.lit(False))
         key = F.when(is_long, F.sha2(v, 256)).otherwise(v)
@@ -202,10 +211,10 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, group_cols: Sequen
         if not sample_rows:
             per_value = per_value.withColumn("cnt_s", F.col("cnt"))
         f = F.coalesce(F.col("lf"), _flags_of("key", overrides, numeric_options))
-        flagged = per_value.select(*gcols, "column", "cnt", "cnt_s", f.alias("f"))
+        flagged = per_value.select(*gcols, "column", "cnt", "cnt_s", f.alias("f"), *(["key"] if sketch else []))
         out = flagged.groupBy(*gcols, "column").agg(
             *_aggregates(F.col("f"), F.col("cnt"), F.col("cnt_s")),
-            F.sum(F.when(~F.col("f.missing"), 1).otherwise(0)).alias("n_distinct"))
+            F.sum(F.when(~F.col("f.missing"), 1).otherwise(0)).alias("n_distinct"), *sketches("key"))
 
     return out.select(
         *gcols, "column", _position_of(cols).alias("position"),
@@ -220,4 +229,5 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, group_cols: Sequen
         F.col("n_duration").cast("long").alias("n_duration"),
         F.col("n_datetime").cast("long").alias("n_datetime"),
         F.col("n_override_fail").cast("long").alias("n_override_fail"),
+        *(["distinct_sketch"] if sketch else []),
     )

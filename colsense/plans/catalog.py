@@ -554,24 +554,45 @@ def _sample_deterministic(spark, d):
 
 # --------------------------------------------------------------- streaming
 
-@register("stream_chunk_types")
-def _stream_chunk_types(spark, d):
-    """Orders text written as CSV files, typed in eight micro-batches, merged.
+_STREAM_FILES = 8
+_STREAM_CHUNKS = f"SELECT *, row_id % {_STREAM_FILES} AS chunk_id FROM ({text_sql('orders')})"
 
-    Files are dealt by row id, and their number follows from the rows alone:
-    one a micro-batch, more only if a file would pass 100 000 rows."""
-    from colsense.streaming import merged_stream_types, start_typing_stream
+
+def _typed_stream(spark, d, **options):
+    """Orders text written as eight CSV files, dealt by row id, and typed in eight micro-batches."""
+    from colsense.streaming import start_typing_stream
     src, table = scratch_path(spark, "stream_source"), scratch_path(spark, "stream_types")
-    cols = TABLE_COLUMNS["orders"]
-    rows = _orders_text(spark, d)
-    per_batch = max(1, -(-rows.count() // (8 * 100_000)))
-    files = 8 * per_batch
-    write_csv(rows.withColumn("file", F.col("row_id") % files).drop("row_id").repartition(files, "file"), src,
-              partition_by="file")
+    rows = _orders_text(spark, d).withColumn("file", F.col("row_id") % _STREAM_FILES).drop("row_id")
+    write_csv(rows.repartition(_STREAM_FILES, "file"), src, partition_by="file")
     # the folders by file number are no column of the stream
-    q = start_typing_stream(spark, src + "/file=*", cols, table, max_files_per_trigger=per_batch)
-    q.awaitTermination()
-    return merged_stream_types(spark, table).select("column", "inferred_type", "n_chunks")
+    start_typing_stream(spark, src + "/file=*", TABLE_COLUMNS["orders"], table, max_files_per_trigger=1, **options).awaitTermination()
+    return table
+
+
+register("stream_chunk_types",
+         "SELECT \"column\", CASE WHEN count(DISTINCT inferred_type) = 1 THEN max(inferred_type) ELSE 'object' END AS inferred_type, "
+         "CAST(count(*) AS BIGINT) AS n_chunks "
+         f"FROM ({S.decide_sql(S.profile_sql(_STREAM_CHUNKS, TABLE_COLUMNS['orders'], group='chunk_id'))}) GROUP BY \"column\"")
+
+
+@register("stream_chunk_types")
+def _stream_chunk_types(spark, d):
+    """One type where all micro-batches agree."""
+    from colsense.streaming import merged_stream_types
+    return merged_stream_types(spark, _typed_stream(spark, d)).select("column", "inferred_type", "n_chunks")
+
+
+_STREAM_COLS = ["column", "position", "inferred_type", "n_rows", "n_missing", "n_non_null", "n_numeric", "n_duration", "n_datetime",
+                "all_bool", "any_complex", "all_integral"]
+register("stream_profile_types",
+         f"SELECT {', '.join(('"column"' if c == 'column' else c) for c in _STREAM_COLS)} FROM ({S.decide_sql(_profile_sql('orders'))})")
+
+
+@register("stream_profile_types")
+def _stream_profile_types(spark, d):
+    """Types from the merged profile of all micro-batches: those of one pass over all rows."""
+    from colsense.streaming import stream_types
+    return stream_types(spark, _typed_stream(spark, d)).select(*_STREAM_COLS)
 
 
 # --------------------------------------------------------------- approximate profile (scale option)
