@@ -306,6 +306,11 @@ def _codec(data: bytes, pattern: str) -> tuple[Encoder, Decoder]:
     return Encoder(ranks, pattern), Decoder(ranks)
 
 
+def forget() -> None:
+    """Drop what this worker keeps between tasks."""
+    _codec.cache_clear()
+
+
 def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, text: Column | str = "text",
                   keep: tuple[str, ...] = ("doc_id",), decode: bool = True) -> DataFrame:
     """``keep`` columns, ``ids`` array<int> and, with ``decode``, ``decoded``:

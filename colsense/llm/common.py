@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -79,6 +82,27 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED[sc.applicationId] = target
 
 
+_owner = None
+
+
+def own_worker(module: str) -> None:
+    """Python workers outlive a stage, and what an operator keeps in them stays.
+    When another operator's task starts in a worker, the others forget theirs
+    (``forget`` of their modules) and the memory goes back to the system."""
+    global _owner
+    if _owner == module:
+        return
+    if _owner is not None:
+        for name, other in list(sys.modules.items()):
+            if name.startswith(__package__ + ".") and name != module and hasattr(other, "forget"):
+                other.forget()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+    _owner = module
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict]], schema: str,
                 piece_rows: int = 512) -> DataFrame:
     """``df.mapInArrow`` where ``fn`` takes at most ``piece_rows`` rows at a
@@ -87,7 +111,10 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict]], s
     ship(df.sparkSession)
     out = pa_schema(df.sparkSession, schema)
 
+    module = fn.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker(module)
         for batch in batches:
             for at in range(0, batch.num_rows, piece_rows):
                 for columns in fn(batch.slice(at, piece_rows)):

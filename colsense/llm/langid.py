@@ -57,6 +57,12 @@ def _rotated(dim: int, n: int, seed: int) -> np.ndarray:
     return np.stack([np.roll(letters, n - 1 - i, axis=1) for i in range(n)])
 
 
+def forget() -> None:
+    """Drop what this worker keeps between tasks."""
+    _slot_of.cache_clear()
+    _rotated.cache_clear()
+
+
 def _counts(texts: list[bytes | None], n: int) -> tuple[np.ndarray, np.ndarray]:
     """(codes of the n-grams met, [text, n-gram] counts)."""
     parts = []

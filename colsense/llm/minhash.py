@@ -60,6 +60,14 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+
+
+def forget() -> None:
+    """Drop what this worker keeps between tasks."""
+    _WORDS.clear()
+    _permutations.cache_clear()
+
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -311,3 +311,21 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     kept = {c for i, n, c in components_of([(r.doc_id, r.text) for r in docs.collect()]) if i == c}
     assert {str(r.doc_id) for r in out} <= kept
+
+
+def test_a_worker_forgets_other_operators(monkeypatch):
+    import sys
+
+    from colsense.llm import common
+    monkeypatch.setattr(common, "_owner", None)
+    common.own_worker("colsense.llm.minhash")
+    minhash.shingles(b"some words", 1)
+    assert minhash._WORDS
+    common.own_worker("colsense.llm.minhash")
+    assert minhash._WORDS
+    common.own_worker("colsense.llm.bpe")
+    assert not minhash._WORDS and common._owner == "colsense.llm.bpe"
+    # whatever tasks keep in a module can be dropped
+    for name in ("bpe", "langid", "minhash"):
+        sys.modules[f"colsense.llm.{name}"].forget()
+    assert bpe._codec.cache_info().currsize == 0
