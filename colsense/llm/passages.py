@@ -169,40 +169,70 @@ def slices(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class SuffixLevels:
-    """Sorted strings of equal length with the smallest id of each, in levels
-    of growing size.  Ids must not fall from one ``add`` to the next."""
+    """Suffix arrays over one buffer of bytes: places sorted by the ``length``
+    bytes that start there, one place and the smallest id for each string, in
+    levels of growing size.  Ids must not fall from one ``add`` to the next.
 
-    def __init__(self) -> None:
+    A level keeps places, not strings.  Levels are merged in slices between
+    strings that both have bounds for, so at most ``slice_rows`` strings of a
+    level are held at once, whatever the strings are.
+    """
+
+    def __init__(self, data: np.ndarray, length: int, slice_rows: int = 1 << 16) -> None:
+        self.view = np.lib.stride_tricks.sliding_window_view(data, length) if len(data) >= length else None
+        self.length, self.slice_rows = length, slice_rows
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
-    @staticmethod
-    def _merge(old: tuple[np.ndarray, np.ndarray], new: tuple[np.ndarray, np.ndarray]):
-        """Both sorted; the sort only merges them.  Equal strings: old first.
+    def strings(self, places: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(self.view[places]).view(f"S{self.length}").ravel()
+
+    def _before(self, places: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """How many of the sorted ``places`` have a smaller string, for each bound."""
+        low, high = np.zeros(len(bounds), np.int64), np.full(len(bounds), len(places))
+        while (open_ := np.flatnonzero(low < high)).size:
+            middle = (low[open_] + high[open_]) // 2
+            smaller = self.strings(places[middle]) < bounds[open_]
+            low[open_[smaller]], high[open_[~smaller]] = middle[smaller] + 1, middle[~smaller]
+        return low
+
+    def _merge(self, old: tuple[np.ndarray, np.ndarray], new: tuple[np.ndarray, np.ndarray]):
+        """Both sorted, without repeats; the sort of a slice only merges them.
         Gives the joined level and the smallest id of each string of ``new``."""
-        strings, ids = np.concatenate([old[0], new[0]]), np.concatenate([old[1], new[1]])
-        order = np.argsort(strings, kind="stable")
-        strings, ids = strings[order], ids[order]
-        first = np.ones(len(order), bool)
-        first[1:] = strings[1:] != strings[:-1]
-        lead = ids[first][np.cumsum(first) - 1]
-        answer = np.zeros(len(order), np.int64)
-        answer[order] = lead
-        return (strings[first], ids[first]), answer[len(old[0]):]
-
-    def add(self, strings: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """The smallest id that has each string, this batch included."""
-        order = np.lexsort((ids,)) if len(ids) and (np.diff(ids) < 0).any() else np.arange(len(ids))
-        order = order[np.argsort(strings[order], kind="stable")]  # the batch's suffix array
-        found, own = strings[order], ids[order]
+        bounds = np.unique(self.strings(np.concatenate([x[0][self.slice_rows::self.slice_rows] for x in (old, new)])))
+        cuts = [np.concatenate([[0], self._before(x[0], bounds), [len(x[0])]]) for x in (old, new)]
+        least, places, ids = new[1].copy(), [], []
+        for a, b, c, d in zip(cuts[0], cuts[0][1:], cuts[1], cuts[1][1:]):
+            at = np.concatenate([old[0][a:b], new[0][c:d]])
+            own = np.concatenate([old[1][a:b], new[1][c:d]])
+            found = self.strings(at)
+            order = np.argsort(found, kind="stable")  # equal strings: old first
+            found = found[order]
+            first = np.ones(len(order), bool)
+            first[1:] = found[1:] != found[:-1]
+            answer = np.zeros(len(order), np.int64)
+            answer[order] = own[order][first][np.cumsum(first) - 1]
+            least[c:d] = answer[b - a:]
+            places.append(at[order][first])
+            ids.append(own[order][first])
+        return (np.concatenate(places), np.concatenate(ids)), least
+
+    def add(self, places: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The smallest id that has the string at each place, this batch included."""
+        if not len(places):
+            return np.zeros(0, np.int64)
+        order = np.argsort(ids, kind="stable")
+        found = self.strings(places[order])
+        sort = np.argsort(found, kind="stable")  # the batch's suffix array
+        order, found = order[sort], found[sort]
         first = np.ones(len(order), bool)
         first[1:] = found[1:] != found[:-1]
-        at = np.cumsum(first) - 1
-        new = (found[first], own[first])
+        del found
+        new = (places[order][first], ids[order][first])
         least = new[1].copy()
         for level in self.levels:
             least = np.minimum(least, self._merge(level, new)[1])
         answer = np.zeros(len(order), np.int64)
-        answer[order] = least[at]
+        answer[order] = least[np.cumsum(first) - 1]
         self.levels.append(new)
         while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
             last = self.levels.pop()
@@ -313,12 +343,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 1 << 20
         windows = size - length + 1
         offset = np.cumsum(windows) - windows
         least = np.zeros(int(windows.sum()), np.int64)
-        view = np.lib.stride_tricks.sliding_window_view(data, length)
-        order, family = np.argsort(ids, kind="stable"), SuffixLevels()
+        order, family = np.argsort(ids, kind="stable"), SuffixLevels(data, length)
         cuts = np.flatnonzero(np.diff(np.cumsum(size[order]) // batch_bytes)) + 1
         for batch in np.split(order, cuts):
-            strings = np.ascontiguousarray(view[slices(start[batch], windows[batch])]).view(f"S{length}").ravel()
-            least[slices(offset[batch], windows[batch])] = family.add(strings, np.repeat(ids[batch], windows[batch]))
+            places = slices(start[batch], windows[batch]).astype(np.int32 if len(data) < 1 << 31 else np.int64)
+            least[slices(offset[batch], windows[batch])] = family.add(places, np.repeat(ids[batch], windows[batch]))
         ends, pack = np.cumsum([int((s - length + 1).sum()) for s in sizes]), zstandard.ZstdCompressor(level=1).compress
         begins = np.concatenate([[0], ends[:-1]])
         for r, a, e in zip(rows, begins, ends):
