@@ -43,6 +43,9 @@ GRAM = 16
 #: Stands for a null id: larger than all.
 NO_ID = np.iinfo(np.int64).max
 ONCE, REPEATED, COMMON = 0, 1, 2
+#: Bytes of an anchor that are asked for, besides its part.  Two anchors that share
+#: them count as one: more is compared then, and nothing is missed.
+ASKED = 5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -241,18 +244,19 @@ class SuffixLevels:
 
 
 def _packed(docs: DataFrame, block_bytes: int) -> DataFrame:
-    schema = "block long, ids binary, nulls binary, sizes binary, data binary"
+    schema = "block long, ids binary, nulls binary, sizes binary, data binary, n_bytes long"  # data: Zstandard
     out = pa_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         at, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+        pack = zstandard.ZstdCompressor(level=3).compress
 
         def block() -> pa.RecordBatch:
             keys = np.array([NO_ID if i is None else i for i in ids], np.int64)
             return pa.RecordBatch.from_pylist([{
                 "block": at, "ids": keys.tobytes(), "nulls": np.array([i is None for i in ids]).tobytes(),
-                "sizes": np.array([len(t) for t in texts], np.int64).tobytes(), "data": b"".join(texts)}], schema=out)
+                "sizes": np.array([len(t) for t in texts], np.int64).tobytes(), "data": pack(b"".join(texts)), "n_bytes": size}], schema=out)
 
         for batch in batches:
             for i, t in zip(batch.column(0), batch.column(1)):
@@ -287,7 +291,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 1 << 20
     spark = docs.sparkSession
     ship(spark)
     blocks = _packed(docs, block_bytes)
-    total = blocks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / part_bytes))
     parts = 2 * tasks
 
@@ -295,19 +299,24 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 1 << 20
         for i in range(batch.num_rows):
             get = lambda c, i=i: batch.column(c)[i].as_py()
             yield get("block"), Block(np.frombuffer(get("ids"), np.int64), np.frombuffer(get("sizes"), np.int64),
-                                      get("data"), length), i
+                                      zstandard.ZstdDecompressor().decompress(get("data")), length), i
 
     def ask(batch: pa.RecordBatch):
         for block, b, _ in opened(batch):
             asked = list(b.questions(parts))
             yield {"part": [p for p, _, _ in asked], "block": [block] * len(asked),
-                   "anchors": [a.tobytes() for _, a, _ in asked], "twice": [t.tobytes() for _, _, t in asked]}
+                   "anchors": [a.view(np.uint8).reshape(-1, 8)[:, :ASKED].tobytes() for _, a, _ in asked],
+                   "twice": [t.tobytes() for _, _, t in asked]}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for batch in batches for r in batch.to_pylist()]
         if not rows:
             return
-        lists = [np.frombuffer(r["anchors"], np.uint64) for r in rows]
+        lists = []
+        for r in rows:
+            wide = np.zeros((len(r["anchors"]) // ASKED, 8), np.uint8)
+            wide[:, :ASKED] = np.frombuffer(r["anchors"], np.uint8).reshape(-1, ASKED)
+            lists.append(wide.view(np.uint64).ravel() + (np.uint64(r["part"]) << np.uint64(8 * ASKED)))
         twice = np.concatenate([np.frombuffer(r["twice"], bool) for r in rows])
         _, at, n = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
         n_twice = n.copy()
@@ -327,7 +336,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 1 << 20
 
     def look_up(batch: pa.RecordBatch):
         for block, b, i in opened(batch):
-            out = [(p, b.data[slices(start, size)].tobytes(), size.astype(np.int32).tobytes(), least.tobytes())
+            pack = zstandard.ZstdCompressor(level=1).compress
+            out = [(p, pack(b.data[slices(start, size)].tobytes()), size.astype(np.int32).tobytes(), pack(least.tobytes()))
                    for p, start, size, least, _, _ in b.strings(b.answered(flags_of(batch, i), parts), parts)]
             yield {"part": [x[0] for x in out], "block": [block] * len(out), "data": [x[1] for x in out],
                    "sizes": [x[2] for x in out], "ids": [x[3] for x in out]}
@@ -336,18 +346,27 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 1 << 20
         rows = [r for batch in batches for r in batch.to_pylist()]
         if not rows:
             return
+        unpack = zstandard.ZstdDecompressor().decompress
         sizes = [np.frombuffer(r["sizes"], np.int32).astype(np.int64) for r in rows]
-        size, ids = np.concatenate(sizes), np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows])
-        data = np.frombuffer(b"".join(r.pop("data") for r in rows), np.uint8)
+        size, ids = np.concatenate(sizes), np.concatenate([np.frombuffer(unpack(r.pop("ids")), np.int64) for r in rows])
+        data = np.frombuffer(b"".join(unpack(r.pop("data")) for r in rows), np.uint8)
         start = np.cumsum(size) - size
         windows = size - length + 1
         offset = np.cumsum(windows) - windows
         least = np.zeros(int(windows.sum()), np.int64)
-        order, family = np.argsort(ids, kind="stable"), SuffixLevels(data, length)
+        # runs of equal bytes have equal answers: one of them, that with the smallest id, goes in
+        order, seen, stands = np.argsort(ids, kind="stable"), {}, np.zeros(len(ids), np.int64)
+        text, ends_at = data.tobytes(), (start + size).tolist()
+        for i, a in zip(order.tolist(), start[order].tolist()):
+            stands[i] = seen.setdefault(text[a:ends_at[i]], i)
+        del seen, text
+        order, family = order[stands[order] == order], SuffixLevels(data, length)
         cuts = np.flatnonzero(np.diff(np.cumsum(size[order]) // batch_bytes)) + 1
         for batch in np.split(order, cuts):
             places = slices(start[batch], windows[batch]).astype(np.int32 if len(data) < 1 << 31 else np.int64)
             least[slices(offset[batch], windows[batch])] = family.add(places, np.repeat(ids[batch], windows[batch]))
+        copies = np.flatnonzero(stands != np.arange(len(stands)))
+        least[slices(offset[copies], windows[copies])] = least[slices(offset[stands[copies]], windows[copies])]
         ends, pack = np.cumsum([int((s - length + 1).sum()) for s in sizes]), zstandard.ZstdCompressor(level=1).compress
         begins = np.concatenate([[0], ends[:-1]])
         for r, a, e in zip(rows, begins, ends):
@@ -363,17 +382,18 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 1 << 20
     def mark(batch: pa.RecordBatch):
         for _, b, i in opened(batch):
             answers = {x["part"]: x["least"] for x in batch.column("answers")[i].as_py() or ()}
-            change = np.zeros(len(b.data) + 1, np.int32)
+            marks = [np.zeros(0, np.int64)]
             for p, _, size, _, place, string in b.strings(b.answered(flags_of(batch, i), parts), parts):
                 least = np.frombuffer(zstandard.ZstdDecompressor().decompress(answers[p]), np.int64)
                 windows = size - length + 1
                 begin = np.cumsum(windows) - windows
                 seen = slices(begin[string], windows[string])
                 at = slices(place, windows[string])
-                at = at[least[seen] < b.ids[b.owner[at]]]
-                np.add.at(change, at, 1)
-                np.add.at(change, at + length, -1)
-            gone = np.cumsum(change[:-1]) > 0
+                marks.append(at[least[seen] < b.ids[b.owner[at]]])
+            marked = np.zeros(len(b.data), bool)
+            marked[np.concatenate(marks)] = True
+            upto = np.concatenate([np.zeros(length, np.int32), np.cumsum(marked, dtype=np.int32)])
+            gone = upto[length:] > upto[:-length]  # a marked string starts in the last ``length`` bytes
             nulls = np.frombuffer(batch.column("nulls")[i].as_py(), bool)
             ends = np.cumsum(b.sizes)
             for key, null, size, end in zip(b.ids.tolist(), nulls, b.sizes.tolist(), ends.tolist()):
