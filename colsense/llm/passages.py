@@ -68,6 +68,15 @@ def _letters() -> np.ndarray:
     return np.random.Generator(np.random.PCG64(3)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part that occurs, and where, in order."""
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order])) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(part)]):
+        if a < b:
+            yield int(part[order[a]]), order[a:b]
+
+
 class Block:
     """Texts side by side, with hashes of any of their strings."""
 
@@ -121,18 +130,15 @@ class Block:
         first, last = np.full(len(anchors), 1 << 30), np.full(len(anchors), -1)
         np.minimum.at(first, at, doc)
         np.maximum.at(last, at, doc)
-        part = _mix(anchors + _BASE) % np.uint64(parts)
-        for p in np.unique(part):
-            mine = part == p
-            yield int(p), anchors[mine], (first != last)[mine]
+        for p, mine in by_part(_mix(anchors + _BASE) % np.uint64(parts)):
+            yield p, anchors[mine], (first != last)[mine]
 
     def answered(self, flags: dict[int, bytes], parts: int) -> np.ndarray:
         """The flag of each run, from the answers to ``questions``."""
         anchors, at = np.unique(self.anchor, return_inverse=True)
-        part = _mix(anchors + _BASE) % np.uint64(parts)
         out = np.zeros(len(anchors), np.uint8)
-        for p, f in flags.items():
-            out[part == p] = np.frombuffer(f, np.uint8)
+        for p, mine in by_part(_mix(anchors + _BASE) % np.uint64(parts)):
+            out[mine] = np.frombuffer(flags[p], np.uint8)
         return out[at]
 
     def strings(self, flag: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -156,14 +162,12 @@ class Block:
         first, least = np.zeros(n, np.int64), np.full(n, NO_ID)
         first[group] = np.arange(len(group))
         np.minimum.at(least, group, self.ids[self.owner[start]])
-        part_of = part[first]
         place = np.argsort(group, kind="stable")
         begin = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=n))])
-        for p in np.unique(part_of):
-            mine = np.flatnonzero(part_of == p)
+        for p, mine in by_part(part[first]):
             counts = begin[mine + 1] - begin[mine]
             flat = np.repeat(begin[mine], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            yield int(p), start[first[mine]], size[first[mine]], least[mine], start[place[flat]], np.repeat(np.arange(len(mine)), counts)
+            yield p, start[first[mine]], size[first[mine]], least[mine], start[place[flat]], np.repeat(np.arange(len(mine)), counts)
 
 
 def slices(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -233,10 +237,14 @@ class SuffixLevels:
         new = (places[order][first], ids[order][first])
         least = new[1].copy()
         for level in self.levels:
-            least = np.minimum(least, self._merge(level, new)[1])
+            joined, found = self._merge(level, new)
+            least = np.minimum(least, found)
         answer = np.zeros(len(order), np.int64)
         answer[order] = least[np.cumsum(first) - 1]
-        self.levels.append(new)
+        if self.levels and len(self.levels[-1][0]) <= 2 * len(new[0]):
+            self.levels[-1] = joined
+        else:
+            self.levels.append(new)
         while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
             last = self.levels.pop()
             self.levels[-1] = self._merge(self.levels[-1], last)[0]
@@ -273,7 +281,7 @@ def _packed(docs: DataFrame, block_bytes: int) -> DataFrame:
     return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, schema), "passages")
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 1 << 20, part_bytes: int = 4 << 20,
+def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 2 << 20, part_bytes: int = 4 << 20,
                    common: int = 1000, batch_bytes: int = 1 << 20) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``removed`` (array of (start, end) in bytes, the
     maximal removed runs) and ``kept`` (the other bytes) for each row of
