@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections import namedtuple
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,7 @@ from colsense.functions import vocab as V
 from colsense.functions.boolean import to_bool
 from colsense.functions.datetime import to_datetime
 from colsense.functions.duration import to_duration
-from colsense.functions.missing import null_if_missing
+from colsense.functions.missing import is_missing, null_if_missing
 from colsense.functions.numeric import numeric_parts, to_bigint, to_complex
 from colsense.functions.text import frozen, memo_column, named
 from colsense.operators.infer import infer_types
@@ -106,6 +106,32 @@ def convert(df: DataFrame, types, keep: Sequence[str] = (),
     return df.select(*out)
 
 
+def convert_counted(df: DataFrame, types, keep: Sequence[str] = (),
+                    numeric_options: Mapping | None = None) -> tuple[DataFrame, Observation]:
+    """I4: ``convert`` with an observation of how many present values of each
+    column became null, counted in the pass that reads the result: no second
+    scan.  ``coerced_counts`` gives them after the first action on the result.
+    Later actions don't count again."""
+    rows = [r for r in _type_rows(types) if r["column"] in df.columns and r["column"] not in keep]
+    typed = {r["column"]: column_expr(r["column"], r["inferred_type"], r["override_ok"], numeric_options) for r in rows}
+    place = {r["column"]: i for i, r in enumerate(rows)}
+    if not rows:
+        return df, Observation("coerced")
+    both = df.select(*(typed.get(c, named(c)) for c in df.columns),
+                     *(named(c).cast("string").alias(f"__raw_{i}") for c, i in place.items()))
+    seen = Observation("coerced")
+    lost = [F.count_if(~is_missing(F.col(f"__raw_{i}")) & named(c).isNull()).alias(str(i)) for c, i in place.items()]
+    return both.observe(seen, *lost).select(*map(named, df.columns)), seen
+
+
+def coerced_counts(spark: SparkSession, types, seen: Observation, keep: Sequence[str] = ()) -> DataFrame:
+    """(column, inferred_type, n_coerced): one row per column of ``types``."""
+    counts = seen.get
+    rows = [r for r in _type_rows(types) if r["column"] not in keep]
+    return spark.createDataFrame([(r["column"], r["inferred_type"], counts[str(i)]) for i, r in enumerate(rows)],
+                                 "column string, inferred_type string, n_coerced long")
+
+
 def error_samples(df: DataFrame, columns: Sequence[str], row_id: str,
                   k: int = V.ERROR_SAMPLE_SIZE) -> DataFrame:
     """First k non-null raw values of each column in row order.

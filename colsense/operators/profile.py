@@ -15,9 +15,10 @@ aggregates are shuffled (one row per column per partition).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colsense.functions.boolean import is_bool_token
@@ -139,21 +140,44 @@ def _aggregates(f: Column, w: Column, ws: Column) -> list[Column]:
     ]
 
 
-def sample_weight(row_id: Column, fractions: Mapping[str, float]) -> Column:
-    """1 when the (row, column) pair falls in the column's sample, else 0.
-
-    The draw is a hash of (row id, column): order-independent, repeatable,
-    no sort and no state; about n rows are kept rather than exactly n."""
-    m = F.create_map(*[x for k, fr in fractions.items() for x in (F.lit(k), F.lit(float(fr)))])
-    u = F.xxhash64(row_id, F.col("column")).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)) / F.lit(float(2 ** 63))
-    return F.when(u < F.coalesce(F.element_at(m, F.col("column")), F.lit(1.0)), 1).otherwise(0)
-
-
-def sample_fractions(df: DataFrame, cols: Sequence[str], sample_rows: int) -> dict[str, float]:
-    """Per-column fraction n / non-null: one small aggregate (n_cols numbers)."""
-    counts = df.agg(*[F.count(F.when(~is_missing(F.col(c).cast("string")), 1)).alias(c)
-                      for c in cols]).first()
-    return {c: min(1.0, sample_rows / counts[c]) if counts[c] else 1.0 for c in cols}
+def sample_key(row_id: Column) -> Column:
+    """The place of a (row, column) pair in its column's draw: an MD5, so the
+    draw depends on neither the order nor the dealing of rows."""
+    return F.md5(F.concat_ws(":", F.col("column"), row_id.cast("string")).cast("binary"))
+
+
+def sample_limits(cells: DataFrame, row_id: str, sample_rows: int) -> dict[str, str]:
+    """The largest key of each column's ``sample_rows`` smallest among its
+    present values; columns that have no more than that are left out.
+
+    Only cells whose key starts below a share of the key space are ranked, eight
+    standard deviations more than wanted, so a column's window holds little over
+    ``sample_rows`` cells however many rows there are; if a column still falls
+    short, the share is doubled.  Comes to the driver: one row for each column.
+    """
+    present = cells.where(~is_missing(F.col("value")))
+    counts = {r["column"]: r["n"] for r in present.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wide = (sample_rows + 8 * math.sqrt(sample_rows) + 64)
+    share = {c: wide / n for c, n in counts.items() if n > sample_rows}
+    limits = {}
+    while share:
+        of_column = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("column"))
+        head = F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") / float(1 << 32)
+        keyed = present.where(F.col("column").isin(list(share))).select("column", sample_key(F.col(row_id)).alias("_key"))
+        place = F.row_number().over(Window.partitionBy("column").orderBy("_key"))
+        first = keyed.where(head < of_column).withColumn("_n", place).where(F.col("_n") <= sample_rows)
+        found = first.groupBy("column").agg(F.max("_key").alias("last"), F.count(F.lit(1)).alias("n")).collect()
+        limits |= {r["column"]: r["last"] for r in found if r["n"] == sample_rows}
+        share = {c: 2 * x for c, x in share.items() if c not in limits}
+    return limits
+
+
+def sample_weight(row_id: Column, limits: Mapping[str, str]) -> Column:
+    """1 when the (row, column) pair falls in the column's sample, else 0."""
+    if not limits:
+        return F.lit(1)
+    last = F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("column"))
+    return F.when(last.isNull() | (sample_key(row_id) <= last), 1).otherwise(0)
 
 
 def profile(df: DataFrame, cols: Sequence[str] | None = None, group_cols: Sequence[str] = (),
@@ -165,9 +189,9 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, group_cols: Sequen
     ``sketch`` adds ``distinct_sketch``, from which profiles of several tables
     get a common distinct count (``mergeable``).
 
-    ``sample_rows`` (needs ``row_id``) restricts the parse ratios to a hash
-    sample of about that many non-null values per column; the default is a
-    full, exact pass."""
+    ``sample_rows`` (needs ``row_id``, without repeats) restricts the parse
+    ratios to exactly that many present values per column, drawn by hash, or to
+    all if there are fewer; ``n_sampled`` tells.  The default is a full pass."""
     gcols = list(group_cols)
     skip = set(gcols) | ({row_id} if row_id else set())
     cols = [c for c in (cols or df.columns) if c not in skip]
@@ -178,7 +202,7 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, group_cols: Sequen
     if sample_rows:
         if not row_id:
             raise ValueError("sample_rows needs a row_id column")
-        w_s = sample_weight(F.col(row_id), sample_fractions(df, cols, sample_rows))
+        w_s = sample_weight(F.col(row_id), sample_limits(lv, row_id, sample_rows))
     else:
         w_s = F.lit(1)
     v = F.col("value")

@@ -19,7 +19,9 @@ from colsense.functions.missing import is_missing_pattern, is_missing_token
 from colsense.functions.numeric import numeric_parts, separators, strip_currency
 from colsense.functions.text import guarded_double, norm
 from colsense.operators.chunks import chunk_errors, chunk_types, merge_chunk_types
-from colsense.operators.convert import category_codes, category_dictionary, convert, errors_frame
+from colsense.operators.convert import (category_codes, category_dictionary, coerced_counts, convert, convert_counted,
+                                        errors_frame)
+from colsense.operators.dictionary import extend_dictionary, read_dictionary
 from colsense.operators.infer import decide, infer_types
 from colsense.operators.numbered import read_page, write_numbered
 from colsense.operators.paging import page, page_count, preview_bool, preview_json
@@ -453,6 +455,24 @@ def _concat_union(spark, d):
     return concat_union([a, b])
 
 
+register("coerced_counts",
+         "SELECT \"column\", inferred_type, CAST(CASE WHEN inferred_type IN ('Int64', 'float64', 'complex128') THEN n_non_null - n_numeric "
+         "WHEN inferred_type = 'timedelta64[ns]' THEN n_non_null - n_duration "
+         "WHEN inferred_type = 'datetime64[ns]' THEN n_non_null - n_datetime ELSE 0 END AS BIGINT) AS n_coerced "
+         f"FROM ({S.decide_sql(DIRTY_PROFILE_SQL)})")
+
+
+@register("coerced_counts")
+def _coerced_counts(spark, d):
+    """I4: the dirty orders converted into a table, and the values lost in that pass."""
+    raw = dirty_orders(load(spark, d, "orders")).select(*DIRTY_COLUMNS)
+    types = infer_types(raw).collect()
+    types = spark.createDataFrame([(r["column"], r["inferred_type"]) for r in types], "column string, inferred_type string")
+    data, seen = convert_counted(raw, types)
+    data.write.parquet(scratch_path(spark, "coerced"))
+    return coerced_counts(spark, types, seen)
+
+
 # --------------------------------------------------------------- category dictionary (K1)
 
 register("category_dictionary",
@@ -465,6 +485,24 @@ register("category_codes",
          "(ORDER BY o_orderpriority NULLS LAST) - 1 AS BIGINT) END AS o_orderpriority_code FROM orders")(
     lambda spark, d: category_codes(load(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority"))
 
+register("category_growth",
+         "SELECT value, code, version FROM (SELECT value, 0 AS version, CAST(row_number() OVER (ORDER BY value) - 1 AS BIGINT) AS code "
+         "FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS value FROM orders WHERE o_orderkey % 2 = 0)) "
+         "UNION ALL SELECT value, code, version FROM (SELECT value, 1 AS version, CAST(row_number() OVER (ORDER BY value) - 1 + "
+         "(SELECT count(DISTINCT o_custkey) FROM orders WHERE o_orderkey % 2 = 0) AS BIGINT) AS code "
+         "FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS value FROM orders WHERE o_custkey IS NOT NULL "
+         "AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey IS NOT NULL)))")
+
+
+@register("category_growth")
+def _category_growth(spark, d):
+    """K1: customer codes from orders with even keys, then all orders; codes of the first stay."""
+    orders, table = load(spark, d, "orders"), scratch_path(spark, "category_growth")
+    extend_dictionary(orders.where("o_orderkey % 2 = 0"), "o_custkey", table, 0)
+    extend_dictionary(orders, "o_custkey", table, 1)
+    return read_dictionary(spark, table).withColumn("version", F.col("version").cast("int"))
+
+
 # --------------------------------------------------------------- CSV source
 
 def _orders_text(spark, d):
@@ -559,12 +597,31 @@ def _csv_mixed_encodings(spark, d):
     return read_csv(spark, base + "/*", encoding="auto", row_id=None)
 
 
-@register("sample_deterministic")
+_DRAWN = "(" + " UNION ALL ".join(
+    f'SELECT row_id, {S.q(c)} AS "column", {i} AS position, {c} AS value FROM ({text_sql("events")})'
+    for i, c in enumerate(TABLE_COLUMNS["events"])) + ")"
+_SAMPLED = ("(SELECT *, NOT missing AND row_number() OVER (PARTITION BY \"column\", missing "
+            f"ORDER BY md5(\"column\" || ':' || row_id)) <= 1000 AS drawn FROM {S.flags_cte(_DRAWN)})")
+_SAMPLE_PROFILE = f"""
+    SELECT "column", count(*) AS n_rows, CAST(count(*) FILTER (NOT missing) AS BIGINT) AS n_non_null,
+      count(DISTINCT value) FILTER (NOT missing) AS n_distinct,
+      bool_and(CASE WHEN NOT missing THEN boolish END) AS all_bool,
+      CAST(count(*) FILTER (drawn) AS BIGINT) AS n_sampled,
+      CAST(count(*) FILTER (drawn AND num_ok) AS BIGINT) AS n_numeric,
+      COALESCE(bool_or(NOT missing AND num_ok AND cplx), FALSE) AS any_complex,
+      COALESCE(bool_and(CASE WHEN NOT missing AND num_ok AND NOT cplx THEN integral END), TRUE) AS all_integral,
+      CAST(count(*) FILTER (drawn AND dur_ok) AS BIGINT) AS n_duration,
+      CAST(count(*) FILTER (drawn AND dt_ok) AS BIGINT) AS n_datetime, 0 AS n_override_fail
+    FROM {_SAMPLED} GROUP BY "column\""""
+_SAMPLE_COLS = ["column", "n_non_null", "n_sampled", "n_numeric", "n_duration", "n_datetime", "inferred_type"]
+
+
+@register("sample_deterministic", 'SELECT "column", ' + ", ".join(_SAMPLE_COLS[1:]) + f" FROM ({S.decide_sql(_SAMPLE_PROFILE)})")
 def _sample_deterministic(spark, d):
-    """Hash sample of about 1 000 non-null values per column of events."""
+    """Parse ratios from a draw of exactly 1 000 present values per column of events."""
     raw = raw_table(spark, d, "events")
     return decide(profile(raw, [c for c in raw.columns if c != "row_id"], sample_rows=1000,
-                          row_id="row_id")).select("column", "n_non_null", "n_sampled", "inferred_type")
+                          row_id="row_id")).select(*_SAMPLE_COLS)
 
 
 # --------------------------------------------------------------- streaming
