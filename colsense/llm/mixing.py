@@ -100,7 +100,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
 
     Null texts have size 0; a null source is a source, the last one.  A null
     doc_id is hashed by its text.  Rows that repeat id and text share a hash and
-    are taken together.  Sources without a word have target 0.  An empty table
+    are taken together.  Sources without a word have target 0.  No document is
+    taken more than ``most`` times, documents without a word included.  An empty table
     gives an empty one.  Only (source, size, hash) is shuffled or written, in
     sums by source and bucket after the first pass.
     """
@@ -110,7 +111,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
                     "mix-targets")
     plan = goals.alias("g").join(thresholds(small, goals).alias("t"), F.expr("g.source <=> t.source")).select(
         F.col("g.source").alias("__source"), "source_size", "target", "whole", "last")
-    copies = (F.col("whole") + F.when(F.col("hash") <= F.col("last"), 1).otherwise(0)).cast("long")
+    once_more = F.when(F.col("hash") <= F.col("last"), 1).otherwise(0)
+    copies = F.least(F.col("whole") + once_more, F.floor(F.lit(most))).cast("long")
     rows = sized.join(plan, F.col("source").eqNullSafe(F.col("__source")))
     return rows.select("__keep.*", "size", "source_size", "target", copies.alias("copies"),
                        (copies * F.col("size")).alias("taken"))
