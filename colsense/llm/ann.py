@@ -1,11 +1,15 @@
 """Nearest neighbours by learned partitions.
 
-The neighbour graph of a bounded sample is cut into parts of nearly equal size
-with few edges between them.  A small network learns, for a vector, how its
-neighbours are spread over the parts.  Every row is indexed in its likeliest
-part; a query is compared with all rows of its likeliest parts, as many as hold
-the share ``coverage`` of its neighbours by the network's own account, and at
-least ``min_rows`` rows.
+Nearness is the inner product, so long vectors are near to more queries.  As a
+candidate, a vector is therefore its direction and, as one more component, the
+logarithm of its length.  The neighbour graph of a bounded sample of candidates
+is cut into parts of nearly equal size with few edges between them, and a small
+network learns which part a candidate is in.  Every row is indexed in its likeliest
+part.  A second network learns, for a query, how its neighbours by inner product
+are spread over the parts of the index.  A query is compared with all rows of
+its likeliest parts, as many as hold a share of the network's mass.  That share
+is set on queries that the network was not fitted on, so that they find
+``coverage`` of their neighbours.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from colsense.llm.common import ship, written
 
 @dataclass(frozen=True)
 class Router:
-    """Two layers: probabilities of the parts for unit vectors."""
+    """Two layers: probabilities of the parts."""
 
     w1: np.ndarray
     b1: np.ndarray
@@ -31,17 +35,16 @@ class Router:
     b2: np.ndarray
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
         z = np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
 
-def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
-    """[row, k]: the rows with the largest inner products, its own left out."""
-    out = np.zeros((len(x), k), np.int32)
-    for a in range(0, len(x), 512):
-        s = x[a:a + 512] @ x.T
+def neighbour_graph(q: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """[row of q, k]: the rows of x with the largest inner products, its own left out."""
+    out = np.zeros((len(q), k), np.int32)
+    for a in range(0, len(q), 512):
+        s = q[a:a + 512] @ x.T
         s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
         out[a:a + 512] = np.argpartition(-s, k - 1, axis=1)[:, :k]
     return out
@@ -89,19 +92,65 @@ def balanced_parts(graph: np.ndarray, parts: int, rng: np.random.Generator, roun
     return part
 
 
-def fit_router(x: np.ndarray, parts: int, k: int = 20, hidden: int = 128, epochs: int = 30, seed: int = 5) -> Router:
-    """A router from the sample ``x`` (rows of one length, none zero)."""
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows as queries: of length one, since a query's length changes no order."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def log_length(x: np.ndarray) -> np.ndarray:
+    most = np.abs(x).max(axis=1, keepdims=True)
+    return np.log(most) + np.log(np.linalg.norm(x / most, axis=1, keepdims=True))
+
+
+def placed(x: np.ndarray, scale: tuple[float, float]) -> np.ndarray:
+    """Rows as candidates: direction, and the length on the given log scale."""
+    return np.concatenate([unit(x), (log_length(x) - scale[0]) * scale[1]], axis=1)
+
+
+def spread(graph: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
+    """[row, part]: the share of a row's neighbours that are in the part."""
+    goal = np.zeros((len(graph), parts))
+    np.add.at(goal, (np.arange(len(graph))[:, None], part[graph]), 1 / graph.shape[1])
+    return goal
+
+
+def calibrated(router: Router, x: np.ndarray, goal: np.ndarray, coverage: float) -> float:
+    """The least mass of likeliest parts that holds ``coverage`` of the rows'
+    neighbours in the mean."""
+    p = router(x)
+    order = np.argsort(-p, axis=1)
+    mass = np.cumsum(np.take_along_axis(p, order, 1), axis=1)
+    held = np.cumsum(np.take_along_axis(goal, order, 1), axis=1)
+    rows = np.arange(len(x))
+    for share in (0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.93, 0.95, 0.97, 0.98, 0.99, 0.995, 0.999, 0.9999):
+        if held[rows, np.minimum((mass < share).sum(axis=1), p.shape[1] - 1)].mean() >= coverage:
+            return share
+    return 1.1  # all parts
+
+
+def fit(x: np.ndarray, scale: tuple[float, float], parts: int, coverage: float, k: int = 20, seed: int = 5) -> tuple[Router, Router, float]:
+    """Routers of candidates and of queries from the sample ``x``, and the mass
+    a query's parts have to hold."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    dim, parts = x.shape[1], max(1, min(parts, len(x) // 2))
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    k = min(k, len(x) - 1)
+    parts, k = max(1, min(parts, len(x) // 2)), min(k, len(x) - 1)
     if parts < 2 or k < 1:
-        return Router(np.zeros((dim, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
-    graph = neighbour_graph(x, k)
+        return tuple(Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)) for d in (x.shape[1] + 1, x.shape[1])) + (1.1,)
+    own, asked = placed(x, scale), unit(x)
+    # the smallest distance as the largest inner product
+    graph = neighbour_graph(np.c_[own, np.ones(len(own))], np.c_[own, -(own * own).sum(axis=1) / 2], k)
     part = balanced_parts(graph, parts, rng)
-    goal = np.zeros((len(x), parts))
-    np.add.at(goal, (np.arange(len(x))[:, None], part[graph]), 1 / (k + 1))
-    np.add.at(goal, (np.arange(len(x)), part), 1 / (k + 1))
+    goal = (k * spread(graph, part, parts) + np.eye(parts)[part]) / (k + 1)
+    index = fit_router(own, goal, rng)
+    found = spread(neighbour_graph(asked, x / np.abs(x).max(), k), index(own).argmax(axis=1), parts)
+    late = rng.permutation(len(x)) < len(x) // 5
+    router = fit_router(asked[~late], found[~late], rng)
+    return index, router, calibrated(router, asked[late], found[late], coverage) if late.any() else 1.1
+
+
+def fit_router(x: np.ndarray, goal: np.ndarray, rng: np.random.Generator, hidden: int = 128, epochs: int = 30) -> Router:
+    """A router that gives the shares ``goal`` for the rows ``x``."""
+    dim, parts = x.shape[1], goal.shape[1]
     weights = [rng.normal(0, math.sqrt(2 / dim), (dim, hidden)), np.zeros(hidden),
                rng.normal(0, math.sqrt(1 / hidden), (hidden, parts)), np.zeros(parts)]
     m, v, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
@@ -140,38 +189,50 @@ def usable(vectors: DataFrame) -> DataFrame:
     return own.join(F.broadcast(best), F.size("embedding") == F.col("n")).drop("n")  # one row
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, parts: int = 16, sample_rows: int = 8192, coverage: float = 0.97,
-           min_rows: int = 1000, block_rows: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, part_rows: int = 4096, sample_rows: int = 8192, coverage: float = 0.97,
+           block_rows: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest found for each row
     of ``vectors(vec_id, embedding)`` where ``is_query`` holds, by inner product
     in double precision, ties to the smaller vec_id; a query's own id is no
     candidate.  See ``usable`` for the rows that take no part.  Fewer candidates
     than ``k`` give fewer rows, an empty table none.
 
-    The router is fitted on at most ``sample_rows`` rows (those with the
-    smallest hash of their id), which bounds what comes to the driver; every
-    row is indexed.  Rows of a part fall into blocks of about ``block_rows`` by
+    The routers are fitted on at most ``sample_rows`` rows (half of them those
+    with the smallest hash of their id, the others the longest vectors, which
+    are near to most queries), which bounds what comes to the driver; every
+    row is indexed.  There is a part for about ``part_rows`` rows, 16 at least,
+    and at most one for 32 rows of the sample.  A query visits parts until they
+    hold its share and more than ``k`` rows.  Rows of a part fall into blocks of about ``block_rows`` by
     hash of the id, and so do its queries, so no task holds a whole part,
     however many equal vectors it has.
     """
     spark = vectors.sparkSession
     ship(spark)
     rows = written(usable(vectors), "ann-rows")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
+    largest = F.array_max(F.transform("embedding", F.abs))  # divided out first: squares don't overflow
+    length = largest * F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, e: s + (e / largest) * (e / largest)))
+    n_rows = rows.count()
+    by_hash = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows // 2)
+    by_length = rows.orderBy(length.desc(), F.xxhash64("vec_id"), "vec_id").limit(sample_rows - sample_rows // 2)
+    sample = by_hash.union(by_length).dropDuplicates(["vec_id"]).orderBy("vec_id").toPandas()
     schema = "query_id long, rank int, vec_id long, score double"
     if not len(sample):
         return spark.createDataFrame([], schema)
-    router = fit_router(np.stack(sample["embedding"].to_numpy()), parts)
+    parts = min(max(16, math.ceil(n_rows / part_rows)), max(1, len(sample) // 32))
+    x = np.stack(sample["embedding"].to_numpy())
+    wide = float(log_length(x).std())
+    scale = float(log_length(x).mean()), 0.5 / wide if wide > 1e-4 else 0.0
+    index, router, share = fit(x, scale, parts, coverage)
 
     def route(frames):
         for f in frames:
             if len(f):
-                p = router(np.stack(f["embedding"].to_numpy()))
-                yield f.assign(probs=list(p))
+                x = np.stack(f["embedding"].to_numpy())
+                yield f.assign(part=index(placed(x, scale)).argmax(axis=1), probs=list(router(unit(x))))
 
-    routed = written(rows.mapInPandas(route, "vec_id long, embedding array<double>, probs array<double>"), "ann-routed")
-    part = F.array_position("probs", F.array_max("probs")).cast("int") - 1
-    held = {r["part"]: r["n"] for r in routed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    routed = written(rows.mapInPandas(route, "vec_id long, embedding array<double>, part int, probs array<double>"), "ann-routed")
+    part = F.col("part")
+    held = {r["part"]: r["n"] for r in routed.groupBy(part).agg(F.count("*").alias("n")).collect()}
     n_parts = len(router.b2)
     sizes = [held.get(p, 0) for p in range(n_parts)]
 
@@ -180,7 +241,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, parts: int = 16, sample_ro
     size = F.array(*(F.lit(s) for s in sizes))
     walked = F.aggregate(ranked, F.struct(F.lit(0.0).alias("mass"), F.lit(0).cast("long").alias("rows"),
                                           F.array().cast("array<int>").alias("parts")),
-                         lambda s, r: F.when((s["mass"] < coverage) | (s["rows"] < min_rows), F.struct(
+                         lambda s, r: F.when((s["mass"] < share) | (s["rows"] <= k), F.struct(
                              (s["mass"] + r["x"]).alias("mass"),
                              (s["rows"] + F.element_at(size, r["part"] + 1)).cast("long").alias("rows"),
                              F.concat(s["parts"], F.array(r["part"])).alias("parts"))).otherwise(s))["parts"]
@@ -196,7 +257,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, parts: int = 16, sample_ro
                 .withColumn(other_name, F.explode(F.sequence(F.lit(0), others - 1)))
                 .select("part", "block", "q_block", "vec_id", "embedding"))
 
-    base = dealt(routed.select("vec_id", "embedding", part.alias("part")), blocks, q_blocks, "block", "q_block")
+    base = dealt(routed.select("vec_id", "embedding", "part"), blocks, q_blocks, "block", "q_block")
     queries = dealt(asked, q_blocks, blocks, "q_block", "block")
 
     def nearest(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
