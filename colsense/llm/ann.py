@@ -209,8 +209,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, part_rows: int = 4096, sam
     spark = vectors.sparkSession
     ship(spark)
     rows = written(usable(vectors), "ann-rows")
-    largest = F.array_max(F.transform("embedding", F.abs))  # divided out first: squares don't overflow
-    length = largest * F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, e: s + (e / largest) * (e / largest)))
+    length = F.aggregate("embedding", F.lit(0.0), lambda s, e: s + e * e)  # squared; only their order counts
     n_rows = rows.count()
     by_hash = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows // 2)
     by_length = rows.orderBy(length.desc(), F.xxhash64("vec_id"), "vec_id").limit(sample_rows - sample_rows // 2)
