@@ -9,21 +9,22 @@ probability about 1 - (1 - s^ROWS)^BANDS, which is above 0.999999 at s = 0.75.
 
 Links.  Documents with the same shingle set are one node (its members are linked
 whatever their number).  Nodes that share a band are candidates, and a link
-counts if the full sets confirm it.  All pairs of a band would grow with the
-square of a group, so pairs are compared in rounds, and only between nodes that
-are not yet connected.  First every node meets the hub (smallest node) that it
-shares most bands with, which makes most groups one component; bands of one
-component drop out.  Nodes of the other bands are open.  Sets that are similar
-enough share one of their rarest shingles (a quarter of the set, plus one), so
-open nodes meet over those: twice each node meets only the one of a larger
-component that it shares most of them with, and in the last round all of them.
-So any two nodes of one band end either connected, compared, or known to be
-too different, and no candidate is dropped.
+counts if the full sets confirm it.  Candidates meet inside tasks, where one
+byte of each coordinate tells how many coordinates agree; a pair goes on to its
+full sets if so many agree that a pair at the least similarity falls short with
+probability ``MISS`` at most.  Not all pairs of a band go on: in a few rounds
+each node names two partners in other components (that with most agreement and
+the smallest), and the band's hub, a node of its largest component, meets all of
+it; bands of one component drop out.  A last round names every pair that is
+left, so any two candidates end either connected, compared, or known to be too
+different.  A band of more than ``TILE`` nodes is dealt out to several tiles.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,11 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colsense.llm.common import map_batches, written
+from colsense.llm.common import map_batches, own_worker, pa_schema, ship, written
 from colsense.llm.components import min_labels
 
 CIRCLE = 1 << 20
 BANDS, ROWS = 40, 4
+MISS = 3e-7
+TILE = 1024
 
 
 @lru_cache(maxsize=2)
@@ -90,8 +93,9 @@ def shingles(text: bytes | None, words: int) -> np.ndarray:
     return np.unique(out)
 
 
-def signature_bands(sets: np.ndarray, seed: int) -> np.ndarray:
-    """One 64-bit key for each band of a set that is not empty."""
+def signature(sets: np.ndarray, seed: int) -> tuple[np.ndarray, bytes]:
+    """Of a set that is not empty: one 64-bit key for each band, and the low
+    byte of each coordinate."""
     sigma, windows = _permutations(seed, BANDS * ROWS)
     at = sigma[(sets >> np.uint64(44)).astype(np.int64)]
     low = np.full(BANDS * ROWS, CIRCLE, np.uint32)
@@ -100,117 +104,192 @@ def signature_bands(sets: np.ndarray, seed: int) -> np.ndarray:
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for part in low.reshape(BANDS, ROWS).T:
         key = _mix(key * _STEP + part.astype(np.uint64))
-    return key
+    return key, low.astype(np.uint8).tobytes()
+
+
+def least_agreement(percent: int) -> int:
+    """The number of coordinates below which a pair of similarity ``percent``
+    stays with probability ``MISS`` at most."""
+    n, p, below = BANDS * ROWS, percent / 100, 0.0
+    for k in range(n + 1):
+        below += math.comb(n, k) * p ** k * (1 - p) ** (n - k)
+        if below > MISS:
+            return k
+    return n
 
 
 def profile(docs: DataFrame, words: int = 5, seed: int = 11, others: tuple[str, ...] = ()) -> DataFrame:
     """``row`` (a number of the row), ``doc_id``, ``text``, ``node`` (16-byte
-    digest of the shingle set; null if it is empty), ``n_shingles`` and
-    ``bands``.  Words are runs of other bytes than ASCII white space, with A-Z
+    digest of the shingle set; null if it is empty), ``n_shingles``, ``bands``
+    and ``low`` (a byte of each coordinate).  Words are runs of other bytes than ASCII white space, with A-Z
     lowered; a text with fewer than ``words`` words has its whole sequence as
     its one shingle.  The result is a table in the shared folder."""
     def run(batch: pa.RecordBatch):
-        node, size, bands = [], [], []
+        node, size, bands, low = [], [], [], []
         for text in batch.column("text").to_pylist():
             s = shingles(text, words)
             size.append(len(s))
             node.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            bands.append(signature_bands(s, seed).view(np.int64) if len(s) else None)
-        yield {c: batch.column(c) for c in batch.schema.names} | {"node": node, "n_shingles": size, "bands": bands}
+            keys, bytes_ = signature(s, seed) if len(s) else (None, None)
+            bands.append(None if keys is None else keys.view(np.int64))
+            low.append(bytes_)
+        yield ({c: batch.column(c) for c in batch.schema.names}
+               | {"node": node, "n_shingles": size, "bands": bands, "low": low})
 
     other = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(0)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary"),
                        other.alias("other"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return written(map_batches(rows, run, f"{kinds}, node binary, n_shingles long, bands array<long>"), "minhash")
+    return written(map_batches(rows, run, f"{kinds}, node binary, n_shingles long, bands array<long>, low binary"), "minhash")
 
 
 def _sets(rows: DataFrame, words: int) -> DataFrame:
-    """(node, items) of the texts of ``rows``."""
+    """(id, items) of the texts of ``rows``."""
     def run(batch: pa.RecordBatch):
-        yield {"node": batch.column("node"),
+        yield {"id": batch.column("id"),
                "items": [shingles(t, words).view(np.int64) for t in batch.column("text").to_pylist()]}
 
-    return map_batches(rows.select("node", "text"), run, "node binary, items array<long>")
+    return map_batches(rows.select("id", "text"), run, "id long, items array<long>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
+    left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    # the sizes alone rule out a pair before it is carried to the second join
-    return (pairs.join(left, "a").where(100 * F.least(F.size("x"), "n_b") >= percent * F.greatest(F.size("x"), "n_b"))
-            .join(right, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"))
-
-
-def components(rows: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
+    return (pairs.join(left, "a").join(right, "b")
+            .where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"))
+
+
+def tiles(now: DataFrame, split: DataFrame, turn: int, everything: bool) -> DataFrame:
+    """(key, role, id, n, group, low): the rows of ``now`` of the bands in
+    ``split``, dealt to tiles.  A band of up to ``TILE`` nodes is one tile and all
+    its rows meet (role 0).  Of a larger one, ``everything`` lets each node
+    outside the largest component (role 1) meet every node (role 2), block by
+    block; else each block is a tile, with the band's hub in all of them."""
+    rows = now.join(split, "band")
+    block = lambda of: F.pmod(F.xxhash64("id", F.lit(turn)), F.col(of)).cast("int")
+    every = lambda of: F.sequence(F.lit(0), (F.col(of) - 1).cast("int"))
+    at = lambda role, i, j: F.struct(F.lit(role).alias("role"), i.alias("i"), j.alias("j"))
+    zero = F.lit(0)
+    one = F.array(at(0, zero, zero))
+    if everything:
+        seen = F.transform(every("minor_blocks"), lambda i: at(2, i, block("blocks")))
+        asks = F.transform(every("blocks"), lambda j: at(1, block("minor_blocks"), j))
+        many = F.when(F.col("group") == F.col("major"), seen).otherwise(F.concat(seen, asks))
+    else:
+        many = F.when(F.col("id") == F.col("hub"), F.transform(every("blocks"), lambda i: at(0, i, zero))
+                      ).otherwise(F.array(at(0, block("blocks"), zero)))
+    dealt = rows.withColumn("tile", F.explode(F.when(F.col("blocks") == 1, one).otherwise(many)))
+    return dealt.select(F.xxhash64("band", "tile.i", "tile.j").alias("key"), F.col("tile.role").alias("role"),
+                        "id", "n", "group", "low")
+
+
+def _whole_tiles(batches: Iterator[pa.RecordBatch], rows: int = 8192) -> Iterator[pa.Table]:
+    """Tables of whole tiles from batches in the order of ``key``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            table = pa.Table.from_batches(held)
+            key = table.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield table.slice(0, cut)
+            held = table.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def meet(dealt: DataFrame, percent: int, everything: bool) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of different groups whose coordinates agree
+    often enough: all that meet in a tile, or two partners of each node."""
+    ship(dealt.sparkSession)
+    schema = "a long, b long" if everything else "id long, agree int, best long, least long"
+    out, enough = pa_schema(dealt.sparkSession, schema), least_agreement(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker(__name__)
+        for table in _whole_tiles(batches):
+            key, role, id_, n, group = (table.column(c).to_numpy() for c in ("key", "role", "id", "n", "group"))
+            low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(len(key), BANDS * ROWS)
+            most, best = np.zeros(len(key), np.int32), np.zeros(len(key), np.int64)
+            least = np.full(len(key), np.iinfo(np.int64).max)
+            at, step = np.arange(len(key)), 0
+            while len(at):
+                step += 1
+                at = at[at + step < len(key)]
+                at = at[key[at] == key[at + step]]
+                i, j = at, at + step
+                right = ((group[i] != group[j]) & ((role[i] == 0) | (role[i] != role[j]))
+                         & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])))
+                i, j = i[right], j[right]
+                agree = (low[i] == low[j]).sum(axis=1, dtype=np.int32)
+                right = agree >= enough
+                i, j, agree = i[right], j[right], agree[right]
+                if not len(i):
+                    continue
+                if everything:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(id_[i], id_[j])), pa.array(np.maximum(id_[i], id_[j]))],
+                                                     schema=out)
+                    continue
+                for x, y in ((i, j), (j, i)):
+                    least[x] = np.minimum(least[x], id_[y])
+                    more = (agree > most[x]) | ((agree == most[x]) & (id_[y] < best[x]))
+                    most[x[more]], best[x[more]] = agree[more], id_[y[more]]
+            if not everything and len(found := np.flatnonzero(most)):
+                yield pa.RecordBatch.from_arrays([pa.array(c[found]) for c in (id_, most, best, least)], schema=out)
+
+    met = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+    if not everything:
+        met = (met.groupBy("id").agg(F.max(F.struct("agree", F.negative("best").alias("best"))).alias("top"), F.min("least").alias("least"))
+               .select("id", F.explode(F.array(F.negative("top.best"), F.col("least"))).alias("other"))
+               .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")))
+    return met.distinct()
+
+
+def components(rows: DataFrame, nodes: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """(node, label) for the nodes of a ``profile`` that are linked with another;
-    nodes alone have no row here."""
-    spark = rows.sparkSession
+    nodes alone have no row here.  ``nodes(node, id)`` names each by the smallest
+    of its rows; both columns of the result are such numbers."""
     # one row speaks for each node; rows with equal sets have equal bands
-    first = rows.where("node is not null").groupBy("node").agg(F.min("row").alias("row"))
-    own = written(rows.select("row", "node", "n_shingles", "bands").join(first.select("row"), "row")
-                  .select("row", "node", "n_shingles", F.explode("bands").alias("band")), "minhash-bands")
-    # bands of two nodes or more, with their smallest node
-    shared = own.groupBy("band").agg(F.count("*").alias("m"), F.min("node").alias("hub")).where("m > 1")
-    meet = written(own.join(shared, "band"), "minhash-meet")
-    chosen = meet.select("row").distinct()
-    sets = written(_sets(rows.select("row", "node", "text").join(chosen, "row"), words), "minhash-sets")
-    def best(met: DataFrame) -> DataFrame:
-        """Of the nodes that ``b`` meets, the one that it meets most often."""
-        shared = met.groupBy("a", "b", "n_b").agg(F.count("*").alias("bands"))
-        return shared.groupBy("b", "n_b").agg(F.max(F.struct("bands", "a")).alias("top")).select("top.a", "b", "n_b")
-
-    edges = written(confirm(best(meet.where("node != hub").select(
-        F.col("hub").alias("a"), F.col("node").alias("b"), F.col("n_shingles").alias("n_b"))), sets, percent), "minhash-edges")
-    labels = min_labels(edges)
-    open_ = meet.select("band", "node", "n_shingles")
-    rare = None
-    for likeliest in (True, True, False):
-        sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
-        now = (open_.join(labels.join(sizes, "label"), "node", "left")
-               .withColumn("group", F.struct(F.coalesce("n", F.lit(1).cast("long")), F.coalesce("label", "node"))))
-        split = now.groupBy("band").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo != hi").select("band")
-        still = written(now.join(split, "band").select("band", "node", "n_shingles", "group"), "minhash-open")
-        if still.limit(1).count() == 0:
-            break
-        nodes = still.select("node", "n_shingles", "group").distinct()
-        if rare is None:
-            # the open nodes of a later round are among these, so this order of the shingles serves all rounds
-            rare = written(rarest(nodes.select("node", "n_shingles"), sets, percent), "minhash-rare")
-        now = rare.join(nodes.select("node", "group"), "node")
-        other = now.select("item", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("group").alias("group_a"),
-                            F.col("place").alias("place_a"))
-        # all that two sets can share, if this is the rarest shingle that they share, must be enough
-        most = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place")) + 1
-        met = (now.withColumnsRenamed({"node": "b", "n_shingles": "n_b"}).join(other, "item").where(
-            (F.col("group") < F.col("group_a"))
-            & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))).select("a", "b", "n_b"))
-        found = written(confirm(best(met) if likeliest else met.distinct(), sets, percent), "minhash-edges")
-        if found.limit(1).count():
+    own = written(rows.select(F.col("row").alias("id"), "bands").join(nodes.select("id"), "id")
+                  .select("id", F.explode("bands").alias("band")), "minhash-bands")
+    shared = own.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
+    known = rows.select(F.col("row").alias("id"), F.col("n_shingles").alias("n"), "low")
+    open_ = written(own.join(shared, "band").join(known, "id"), "minhash-open")
+    labels, sets = None, None
+    for turn in range(3):
+        now = open_.withColumn("group", F.col("id"))
+        if labels is not None:
+            now = open_.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("group", F.coalesce("label", "id"))
+        pick = F.struct(F.xxhash64("id", F.lit(turn)), "id")
+        split = (now.groupBy("band", "group").agg(F.count("*").alias("m"), F.min(pick).alias("pick"))
+                 .groupBy("band").agg(F.sum("m").alias("m"), F.count("*").alias("groups"),
+                                      F.max(F.struct("m", "group", F.col("pick.id").alias("hub"))).alias("top"))
+                 .where("groups > 1").select("band", F.ceil(F.col("m") / TILE).alias("blocks"), "top.hub", F.col("top.group").alias("major"),
+                                             F.ceil((F.col("m") - F.col("top.m")) / TILE).alias("minor_blocks")))
+        split = written(split, "minhash-split")
+        everything = turn == 2
+        pairs = written(meet(tiles(now, split, turn, everything), percent, everything), "minhash-pairs")
+        if sets is None:
+            # a node without a partner here has none later, but for the bands of several tiles
+            large = now.join(split.where("blocks > 1").select("band"), "band").select("id")
+            partners = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(large).distinct(), "minhash-partners")
+            sets = written(_sets(rows.select(F.col("row").alias("id"), "text").join(partners, "id"), words), "minhash-sets")
+        found = written(confirm(pairs, sets, percent), "minhash-edges")
+        if found.limit(1).count() or labels is None:
             # a star for each component says as much as all links before
-            labels = min_labels(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found))
-        open_ = still.select("band", "node", "n_shingles")
+            before = found.limit(0) if labels is None else labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+            labels = min_labels(before.union(found))
+        open_ = open_.join(split.select("band"), "band")
     return labels
 
 
-def rarest(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(item, node, n_shingles, place): for each node, the shingles that fewest
-    ``nodes`` have, so many that any set similar enough has one of them among
-    its own rarest; those that no other node has are left out."""
-    own = nodes.join(sets, "node").select("node", "n_shingles", F.explode("items").alias("item"))
-    counted = own.join(own.groupBy("item").agg(F.count("*").alias("n")), "item")
-    place = F.row_number().over(Window.partitionBy("node").orderBy("n", "item"))
-    room = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
-    return (counted.withColumn("place", place).where((F.col("place") <= room) & (F.col("n") > 1))
-            .select("item", "node", "n_shingles", "place"))
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, seed: int = 11,
                     others: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs``: ``row``, ``doc_id``, ``text`` (bytes), ``n_shingles``,
-    ``component`` (digest that names the component; null without a word),
+    ``component`` (number that names the component; null without a word),
     ``component_id`` (smallest doc_id reachable), ``kept`` and, if there are
     ``others``, the struct ``other`` with these columns.
 
@@ -222,13 +301,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, seed: in
     ``component``.  An empty table gives an empty table.
     """
     rows = profile(docs, words, seed, others)
-    labels = components(rows, words, percent)
-    linked = (rows.select("row", "doc_id", "node").join(labels, "node", "left")
-              .withColumn("label", F.coalesce("label", "node")))
-    smallest = written(linked.where("node is not null").groupBy("label")
-                       .agg(F.min("doc_id").alias("component_id")), "minhash-groups")
-    by_node = (linked.where("node is not null").select("node", "label").distinct()
-               .join(smallest, "label").select("node", F.col("label").alias("component"), "component_id"))
+    nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("row").alias("id"), F.min("doc_id").alias("least")),
+                    "minhash-nodes")
+    labels = components(rows, nodes, words, percent).select(F.col("node").alias("id"), "label")
+    linked = written(nodes.join(labels, "id", "left").select("node", "least", F.coalesce("label", "id").alias("component")),
+                     "minhash-groups")
+    smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_node = linked.select("node", "component").join(smallest, "component")
     out = rows.join(by_node, "node", "left")
     smallest_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("row", "doc_id", "text", "n_shingles", "component", smallest_id.alias("component_id"),

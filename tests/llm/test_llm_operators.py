@@ -3,6 +3,7 @@ empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -199,6 +200,25 @@ def test_near_duplicates_in_a_drifting_group(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out.collect()) == components_of(rows)
 
 
+@pytest.mark.parametrize("tile", [2, 7])
+def test_near_duplicates_in_bands_of_many_tiles(spark, monkeypatch, tile):
+    rng, words = random.Random(9), [f"w{i}" for i in range(400)]
+    rows, start = [], [rng.choice(words) for _ in range(60)]
+    for i in range(80):  # copies of one text and, further off, of another copy
+        base = start if i % 3 else rows[i // 2][1].split() if i else start
+        rows.append((i, " ".join(rng.choice(words) if rng.random() < 0.03 else w for w in base)))
+    monkeypatch.setattr(minhash, "TILE", tile)
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out.collect()) == components_of(rows)
+
+
+def test_least_agreement_is_the_binomial_tail():
+    least = minhash.least_agreement(75)
+    # out of 4 ** 160 equally likely draws, those with k agreements
+    draws = [math.comb(160, k) * 3 ** k for k in range(161)]
+    assert sum(draws[:least]) <= minhash.MISS * 4 ** 160 < sum(draws[:least + 1])
+
+
 @pytest.mark.parametrize("options", [{}, {"common": 2}, {"block_bytes": 300, "batch_bytes": 500, "common": 5}])
 def test_repeated_passages(spark, none, options):
     rng = random.Random(2)
