@@ -12,12 +12,16 @@ whatever their number).  Nodes that share a band are candidates, and a link
 counts if the full sets confirm it.  Candidates meet inside tasks, where one
 byte of each coordinate tells how many coordinates agree; a pair goes on to its
 full sets if so many agree that a pair at the least similarity falls short with
-probability ``MISS`` at most.  Not all pairs of a band go on: in a few rounds
-each node names two partners in other components (that with most agreement and
-the smallest), and the band's hub, a node of its largest component, meets all of
-it; bands of one component drop out.  A last round names every pair that is
-left, so any two candidates end either connected, compared, or known to be too
-different.  A band of more than ``TILE`` nodes is dealt out to several tiles.
+probability ``MISS`` at most.  Pairs are not written out: first each node names
+two partners (that with most agreement and the smallest), which connects most
+groups, and bands of one component drop out.  Among the rest, pairs of different
+components whose coordinates agree make a graph; each task names a spanning
+forest of its part, and its connected parts are the families.  In a family all
+pairs that are still apart are compared on full sets inside tasks, which name
+only links that join two components.  So any two candidates end connected,
+compared, or known to be too different, and the rows written grow with nodes.
+A band or family of many nodes is dealt out to several tiles, and the hub, a node
+of its largest component, first meets all of it.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ CIRCLE = 1 << 20
 BANDS, ROWS = 40, 4
 MISS = 3e-7
 TILE = 1024
+#: Nodes of a tile that has full sets.
+SET_TILE = 256
 
 
 @lru_cache(maxsize=2)
@@ -161,13 +167,24 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"))
 
 
+def split_groups(now: DataFrame, turn: int, size: int) -> DataFrame:
+    """Of each band of ``now`` with two groups or more: the largest group
+    (``major``), a node of it (``hub``, another one each turn), and how many
+    blocks of ``size`` nodes all of it and the other groups make."""
+    pick = F.struct(F.xxhash64("id", F.lit(turn)), "id")
+    return (now.groupBy("band", "group").agg(F.count("*").alias("m"), F.min(pick).alias("pick"))
+            .groupBy("band").agg(F.sum("m").alias("m"), F.count("*").alias("groups"),
+                                 F.max(F.struct("m", "group", F.col("pick.id").alias("hub"))).alias("top"))
+            .where("groups > 1").select("band", F.ceil(F.col("m") / size).alias("blocks"), "top.hub", F.col("top.group").alias("major"),
+                                        F.ceil((F.col("m") - F.col("top.m")) / size).alias("minor_blocks")))
+
+
 def tiles(now: DataFrame, split: DataFrame, turn: int, everything: bool) -> DataFrame:
-    """(key, role, id, n, group, low): the rows of ``now`` of the bands in
-    ``split``, dealt to tiles.  A band of up to ``TILE`` nodes is one tile and all
+    """``key``, ``role`` and the columns of ``now`` but ``band``: the rows of the
+    bands in ``split``, dealt to tiles.  A band of one block is one tile and all
     its rows meet (role 0).  Of a larger one, ``everything`` lets each node
     outside the largest component (role 1) meet every node (role 2), block by
     block; else each block is a tile, with the band's hub in all of them."""
-    rows = now.join(split, "band")
     block = lambda of: F.pmod(F.xxhash64("id", F.lit(turn)), F.col(of)).cast("int")
     every = lambda of: F.sequence(F.lit(0), (F.col(of) - 1).cast("int"))
     at = lambda role, i, j: F.struct(F.lit(role).alias("role"), i.alias("i"), j.alias("j"))
@@ -180,17 +197,17 @@ def tiles(now: DataFrame, split: DataFrame, turn: int, everything: bool) -> Data
     else:
         many = F.when(F.col("id") == F.col("hub"), F.transform(every("blocks"), lambda i: at(0, i, zero))
                       ).otherwise(F.array(at(0, block("blocks"), zero)))
-    dealt = rows.withColumn("tile", F.explode(F.when(F.col("blocks") == 1, one).otherwise(many)))
+    dealt = now.join(split, "band").withColumn("tile", F.explode(F.when(F.col("blocks") == 1, one).otherwise(many)))
     return dealt.select(F.xxhash64("band", "tile.i", "tile.j").alias("key"), F.col("tile.role").alias("role"),
-                        "id", "n", "group", "low")
+                        *(c for c in now.columns if c != "band"))
 
 
-def _whole_tiles(batches: Iterator[pa.RecordBatch], rows: int = 8192) -> Iterator[pa.Table]:
-    """Tables of whole tiles from batches in the order of ``key``."""
+def _whole_tiles(batches: Iterator[pa.RecordBatch], size: int = 1 << 22) -> Iterator[pa.Table]:
+    """Tables of whole tiles, of about ``size`` bytes, from batches in the order of ``key``."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) >= rows:
+        if sum(b.nbytes for b in held) >= size:
             table = pa.Table.from_batches(held)
             key = table.column("key").to_numpy()
             cut = int(np.searchsorted(key, key[-1]))
@@ -201,51 +218,87 @@ def _whole_tiles(batches: Iterator[pa.RecordBatch], rows: int = 8192) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-def meet(dealt: DataFrame, percent: int, everything: bool) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of different groups whose coordinates agree
-    often enough: all that meet in a tile, or two partners of each node."""
+def _meetings(table: pa.Table, percent: int, enough: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, agree): the pairs of rows of one tile, of different groups, whose
+    sizes allow a link and whose coordinates agree ``enough``; each row is once
+    at most in ``i`` of one step, and once in ``j``."""
+    key, role, n, group = (table.column(c).to_numpy() for c in ("key", "role", "n", "group"))
+    low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(len(key), BANDS * ROWS)
+    at, step = np.arange(len(key)), 0
+    while len(at):
+        step += 1
+        at = at[at + step < len(key)]
+        at = at[key[at] == key[at + step]]
+        i, j = at, at + step
+        right = ((group[i] != group[j]) & ((role[i] == 0) | (role[i] != role[j]))
+                 & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])))
+        i, j = i[right], j[right]
+        agree = (low[i] == low[j]).sum(axis=1, dtype=np.int32)
+        right = agree >= enough
+        if right.any():
+            yield i[right], j[right], agree[right]
+
+
+def partners(dealt: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b: for each node of ``tiles``, that with which
+    most coordinates agree and the smallest with which enough do."""
     ship(dealt.sparkSession)
-    schema = "a long, b long" if everything else "id long, agree int, best long, least long"
+    schema = "id long, agree int, best long, least long"
     out, enough = pa_schema(dealt.sparkSession, schema), least_agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_worker(__name__)
         for table in _whole_tiles(batches):
-            key, role, id_, n, group = (table.column(c).to_numpy() for c in ("key", "role", "id", "n", "group"))
-            low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(len(key), BANDS * ROWS)
-            most, best = np.zeros(len(key), np.int32), np.zeros(len(key), np.int64)
-            least = np.full(len(key), np.iinfo(np.int64).max)
-            at, step = np.arange(len(key)), 0
-            while len(at):
-                step += 1
-                at = at[at + step < len(key)]
-                at = at[key[at] == key[at + step]]
-                i, j = at, at + step
-                right = ((group[i] != group[j]) & ((role[i] == 0) | (role[i] != role[j]))
-                         & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])))
-                i, j = i[right], j[right]
-                agree = (low[i] == low[j]).sum(axis=1, dtype=np.int32)
-                right = agree >= enough
-                i, j, agree = i[right], j[right], agree[right]
-                if not len(i):
-                    continue
-                if everything:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(id_[i], id_[j])), pa.array(np.maximum(id_[i], id_[j]))],
-                                                     schema=out)
-                    continue
+            id_ = table.column("id").to_numpy()
+            most, best = np.zeros(len(id_), np.int32), np.zeros(len(id_), np.int64)
+            least = np.full(len(id_), np.iinfo(np.int64).max)
+            for i, j, agree in _meetings(table, percent, enough):
                 for x, y in ((i, j), (j, i)):
                     least[x] = np.minimum(least[x], id_[y])
                     more = (agree > most[x]) | ((agree == most[x]) & (id_[y] < best[x]))
                     most[x[more]], best[x[more]] = agree[more], id_[y[more]]
-            if not everything and len(found := np.flatnonzero(most)):
+            if len(found := np.flatnonzero(most)):
                 yield pa.RecordBatch.from_arrays([pa.array(c[found]) for c in (id_, most, best, least)], schema=out)
 
     met = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
-    if not everything:
-        met = (met.groupBy("id").agg(F.max(F.struct("agree", F.negative("best").alias("best"))).alias("top"), F.min("least").alias("least"))
-               .select("id", F.explode(F.array(F.negative("top.best"), F.col("least"))).alias("other"))
-               .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")))
-    return met.distinct()
+    return (met.groupBy("id").agg(F.max(F.struct("agree", F.negative("best").alias("best"))).alias("top"), F.min("least").alias("least"))
+            .select("id", F.explode(F.array(F.negative("top.best"), F.col("least"))).alias("other"))
+            .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+
+
+def joining(dealt: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs that join what a task's tiles have not joined yet.  With
+    ``items`` in ``dealt``, links confirmed on full sets that join groups; else
+    a spanning forest of the pairs whose coordinates agree enough."""
+    ship(dealt.sparkSession)
+    out, enough, confirmed = pa_schema(dealt.sparkSession, "a long, b long"), least_agreement(percent), "items" in dealt.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker(__name__)
+        for table in _whole_tiles(batches):
+            id_ = table.column("id").to_numpy()
+            part = np.unique(table.column("group" if confirmed else "id").to_numpy(), return_inverse=True)[1]
+            if confirmed:
+                lists = pa.concat_arrays(table.column("items").chunks)
+                ends, items = lists.offsets.to_numpy(), lists.values.to_numpy()
+            a, b = [], []
+            for i, j, _ in _meetings(table, percent, enough):
+                apart = part[i] != part[j]
+                for x, y in zip(i[apart].tolist(), j[apart].tolist()):
+                    if part[x] == part[y]:
+                        continue
+                    if confirmed:
+                        one, two = items[ends[x]:ends[x + 1]], items[ends[y]:ends[y + 1]]
+                        both = len(np.intersect1d(one, two, assume_unique=True))
+                        if 100 * both < percent * (len(one) + len(two) - both):
+                            continue
+                    part[part == part[y]] = part[x]
+                    a.append(id_[x])
+                    b.append(id_[y])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=out)
+
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def components(rows: DataFrame, nodes: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
@@ -258,32 +311,38 @@ def components(rows: DataFrame, nodes: DataFrame, words: int = 5, percent: int =
     shared = own.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
     known = rows.select(F.col("row").alias("id"), F.col("n_shingles").alias("n"), "low")
     open_ = written(own.join(shared, "band").join(known, "id"), "minhash-open")
-    labels, sets = None, None
+    def grouped(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        return (rows.join(labels.select(F.col("node").alias("id"), "label"), "id", "left")
+                .withColumn("group", F.coalesce("label", "id")).drop("label"))
+
+    def joined(labels: DataFrame, found: DataFrame) -> DataFrame:
+        # a star for each component says as much as all links before
+        return min_labels(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found))
+
+    labels = sets = None
     for turn in range(3):
-        now = open_.withColumn("group", F.col("id"))
-        if labels is not None:
-            now = open_.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("group", F.coalesce("label", "id"))
-        pick = F.struct(F.xxhash64("id", F.lit(turn)), "id")
-        split = (now.groupBy("band", "group").agg(F.count("*").alias("m"), F.min(pick).alias("pick"))
-                 .groupBy("band").agg(F.sum("m").alias("m"), F.count("*").alias("groups"),
-                                      F.max(F.struct("m", "group", F.col("pick.id").alias("hub"))).alias("top"))
-                 .where("groups > 1").select("band", F.ceil(F.col("m") / TILE).alias("blocks"), "top.hub", F.col("top.group").alias("major"),
-                                             F.ceil((F.col("m") - F.col("top.m")) / TILE).alias("minor_blocks")))
-        split = written(split, "minhash-split")
-        everything = turn == 2
-        pairs = written(meet(tiles(now, split, turn, everything), percent, everything), "minhash-pairs")
+        now = open_.withColumn("group", F.col("id")) if labels is None else grouped(open_, labels)
+        split = written(split_groups(now, turn, TILE), "minhash-split")
+        pairs = written(partners(tiles(now, split, turn, False), percent), "minhash-pairs")
+        large = split.where("blocks > 1").select("band")
         if sets is None:
             # a node without a partner here has none later, but for the bands of several tiles
-            large = now.join(split.where("blocks > 1").select("band"), "band").select("id")
-            partners = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(large).distinct(), "minhash-partners")
-            sets = written(_sets(rows.select(F.col("row").alias("id"), "text").join(partners, "id"), words), "minhash-sets")
+            chosen = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(now.join(large, "band").select("id"))
+                             .distinct(), "minhash-chosen")
+            sets = written(_sets(rows.select(F.col("row").alias("id"), "text").join(chosen, "id"), words), "minhash-sets")
         found = written(confirm(pairs, sets, percent), "minhash-edges")
-        if found.limit(1).count() or labels is None:
-            # a star for each component says as much as all links before
-            before = found.limit(0) if labels is None else labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-            labels = min_labels(before.union(found))
+        labels = min_labels(found) if labels is None else joined(labels, found)
         open_ = open_.join(split.select("band"), "band")
-    return labels
+        if large.limit(1).count() == 0:
+            break  # in a band of one tile the last step compares all that is left
+    now = grouped(open_, labels)
+    split = written(split_groups(now, 3, TILE), "minhash-split")
+    forest = written(joining(tiles(now, split, 3, True), percent), "minhash-forest")
+    families = min_labels(forest).select(F.col("node").alias("id"), F.col("label").alias("band"))
+    now = written(grouped(families.join(known, "id"), labels), "minhash-families")
+    split = written(split_groups(now, 4, SET_TILE), "minhash-split")
+    found = written(joining(tiles(now.join(sets, "id"), split, 4, True), percent), "minhash-edges")
+    return joined(labels, found)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, seed: int = 11,

@@ -208,6 +208,7 @@ def test_near_duplicates_in_bands_of_many_tiles(spark, monkeypatch, tile):
         base = start if i % 3 else rows[i // 2][1].split() if i else start
         rows.append((i, " ".join(rng.choice(words) if rng.random() < 0.03 else w for w in base)))
     monkeypatch.setattr(minhash, "TILE", tile)
+    monkeypatch.setattr(minhash, "SET_TILE", tile)
     out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out.collect()) == components_of(rows)
 
