@@ -15,8 +15,8 @@ full sets if so many agree that a pair at the least similarity falls short with
 probability ``MISS`` at most.  Pairs are not written out: first each node names
 two partners (that with most agreement and the smallest), which connects most
 groups, and bands of one component drop out.  Among the rest, pairs of different
-components whose coordinates agree make a graph; each task names a spanning
-forest of its part, and its connected parts are the families.  In a family all
+components whose coordinates agree make a graph; each task names stars that
+connect its part as well, and its connected parts are the families.  In a family all
 pairs that are still apart are compared on full sets inside tasks, which name
 only links that join two components.  So any two candidates end connected,
 compared, or known to be too different, and the rows written grow with nodes.
@@ -269,7 +269,7 @@ def partners(dealt: DataFrame, percent: int) -> DataFrame:
 def joining(dealt: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs that join what a task's tiles have not joined yet.  With
     ``items`` in ``dealt``, links confirmed on full sets that join groups; else
-    a spanning forest of the pairs whose coordinates agree enough."""
+    stars that connect the nodes whose coordinates agree enough."""
     ship(dealt.sparkSession)
     out, enough, confirmed = pa_schema(dealt.sparkSession, "a long, b long"), least_agreement(percent), "items" in dealt.columns
 
@@ -295,10 +295,16 @@ def joining(dealt: DataFrame, percent: int) -> DataFrame:
                     part[part == part[y]] = part[x]
                     a.append(id_[x])
                     b.append(id_[y])
-            if a:
+            if a and not confirmed:
+                # stars on the smallest node: the bands of one family mostly name the same ones
+                least = np.full(len(part), np.iinfo(np.int64).max)
+                np.minimum.at(least, part, id_)
+                a, b = least[part], id_
+                a, b = a[a != b], b[a != b]
+            if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=out)
 
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(rows: DataFrame, nodes: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
