@@ -10,9 +10,11 @@ These counts are kept in ``2 ** table_bits`` counters, a phrase in that of its
 hash.  A counter holds at least what its phrases occur, so none that reaches the
 threshold is missed, and phrases that meet in one only make more phrases active.
 Tasks get one bit a counter (has it reached the threshold?), as it was before a
-step and as it was a circle ago: a phrase is active if both subphrases are in
-the first, and done if both are in the second.  When no phrase is active any
-more, one scan counts those exactly that are in the bits, by their words.
+step and as it was a circle ago: a phrase is active if both subphrases, and all
+that these depend on, are in the first, and done if they are in the second.  (A
+subphrase alone may be in the bits too early, by others that share its counter.)
+When no phrase is active any more, one scan counts those exactly that are in the
+bits, by their words.
 """
 
 from __future__ import annotations
@@ -137,6 +139,7 @@ def count_chunk(chunk: list[tuple[str, bytes, bytes]], now: Bits, before: Bits |
         some = np.flatnonzero((f > 0) & reached if before is None else f)
         yield columns(1, first[some], f[some]) if before is None else (one[some], f[some])
     hashes, frequent = one, np.where(reached[unit], unit, -1)
+    past = None if before is None else before[one]  # was it in the bits, with all that it depends on?
     for k in range(2, LONGEST + 1):
         both = (frequent[:-1] >= 0) & (frequent[1:] >= 0)
         if k == 2:
@@ -154,8 +157,8 @@ def count_chunk(chunk: list[tuple[str, bytes, bytes]], now: Bits, before: Bits |
         if before is None:
             wanted = reached
         else:
-            old = before[hashes]
-            wanted = ~(old[frequent[first]] & old[frequent[first + 1]])
+            done = past[frequent[first]] & past[frequent[first + 1]]
+            wanted, past = ~done, done & before[longer]
         f = np.bincount(phrase[own[at]], minlength=len(keys))
         some = np.flatnonzero(wanted & (f > 0))
         if len(some):

@@ -112,6 +112,24 @@ def test_each_phrase_is_counted_for_one_circle(rows):
             assert c < least or h in got
 
 
+def test_a_bit_set_too_early_ends_no_phrase():
+    """The counter of "b c" is full from the start, by other phrases; "a b c" is active
+    only once the words are, so it is not done a circle after that bit, but after theirs."""
+    chunk, size = [("en", b"a b c. " * 9, b"")], 1 << 20
+    words, none = np.full(size // 8, 255, np.uint8), np.zeros(size // 8, np.uint8)
+    every, nothing = collocations.Bits(words), collocations.Bits(none)
+    found = [dict(zip(h.tolist(), f.tolist())) for h, f in collocations.count_chunk(chunk, every, nothing, True)]
+    assert [len(x) for x in found] == [3, 2, 1]  # words, pairs, "a b c"
+    early = none.copy()
+    for h in found[1]:
+        at = int(h) >> int(nothing.shift)
+        early[at >> 3] |= 1 << (at & 7)
+    got = {}
+    for h, f in collocations.count_chunk(chunk, every, collocations.Bits(early)):
+        got |= dict(zip(h.tolist(), f.tolist()))
+    assert got == found[1] | found[2]
+
+
 def test_counters():
     rng = np.random.Generator(np.random.PCG64(8))
     for most in (30, 1000):
