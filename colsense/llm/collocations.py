@@ -39,14 +39,13 @@ PAGES = "page int, slots binary, counts binary"
 #: Text that a task holds at once, in bytes.
 CHUNK = 1 << 23
 
+_BLANKS, _BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 #: Per byte: 0 in a word, 1 between words, 2 between pieces.
-_KIND = np.zeros(256, np.uint8)
-_KIND[list(b" \t")] = 1
-_KIND[list(b".,;:!?\n\x0b\x0c\r")] = 2
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_KIND = bytes(2 if x in _BREAKS else x in _BLANKS for x in range(256))
+_LOWER = bytes(range(256)).lower()
 _EDGE = re.compile(rb"[ \t.,;:!?\n\x0b\x0c\r]")
 _AHEAD = re.compile(rb"(?:[ \t]+[^ \t.,;:!?\n\x0b\x0c\r]+){0,%d}" % (LONGEST - 1))
+_RANDOM = np.random.Generator(np.random.PCG64(13)).integers(0, 1 << 64, 256, np.uint64)
 _STEP, _ONE, _UPPER = np.uint64(0x9E3779B97F4A7C15), np.uint64(1), np.uint64(1 << 63)
 
 
@@ -55,6 +54,17 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _hash_words(words: pa.Array) -> np.ndarray:
+    """Per word: the sum of its bytes' random numbers, each times a power of ``_STEP`` for its place."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+    starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+    power = np.full(int(sizes.max()), _STEP)
+    power[0] = 1
+    place = np.arange(len(data)) - np.repeat(starts, sizes)
+    return _mix(np.add.reduceat(_RANDOM[data] * np.cumprod(power)[place], starts))
+
+
 def cut(text: bytes, size: int) -> Iterator[tuple[bytes, bytes]]:
     """Parts of about ``size`` bytes that end where a word ends, each with the
     words after it that a phrase which starts in the part may reach into."""
@@ -100,28 +110,29 @@ def count_chunk(chunk: list[tuple[str, bytes, bytes]], now: Bits, before: Bits |
     words (k 0) with the number of words for each language."""
     langs = sorted({c[0] for c in chunk})
     code = {x: i for i, x in enumerate(langs)}
-    joined = np.frombuffer(b"\n".join(own + ahead for _, own, ahead in chunk), np.uint8)
+    joined = b"\n".join(own + ahead for _, own, ahead in chunk)
     ends_own = np.cumsum([0] + [len(own) + len(ahead) + 1 for _, own, ahead in chunk])
-    kind = _KIND[joined]
+    kind = np.frombuffer(joined.translate(_KIND) + b"\x02", np.uint8)
     inside = kind == 0
-    edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        edges = np.concatenate([[0], edges])
     starts, ends = edges[::2], edges[1::2]
     n = len(starts)
     if not n:
         return
     offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-    data = _LOWER[joined[inside]]
+    data = joined.translate(_LOWER, _BLANKS + _BREAKS)
     words = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
     names, word = words.dictionary, words.indices.to_numpy()
-    segment = np.searchsorted(ends_own, starts, "right") - 1
+    segment = np.repeat(np.arange(len(chunk)), np.diff(np.searchsorted(starts, ends_own)))
     own = starts < (ends_own[:-1] + np.array([len(c[1]) for c in chunk]))[segment]
-    piece = np.cumsum(kind == 2, dtype=np.int32)[starts]
-    together = piece[1:] == piece[:-1]
+    together = np.maximum.reduceat(kind, starts)[:-1] < 2
     del joined, kind, inside, edges, data
 
     lang = np.array([code[c[0]] for c in chunk])[segment]
     units, first, unit = _distinct(lang * len(names) + word, len(langs) * len(names))
-    of_word = np.fromiter((xxhash.xxh3_64_intdigest(x.as_buffer()) for x in names), np.uint64, len(names))
+    of_word = _hash_words(names)
     of_lang = np.array([xxhash.xxh3_64_intdigest(x.encode(), seed=1) for x in langs], np.uint64)
     one = _mix(of_word[units % len(names)] + of_lang[units // len(names)]) >> _ONE
 
