@@ -69,23 +69,38 @@ class Transducer:
         self.size_of = {r: len(t) for t, r in ranks.items()}
         self.max_len = max(map(len, ranks))
         self.max_states = max_states
-        self._prefixes = {t[:n] for t in ranks for n in range(1, len(t))}
-        self._fits: dict[tuple[int, int], bool] = {}
+        #: Beginnings of tokens, numbered from the empty one (0): (node, byte) -> node, and for each node
+        #: its token, its length and whether a longer token begins so.
+        self._child: dict[int, int] = {}
+        self._token, self._size, self._more = [None], [0], [True]
+        for t in sorted(ranks):
+            node = 0
+            for byte in t:
+                self._more[node] = True
+                at = node << 8 | byte
+                node = self._child.get(at)
+                if node is None:
+                    node = self._child[at] = len(self._token)
+                    self._token.append(ranks.get(t[:self._size[at >> 8] + 1]))
+                    self._size.append(self._size[at >> 8] + 1)
+                    self._more.append(False)
+        self._fits: dict[int, bool] = {}
         self._spines: dict[int, tuple[list[tuple[int, int]], list[tuple[int, int]]]] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self._ids: dict[tuple, int] = {}
-        self._states: list[tuple[tuple[bytes, int | None], ...]] = []
-        self._arcs: list[dict[int, tuple[int, int]]] = []
-        self.start = self._state(((b"", None),))
-
-    def _state(self, live: tuple[tuple[bytes, int | None], ...]) -> int:
+        self._ids: dict[tuple[int, ...], int] = {}
+        self._states: list[tuple[int, ...]] = []
+        self._arcs: dict[int, tuple[int, int]] = {}
+        self.start = self._state((0,))
+
+    def _state(self, live: tuple[int, ...]) -> int:
+        """The number, times 256, of the state with these live positions, each
+        ``node << 32 | token before it + 1``."""
         found = self._ids.get(live)
         if found is None:
-            found = self._ids[live] = len(self._states)
+            found = self._ids[live] = len(self._states) << 8
             self._states.append(live)
-            self._arcs.append({})
         return found
 
     def _edges(self, token: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -111,7 +126,7 @@ class Transducer:
         """No merge across the border of ``a`` and ``b`` comes before the merges
         that take its two sides away.  Of equal ranks the leftmost goes first:
         one inside ``a`` before the border, the border before one inside ``b``."""
-        found = self._fits.get((a, b))
+        found = self._fits.get(a << 32 | b)
         if found is None:
             rights, lefts, i, j, found = self._edges(a)[1], self._edges(b)[0], 0, 0, True
             while True:
@@ -128,21 +143,24 @@ class Transducer:
                     j += 1
             if len(self._fits) >= 2 * self.max_states:
                 self._fits.clear()
-            self._fits[(a, b)] = found
+            self._fits[a << 32 | b] = found
         return found
 
     def _arc(self, state: int, byte: int) -> tuple[int, int]:
         """The next state, and the token that ends after ``byte``."""
-        ended, live = None, []
-        for held, last in self._states[state]:
-            held += bytes([byte])
-            token = self.ranks.get(held)
-            if ended is None and token is not None and (last is None or self._fit(last, token)):
-                ended = token
-            if held in self._prefixes:
-                live.append((held, last))
-        live.append((b"", ended))
-        arc = self._arcs[state][byte] = (self._state(tuple(live)), ended)
+        ended, live, child = None, [], self._child
+        for position in self._states[state >> 8]:
+            node = child.get(position >> 32 << 8 | byte)
+            if node is not None:
+                last = position & 0xFFFFFFFF
+                if ended is None:
+                    token = self._token[node]
+                    if token is not None and (not last or self._fit(last - 1, token)):
+                        ended = token
+                if self._more[node]:
+                    live.append(node << 32 | last)
+        live.append(0 if ended is None else ended + 1)
+        arc = self._arcs[state | byte] = (self._state(tuple(live)), ended)
         return arc
 
     def encode(self, piece: bytes) -> list[int]:
@@ -156,7 +174,7 @@ class Transducer:
             self._reset()
         ended, state, arcs = [], self.start, self._arcs
         for byte in piece:
-            state, token = arcs[state].get(byte) or self._arc(state, byte)
+            state, token = arcs.get(state | byte) or self._arc(state, byte)
             ended.append(token)
         return self._walk_back(ended, len(ended))[::-1]
 
@@ -177,12 +195,12 @@ class Transducer:
         for chunk in chunks:
             for byte in chunk:
                 if len(self._states) > self.max_states:
-                    live = self._states[state]
+                    live = self._states[state >> 8]
                     self._reset()
                     state = self._state(live)
-                state, token = self._arcs[state].get(byte) or self._arc(state, byte)
+                state, token = self._arcs.get(state | byte) or self._arc(state, byte)
                 ended.append(token)
-                starts = {len(ended) - len(held) for held, _ in self._states[state]}
+                starts = {len(ended) - self._size[position >> 32] for position in self._states[state >> 8]}
                 while len(starts) > 1:  # the furthest goes back by one token, until all meet
                     end = max(starts)
                     starts.discard(end)
@@ -228,8 +246,14 @@ class Encoder:
 
     def _part(self, part: str) -> list[int]:
         out: list[int] = []
+        whole, encode = self.transducer.ranks.get, self.transducer.encode
         for piece in self.split.findall(part):
-            out += self.transducer.encode(piece.encode("utf-8"))
+            piece = piece.encode("utf-8")
+            token = whole(piece)
+            if token is None:
+                out += encode(piece)
+            else:
+                out.append(token)
         return out
 
     def encode(self, text: str) -> list[int]:
