@@ -59,6 +59,8 @@ DATETIME_FORMATS = [
     (rf"^{_MON} {_D}, {_Y4} {_D}:[0-9]{{2}} [AaPp][Mm]$", "MMMM d, yyyy h:mm a", False),
 ]
 
+# Every shape of the list has four digits in a row, or a year of two after a slash.
+_SOME_YEAR = r"[0-9]{4}|/[0-9]{2}"
 _WEEKDAY = r"^[A-Za-z]{3}, "
 _LONG_FRACTION = r"(\.[0-9]{6})[0-9]+"
 
@@ -84,7 +86,7 @@ def to_datetime(c, formats=None) -> Column:
         (d_shape, d_pat, _), (t_shape, t_pat, _) = DATETIME_FORMATS[0], DATETIME_FORMATS[1]
         return (F.when(c.rlike(d_shape), parse_ntz(c, d_pat, False))
                 .when(c.rlike(t_shape), parse_ntz(c, t_pat, False))
-                .otherwise(_to_datetime(c, DATETIME_FORMATS)))
+                .when(c.rlike(_SOME_YEAR), _to_datetime(c, DATETIME_FORMATS)))
     return _to_datetime(c, formats)
 
 

@@ -12,6 +12,10 @@ _SUFFIX = "(?Ud)" + ws(r"\s*(days?|d)\s*$")
 _PLAIN_DAYS = r"^-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"
 
 
+#: Texts of ASCII letters alone, lower-cased, that are a count of days ("ten", "tendays").
+DAY_LETTERS = [w + end for w in DAY_WORDS for end in ("", "d", "day", "days") if end or not w.endswith(("d", "day", "days"))]
+
+
 def duration_days(c) -> Column:
     """Days as DOUBLE, or null.  ``P<n>D``; ``<n>[ day|days|d]``; zero..ten."""
     words = F.create_map(*[x for k, v in DAY_WORDS.items() for x in (F.lit(k), F.lit(float(v)))])
@@ -22,7 +26,9 @@ def duration_days(c) -> Column:
     def days(s):
         iso = s.startswith("p") & s.endswith("d")
         iso_days = guarded_double(F.substr(s, F.lit(2), F.length(s) - 2))
-        return F.when(iso, iso_days).otherwise(let(F.regexp_replace(s, _SUFFIX, ""), plain))
+        # ``s`` is trimmed: without one of these ends there is no suffix to remove
+        suffix = s.endswith("d") | s.endswith("day") | s.endswith("days")
+        return F.when(iso, iso_days).otherwise(let(F.when(suffix, F.regexp_replace(s, _SUFFIX, "")).otherwise(s), plain))
 
     return let(let(norm(c), days), lambda d: F.when(~F.isnan(d), d))
 

@@ -39,8 +39,10 @@ _FLOAT_CAPTURE = "(?Ui)^" + WS_CLASS + "*(" + FLOAT_BODY + ")" + WS_CLASS + "*$"
 def guarded_double(c) -> Column:
     """float(x) or null.  Only text of Python's float grammar reaches the
     cast, which keeps out what Java accepts and Python does not (``5d``,
-    ``5f``, ``0x1p3``); no match extracts "" and the cast gives null."""
-    return F.regexp_extract(as_col(c), _FLOAT_CAPTURE, 1).try_cast("double")
+    ``5f``, ``0x1p3``), and spares other text a cast that fails: each would
+    throw and catch an exception."""
+    c = as_col(c)
+    return F.when(c.rlike(FLOAT_GUARD), F.regexp_extract(c, _FLOAT_CAPTURE, 1).try_cast("double"))
 
 
 def let(value: Column, body) -> Column:

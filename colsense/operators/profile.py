@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from colsense.functions.boolean import is_bool_token
 from colsense.functions.datetime import to_datetime
-from colsense.functions.duration import duration_days
+from colsense.functions.duration import DAY_LETTERS, duration_days
 from colsense.functions.missing import is_missing
 from colsense.functions.numeric import is_integral, numeric_parts
 from colsense.functions.text import frozen, let, memo_column, named
@@ -58,15 +58,17 @@ _PLAIN_DECIMAL = r"^[0-9]+(?:\.[0-9]+)?$"
 # boolean, missing spelling or day count can have this shape, so only the
 # date parse is left to run.
 _ISO_DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?:[ T][0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?)?$"
+# Letters alone (codes, flags, single words): no date, and no number but the
+# imaginary unit; a count of days only by name.
+_LETTERS = r"^[A-Za-z]+\z"
 
 
 def value_flags(v: Column, overrides: Mapping[str, str] | None = None,
                 numeric_options: Mapping | None = None) -> Column:
     """All per-value facts the decision needs, as one struct."""
-    missing = is_missing(v)
     ovr = _override_of(overrides or {}, v)
 
-    def general(num):
+    def general(num, missing):
         return F.struct(
             missing.alias("missing"),
             is_bool_token(v).alias("boolish"),
@@ -99,9 +101,22 @@ def value_flags(v: Column, overrides: Mapping[str, str] | None = None,
         to_datetime(v).isNotNull().alias("dt_ok"),
         ovr.alias("ovr_fail"),
     )
+    low, missing = F.lower(v), is_missing(v)
+    unit = low.isin("i", "j")
+    letters = F.struct(
+        missing.alias("missing"),
+        is_bool_token(v).alias("boolish"),
+        unit.alias("num_ok"),
+        unit.alias("cplx"),
+        F.lit(False).alias("integral"),
+        low.isin(DAY_LETTERS).alias("dur_ok"),
+        F.when(~missing, F.lit(False)).alias("dt_ok"),
+        ovr.alias("ovr_fail"),
+    )
     fast = v.rlike(_PLAIN_DECIMAL) & (F.length(v) <= 300)
-    return (F.when(fast, plain).when(v.rlike(_ISO_DATE), iso)
-            .otherwise(let(numeric_parts(v, **(numeric_options or {})), general)))
+    return (F.when(fast, plain).when(v.rlike(_ISO_DATE), iso).when(v.rlike(_LETTERS), letters)
+            .otherwise(let(is_missing(v), lambda missing: let(
+                numeric_parts(v, **(numeric_options or {})), lambda num: general(num, missing)))))
 
 
 def _flags_of(name: str, overrides, numeric_options) -> Column:
@@ -212,14 +227,17 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, group_cols: Sequen
         return [F.hll_sketch_agg(present, F.lit(SKETCH_LG)).alias("distinct_sketch")] if sketch else []
 
     if not exact:
-        # flags once per row in their own projection; the aggregates below
-        # read its fields instead of re-evaluating the cleaners
+        # flags once per row in their own projection.  Equal flags are counted
+        # first: rows then cost one counter and one sketch, not every aggregate,
+        # and the distinct counts add up, as equal values have equal flags
         flagged = lv.select(*gcols, "column", "value", w_s.alias("_ws"),
                             _flags_of("value", overrides, numeric_options).alias("f"))
-        out = flagged.groupBy(*gcols, "column").agg(
-            *_aggregates(F.col("f"), F.lit(1), F.col("_ws")),
-            F.approx_count_distinct(F.when(~F.col("f.missing"), F.col("value")), 0.01).alias("n_distinct"),
-            *sketches("value"))
+        distinct = F.approx_count_distinct(F.when(~F.col("f.missing"), F.col("value")), 0.01).alias("distinct")
+        alike = flagged.groupBy(*gcols, "column", "f").agg(
+            F.count(F.lit(1)).alias("cnt"), F.sum("_ws").alias("cnt_s"), distinct, *sketches("value"))
+        out = alike.groupBy(*gcols, "column").agg(
+            *_aggregates(F.col("f"), F.col("cnt"), F.col("cnt_s")), F.sum("distinct").alias("n_distinct"),
+            *([F.hll_union_agg("distinct_sketch").alias("distinct_sketch")] if sketch else []))
     else:
         is_long = F.coalesce(F.length(v) > LONG_VALUE, F.lit(False))
         key = F.when(is_long, F.sha2(v, 256)).otherwise(v)

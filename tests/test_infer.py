@@ -144,3 +144,23 @@ def test_columns_named_like_internal_fields(spark):
     assert got == {"column": "Int64", "key": "category", "value": "bool", "cnt": "float64"}
     from colsense import chunk_types
     assert chunk_types(df, "row_id", 10).count() == 12
+
+
+def test_approximate_profile_counts_equal_flags_first(spark):
+    """Rows are grouped by their flags before any other aggregate; the result is that of the exact profile."""
+    from colsense.operators.profile import PROFILE_FIELDS, profile
+    words = ["A", "N", "i", "J", "ten", "TenDays", "tend\n", "ten\n", "na", "Null", "yes", " no", "x1", "5 days", "2021-01-05", "$1.50", "7", None, ""]
+    df = spark.createDataFrame([(w, words[i // 3]) for i, w in enumerate(words * 3)], "a string, b string")
+    found = profile(df, exact=False)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [column" in plan and any(", f#" in x.split("]")[0] for x in plan.split("Aggregate [column")[1:])
+    fields = ["column", *PROFILE_FIELDS]
+    assert sorted(map(tuple, found.select(fields).collect()), key=str) == sorted(map(tuple, profile(df).select(fields).collect()), key=str)
+
+
+def test_text_that_is_no_number_reaches_no_cast(spark):
+    """A cast that fails throws: the guard comes before it."""
+    from colsense.functions.text import guarded_double
+    df = spark.createDataFrame([("x",), ("1e3",), (" 5 ",), (None,)], "v string").select(guarded_double("v").alias("d"))
+    assert "CASE WHEN" in df._jdf.queryExecution().analyzed().toString()
+    assert [r.d for r in df.collect()] == [None, 1000.0, 5.0, None]
