@@ -124,6 +124,18 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict]], s
     return df.mapInArrow(run, schema)
 
 
+def slices(texts: list[bytes | str | None], limit: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of ``texts`` of at most ``limit`` bytes or code points, or of one text."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size > limit and i > start:
+            yield start, i
+            start, size = i, len(t or "")
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def pa_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
