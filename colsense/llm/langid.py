@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colsense.llm.common import map_batches
+from colsense.llm.common import map_batches, own_worker, ship, slices
 
 SLOTS = 128
 UNKNOWN = "und"
@@ -106,16 +106,13 @@ def _bound(codes: np.ndarray, dim: int, n: int, seed: int) -> np.ndarray:
     return out
 
 
-def _pieces(texts: list[bytes | None], limit: int):
-    """Slices of at most ``limit`` bytes of text, or of one text."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or b"")
-        if size > limit and i > start:
-            yield start, i
-            start, size = i, len(t or b"")
-    if start < len(texts):
-        yield start, len(texts)
+def _vectors(codes: np.ndarray, counts: np.ndarray, dim: int, n: int, seed: int) -> np.ndarray:
+    """[row, dim]: the sums of the rows' n-grams.  The n-grams are bound a block at
+    a time; the sums are of whole numbers, so the blocks do not change them."""
+    out = np.zeros((len(counts), dim), counts.dtype)
+    for at in range(0, len(codes), 2048):
+        out += counts[:, at:at + 2048] @ _bound(codes[at:at + 2048], dim, n, seed)
+    return out
 
 
 def fit(docs: DataFrame, dim: int = 1024, n: int = 3, seed: int = 7) -> Profiles:
@@ -127,34 +124,31 @@ def fit(docs: DataFrame, dim: int = 1024, n: int = 3, seed: int = 7) -> Profiles
     ``dim`` numbers for each language comes to the driver, whatever the input.
     No training rows: no languages, and ``predict`` says ``und`` throughout.
     """
-    def run(batch: pa.RecordBatch):
-        texts, langs = batch.column("__text").to_pylist(), batch.column("__lang").to_pylist()
-        names = sorted(set(langs))
-        sums = np.zeros((len(names), dim), np.int64)
-        for a, b in _pieces(texts, 2_000_000):
-            codes, counts = _counts(texts[a:b], n)
-            if len(codes):
-                row = np.searchsorted(names, langs[a:b])
-                by_lang = np.zeros((len(names), len(codes)))
-                np.add.at(by_lang, row, counts)
-                sums += np.rint(by_lang @ _bound(codes, dim, n, seed)).astype(np.int64)
-        yield {"lang": names, "part": [s.tobytes() for s in sums]}
-
-    rows = docs.select(F.col("text").cast("binary").alias("__text"), F.col("lang").alias("__lang")).where(
-        "__text is not null and __lang is not null")
-    parts = map_batches(rows, run, "lang string, part binary", piece_rows=4096)
-
-    def add(batches):
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for lang, part in zip(batch.column("lang").to_pylist(), batch.column("part").to_pylist()):
-                v = np.frombuffer(part, np.int64)
-                sums[lang] = sums[lang] + v if lang in sums else v
-        for lang, v in sums.items():
+    ship(docs.sparkSession)
+
+    def run(batches):
+        own_worker(__name__)
+        total: dict[str, np.ndarray] = {}
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                texts, langs = batch.column("__text").to_pylist(), batch.column("__lang").to_pylist()
+                names = sorted(set(langs))
+                for a, b in slices(texts, 1_000_000):
+                    codes, counts = _counts(texts[a:b], n)
+                    if len(codes):
+                        by_lang = np.zeros((len(names), len(codes)))
+                        np.add.at(by_lang, np.searchsorted(names, langs[a:b]), counts)
+                        for lang, v in zip(names, np.rint(_vectors(codes, by_lang, dim, n, seed)).astype(np.int64)):
+                            total[lang] = total[lang] + v if lang in total else v
+        for lang, v in total.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * dim), pa.array(range(dim), pa.int32()), pa.array(v)], ["lang", "slot", "value"])
 
-    total = (parts.mapInArrow(add, "lang string, slot int, value long")
+    rows = docs.select(F.col("text").cast("binary").alias("__text"), F.col("lang").alias("__lang")).where(
+        "__text is not null and __lang is not null")
+    # one Python pass: a second one in the stage would keep a second worker for each core
+    total = (rows.mapInArrow(run, "lang string, slot int, value long")
              .groupBy("lang", "slot").agg(F.sum("value").alias("value")).toPandas())
     langs = tuple(sorted(total["lang"].unique()))
     sums = np.zeros((len(langs), dim), np.int64)
@@ -178,12 +172,12 @@ def predict(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...] = ("doc_i
     def run(batch: pa.RecordBatch):
         texts = batch.column("__text").to_pylist()
         pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        for a, b in _pieces(texts, 2_000_000) if langs else ():
+        for a, b in slices(texts, 1_000_000) if langs else ():
             codes, counts = _counts(texts[a:b], n)
             if not len(codes):
                 continue
             counts[:, codes == 0] = 0  # boundaries alone: no letter
-            vectors = counts @ _bound(codes, dim, n, seed)
+            vectors = _vectors(codes, counts, dim, n, seed)
             norms = np.linalg.norm(vectors, axis=1)
             cos = (vectors @ unit.T) / np.maximum(norms, 1e-30)[:, None]
             best = cos.argmax(axis=1)

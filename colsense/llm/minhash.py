@@ -62,7 +62,7 @@ class _Words(dict):
     """64-bit hash of each word met, up to a bounded number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 150_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
