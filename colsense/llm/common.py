@@ -26,8 +26,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back.
+def written(df: DataFrame, label: str, partition_by: str | None = None, codec: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back.  Tables that
+    hold whole texts may name a ``codec`` that packs them closer.
 
     This cuts the lineage with files that every executor can read, so a lost
     executor costs the tasks of one stage, and values that depend on how rows
@@ -36,7 +37,7 @@ def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataF
     spark = df.sparkSession
     path = scratch_path(spark, label)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
+    writer.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

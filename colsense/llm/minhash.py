@@ -46,6 +46,8 @@ MISS = 3e-7
 TILE = 1024
 #: Nodes of a tile that has full sets.
 SET_TILE = 256
+#: Bits of a ``sieve``: 8 MB for every task.
+SIEVE = 1 << 26
 
 
 @lru_cache(maxsize=2)
@@ -146,7 +148,22 @@ def profile(docs: DataFrame, words: int = 5, seed: int = 11, others: tuple[str,
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary"),
                        other.alias("other"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return written(map_batches(rows, run, f"{kinds}, node binary, n_shingles long, bands array<long>, low binary"), "minhash")
+    return written(map_batches(rows, run, f"{kinds}, node binary, n_shingles long, bands array<long>, low binary"), "minhash",
+                   codec="zstd")
+
+
+def sieve(rows: DataFrame, found: DataFrame, column: str) -> DataFrame:
+    """The rows of ``rows`` whose ``column`` may be in ``found``: all that are,
+    and a few others.  An exact join that follows shuffles only these, not the
+    whole of a large table.  The hashed values of ``found`` are ``SIEVE`` bits in
+    pages of 4 KB; with far more values more other rows pass, none is lost."""
+    slot = F.pmod(F.xxhash64(column), F.lit(SIEVE))
+    pages = (found.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("__page"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("__bits")))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = (F.bitmap_bucket_number(slot) == F.col("__page")) & (F.bit_get(byte, (at % 8).cast("int")) == 1)
+    return rows.join(F.broadcast(pages), met, "left_semi")
 
 
 def _sets(rows: DataFrame, words: int) -> DataFrame:
@@ -179,12 +196,14 @@ def split_groups(now: DataFrame, turn: int, size: int) -> DataFrame:
                                         F.ceil((F.col("m") - F.col("top.m")) / size).alias("minor_blocks")))
 
 
-def tiles(now: DataFrame, split: DataFrame, turn: int, everything: bool) -> DataFrame:
-    """``key``, ``role`` and the columns of ``now`` but ``band``: the rows of the
-    bands in ``split``, dealt to tiles.  A band of one block is one tile and all
-    its rows meet (role 0).  Of a larger one, ``everything`` lets each node
-    outside the largest component (role 1) meet every node (role 2), block by
-    block; else each block is a tile, with the band's hub in all of them."""
+def tiles(now: DataFrame, split: DataFrame, known: DataFrame, turn: int, everything: bool) -> DataFrame:
+    """``key``, ``role``, ``group`` and the columns of ``known(id, ...)``: the rows
+    of ``now(band, id, group)`` in the bands of ``split``, dealt to tiles; what is
+    known of a node joins last, so that no other join carries it for each band.
+    A band of one block is one tile and all its rows meet (role 0).  Of a larger
+    one, ``everything`` lets each node outside the largest component (role 1)
+    meet every node (role 2), block by block; else each block is a tile, with
+    the band's hub in all of them."""
     block = lambda of: F.pmod(F.xxhash64("id", F.lit(turn)), F.col(of)).cast("int")
     every = lambda of: F.sequence(F.lit(0), (F.col(of) - 1).cast("int"))
     at = lambda role, i, j: F.struct(F.lit(role).alias("role"), i.alias("i"), j.alias("j"))
@@ -198,8 +217,8 @@ def tiles(now: DataFrame, split: DataFrame, turn: int, everything: bool) -> Data
         many = F.when(F.col("id") == F.col("hub"), F.transform(every("blocks"), lambda i: at(0, i, zero))
                       ).otherwise(F.array(at(0, block("blocks"), zero)))
     dealt = now.join(split, "band").withColumn("tile", F.explode(F.when(F.col("blocks") == 1, one).otherwise(many)))
-    return dealt.select(F.xxhash64("band", "tile.i", "tile.j").alias("key"), F.col("tile.role").alias("role"),
-                        *(c for c in now.columns if c != "band"))
+    return dealt.select(F.xxhash64("band", "tile.i", "tile.j").alias("key"), F.col("tile.role").alias("role"), "id",
+                        "group").join(known, "id")
 
 
 def _whole_tiles(batches: Iterator[pa.RecordBatch], size: int = 1 << 22) -> Iterator[pa.Table]:
@@ -311,12 +330,19 @@ def components(rows: DataFrame, nodes: DataFrame, words: int = 5, percent: int =
     """(node, label) for the nodes of a ``profile`` that are linked with another;
     nodes alone have no row here.  ``nodes(node, id)`` names each by the smallest
     of its rows; both columns of the result are such numbers."""
+    # most bands are met once: rows of the others go on by 40 bits of them, then exactly
+    every = rows.select(F.col("row").alias("id"), F.explode("bands").alias("band"))
+    short = F.shiftright("band", 24).alias("short")
+    twice = written(every.groupBy(short).agg(F.count("*").alias("m")).where("m > 1").select("short"), "minhash-twice")
+    own = sieve(every.withColumn("short", short), twice, "short").select("id", "band")
     # one row speaks for each node; rows with equal sets have equal bands
-    own = written(rows.select(F.col("row").alias("id"), "bands").join(nodes.select("id"), "id")
-                  .select("id", F.explode("bands").alias("band")), "minhash-bands")
+    own = written(own.join(nodes.select("id"), "id"), "minhash-bands")
     shared = own.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
+    open_ = written(own.join(shared, "band"), "minhash-open")
+    ids = written(open_.select("id").distinct(), "minhash-ids")
     known = rows.select(F.col("row").alias("id"), F.col("n_shingles").alias("n"), "low")
-    open_ = written(own.join(shared, "band").join(known, "id"), "minhash-open")
+    known = written(sieve(known, ids, "id").join(ids, "id"), "minhash-known")
+
     def grouped(rows: DataFrame, labels: DataFrame) -> DataFrame:
         return (rows.join(labels.select(F.col("node").alias("id"), "label"), "id", "left")
                 .withColumn("group", F.coalesce("label", "id")).drop("label"))
@@ -329,13 +355,14 @@ def components(rows: DataFrame, nodes: DataFrame, words: int = 5, percent: int =
     for turn in range(3):
         now = open_.withColumn("group", F.col("id")) if labels is None else grouped(open_, labels)
         split = written(split_groups(now, turn, TILE), "minhash-split")
-        pairs = written(partners(tiles(now, split, turn, False), percent), "minhash-pairs")
+        pairs = written(partners(tiles(now, split, known, turn, False), percent), "minhash-pairs")
         large = split.where("blocks > 1").select("band")
         if sets is None:
             # a node without a partner here has none later, but for the bands of several tiles
             chosen = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(now.join(large, "band").select("id"))
                              .distinct(), "minhash-chosen")
-            sets = written(_sets(rows.select(F.col("row").alias("id"), "text").join(chosen, "id"), words), "minhash-sets")
+            texts = sieve(rows.select(F.col("row").alias("id"), "text"), chosen, "id")
+            sets = written(_sets(texts.join(chosen, "id"), words), "minhash-sets")
         found = written(confirm(pairs, sets, percent), "minhash-edges")
         labels = min_labels(found) if labels is None else joined(labels, found)
         open_ = open_.join(split.select("band"), "band")
@@ -343,11 +370,13 @@ def components(rows: DataFrame, nodes: DataFrame, words: int = 5, percent: int =
             break  # in a band of one tile the last step compares all that is left
     now = grouped(open_, labels)
     split = written(split_groups(now, 3, TILE), "minhash-split")
-    forest = written(joining(tiles(now, split, 3, True), percent), "minhash-forest")
+    forest = written(joining(tiles(now, split, known, 3, True), percent), "minhash-forest")
     families = min_labels(forest).select(F.col("node").alias("id"), F.col("label").alias("band"))
-    now = written(grouped(families.join(known, "id"), labels), "minhash-families")
+    now = written(grouped(families, labels), "minhash-families")
     split = written(split_groups(now, 4, SET_TILE), "minhash-split")
-    found = written(joining(tiles(now.join(sets, "id"), split, 4, True), percent), "minhash-edges")
+    apart = written(now.join(split.select("band"), "band").select("id").distinct(), "minhash-apart")
+    known = sieve(known, apart, "id").join(sieve(sets, apart, "id"), "id")
+    found = written(joining(tiles(now, split, known, 4, True), percent), "minhash-edges")
     return joined(labels, found)
 
 
