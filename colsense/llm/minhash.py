@@ -339,9 +339,8 @@ def components(rows: DataFrame, nodes: DataFrame, words: int = 5, percent: int =
     own = written(own.join(nodes.select("id"), "id"), "minhash-bands")
     shared = own.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
     open_ = written(own.join(shared, "band"), "minhash-open")
-    ids = written(open_.select("id").distinct(), "minhash-ids")
     known = rows.select(F.col("row").alias("id"), F.col("n_shingles").alias("n"), "low")
-    known = written(sieve(known, ids, "id").join(ids, "id"), "minhash-known")
+    known = written(sieve(known, open_, "id").join(open_.select("id"), "id", "left_semi"), "minhash-known")
 
     def grouped(rows: DataFrame, labels: DataFrame) -> DataFrame:
         return (rows.join(labels.select(F.col("node").alias("id"), "label"), "id", "left")
@@ -374,8 +373,7 @@ def components(rows: DataFrame, nodes: DataFrame, words: int = 5, percent: int =
     families = min_labels(forest).select(F.col("node").alias("id"), F.col("label").alias("band"))
     now = written(grouped(families, labels), "minhash-families")
     split = written(split_groups(now, 4, SET_TILE), "minhash-split")
-    apart = written(now.join(split.select("band"), "band").select("id").distinct(), "minhash-apart")
-    known = sieve(known, apart, "id").join(sieve(sets, apart, "id"), "id")
+    known = known.join(sieve(sets, now.join(split, "band"), "id"), "id")
     found = written(joining(tiles(now, split, known, 4, True), percent), "minhash-edges")
     return joined(labels, found)
 
