@@ -1,6 +1,7 @@
 """Collocations by dynamic itemset counting.
 
-The texts are dealt into shards, and each step scans one shard, in a circle.
+The texts are split into words once and dealt into shards, a table of chunks with
+their words numbered; each step scans one shard, in a circle.
 Words are counted from the first step on.  A longer phrase is counted from the
 step after both phrases that it has one word less than (without its last word,
 without its first) reached the threshold, so several lengths are counted in one
@@ -14,18 +15,20 @@ step and as it was a circle ago: a phrase is active if both subphrases, and all
 that these depend on, are in the first, and done if they are in the second.  (A
 subphrase alone may be in the bits too early, by others that share its counter.)
 When no phrase is active any more, one scan counts those exactly that are in the
-bits, by their words.
+bits, by their words: chunks send them side by side, one row for each part.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,13 @@ from colsense.llm.common import pa_schema, ship, written
 
 LONGEST = 4
 COUNTS = "lang string, k int, phrase binary, f long"
+#: A chunk in words, packed by Zstandard.
+WORDS = ("shard int, langs array<string>, names binary, sizes binary, of_unit binary, lang binary, unit binary, own binary, "
+         "together binary, n_bytes long")
+#: Exact counts on their way: phrases side by side.
+FOUND = "part int, langs array<string>, lang binary, k binary, sizes binary, phrases binary, f binary"
+#: Phrases, in bytes, that an exact scan holds before it hands them over.
+HELD = 24 << 20
 #: Counters of a page, numbered by 16 bits.
 PAGE = 1 << 16
 PAGES = "page int, slots binary, counts binary"
@@ -103,11 +113,18 @@ class Bits:
         return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 != 0
 
 
-def count_chunk(chunk: list[tuple[str, bytes, bytes]], now: Bits, before: Bits | None, words_too: bool = False) -> Iterator:
-    """With ``before``: (hashes, counts) of the phrases of ``chunk`` that are
-    active by ``now`` and not done by ``before``.  Without it: columns of
-    ``COUNTS`` for the phrases that are in ``now`` themselves, and a row without
-    words (k 0) with the number of words for each language."""
+class Words(NamedTuple):
+    """A chunk split into words.  A unit is a word of a language."""
+    langs: list[str]
+    names: pa.Array
+    of_unit: np.ndarray  # its word, as a place in ``names``
+    lang: np.ndarray  # of each unit, as a place in ``langs``
+    unit: np.ndarray  # of each word of the text
+    own: np.ndarray  # whether a phrase that starts here is counted here
+    together: np.ndarray  # whether the next word is in the same piece
+
+
+def split(chunk: list[tuple[str, bytes, bytes]]) -> Words | None:
     langs = sorted({c[0] for c in chunk})
     code = {x: i for i, x in enumerate(langs)}
     joined = b"\n".join(own + ahead for _, own, ahead in chunk)
@@ -120,7 +137,7 @@ def count_chunk(chunk: list[tuple[str, bytes, bytes]], now: Bits, before: Bits |
     starts, ends = edges[::2], edges[1::2]
     n = len(starts)
     if not n:
-        return
+        return None
     offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
     data = joined.translate(_LOWER, _BLANKS + _BREAKS)
     words = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
@@ -129,53 +146,102 @@ def count_chunk(chunk: list[tuple[str, bytes, bytes]], now: Bits, before: Bits |
     own = starts < (ends_own[:-1] + np.array([len(c[1]) for c in chunk]))[segment]
     together = np.maximum.reduceat(kind, starts)[:-1] < 2
     del joined, kind, inside, edges, data
-
     lang = np.array([code[c[0]] for c in chunk])[segment]
-    units, first, unit = _distinct(lang * len(names) + word, len(langs) * len(names))
-    of_word = _hash_words(names)
+    units, _, unit = _distinct(lang * len(names) + word, len(langs) * len(names))
+    return Words(langs, names, units % len(names), units // len(names), unit, own, together)
+
+
+def to_row(words: Words) -> tuple:
+    """``WORDS`` without the shard."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    offsets = np.frombuffer(words.names.buffers()[1], np.int64)[words.names.offset:words.names.offset + len(words.names) + 1]
+    data = memoryview(words.names.buffers()[2])[offsets[0]:offsets[-1]]
+    return (words.langs, pack(data), *(pack(x.astype(np.int32).tobytes()) for x in (np.diff(offsets), words.of_unit, words.lang, words.unit)),
+            *(pack(np.packbits(x).tobytes()) for x in (words.own, words.together)))
+
+
+def from_row(langs: list[str], *packed: bytes) -> Words:
+    data, *rest = map(zstandard.ZstdDecompressor().decompress, packed)
+    sizes, of_unit, lang, unit = (np.frombuffer(x, np.int32).astype(np.int64) for x in rest[:4])
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    names = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    own, together = (np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(rest[4:], (len(unit), len(unit) - 1)))
+    return Words(langs, names, of_unit, lang, unit, own, together)
+
+
+def count_chunk(chunk: list[tuple[str, bytes, bytes]], now: Bits, before: Bits | None, words_too: bool = False) -> Iterator:
+    """``count_words`` of texts."""
+    words = split(chunk)
+    if words is None:
+        return
+    for found in count_words(words, now, before, words_too):
+        if before is None:
+            found.pop("part")
+        yield found
+
+
+def count_words(words: Words, now: Bits, before: Bits | None, words_too: bool = False) -> Iterator:
+    """With ``before``: (hashes in order, counts) of the phrases that are active by
+    ``now`` and not done by ``before``.  Without it: columns of ``COUNTS`` and the
+    hashes (``part``) of the phrases that are in ``now`` themselves, and a row
+    without words (k 0) with the number of words for each language.
+
+    Phrases are hashed where they occur, and only those to be counted are sorted."""
+    langs, names, of_unit, lang, unit, own, together = words
     of_lang = np.array([xxhash.xxh3_64_intdigest(x.encode(), seed=1) for x in langs], np.uint64)
-    one = _mix(of_word[units % len(names)] + of_lang[units // len(names)]) >> _ONE
+    one = _mix(_hash_words(names)[of_unit] + of_lang[lang]) >> _ONE
 
-    def columns(k: int, at: np.ndarray, f: np.ndarray) -> dict:
-        parts = [names.take(pa.array(word[at + j])) for j in range(k)]
+    def columns(k: int, at: np.ndarray, f: np.ndarray, part: np.ndarray) -> dict:
+        parts = [names.take(pa.array(of_unit[unit[at + j]])) for j in range(k)]
         phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if k > 1 else parts[0]
-        return {"lang": pa.array(langs).take(pa.array(lang[at])), "k": np.full(len(at), k), "phrase": phrase.cast(pa.binary()), "f": f}
+        return {"lang": pa.array(langs).take(pa.array(lang[unit[at]])), "k": np.full(len(at), k), "phrase": phrase.cast(pa.binary()), "f": f, "part": part}
 
     reached = now[one]
     if before is None:
-        total = np.bincount(lang[own], minlength=len(langs))
-        yield {"lang": pa.array(langs), "k": np.zeros(len(langs), int), "phrase": pa.array([b""] * len(langs)), "f": total}
+        total = np.bincount(lang[unit[own]], minlength=len(langs))
+        yield {"lang": pa.array(langs), "k": np.zeros(len(langs), int), "phrase": pa.array([b""] * len(langs)), "f": total, "part": of_lang}
     if before is None or words_too:
-        f = np.bincount(unit[own], minlength=len(units))
+        f = np.bincount(unit[own], minlength=len(one))
         some = np.flatnonzero((f > 0) & reached if before is None else f)
-        yield columns(1, first[some], f[some]) if before is None else (one[some], f[some])
-    hashes, frequent = one, np.where(reached[unit], unit, -1)
-    past = None if before is None else before[one]  # was it in the bits, with all that it depends on?
+        if before is None:
+            first = np.zeros(len(one), np.int64)
+            first[unit[::-1]] = np.arange(len(unit) - 1, -1, -1)
+            yield columns(1, first[some], f[some], one[some])
+        else:
+            order = np.argsort(one[some])
+            yield one[some][order], f[some][order]
+    last = one[unit]
+    hashes, frequent, ident = last, reached[unit], unit
+    past = None if before is None else before[one][unit]  # was it in the bits, with all that it depends on?
     for k in range(2, LONGEST + 1):
-        both = (frequent[:-1] >= 0) & (frequent[1:] >= 0)
+        both = frequent[:-1] & frequent[1:]
         if k == 2:
             both &= together
         at = np.flatnonzero(both)
-        at = at[at + k <= n]
         if not len(at):
             return
-        keys, first, phrase = np.unique(frequent[at] * len(units) + unit[at + k - 1], return_index=True, return_inverse=True)
-        first = at[first]
-        longer = _mix(hashes[frequent[first]] * _STEP + one[unit[first + k - 1]]) >> _ONE
+        longer = _mix(hashes[at] * _STEP + last[at + k - 1]) >> _ONE
         if k == LONGEST:  # the upper half: nothing depends on these bits, so the circle may end before they do
             longer |= _UPPER
         reached = now[longer]
         if before is None:
-            wanted = reached
+            at, longer, reached = at[reached], longer[reached], True
+            _, first, phrase = np.unique(ident[at] * len(one) + unit[at + k - 1], return_index=True, return_inverse=True)
+            f = np.bincount(phrase[own[at]], minlength=len(first))
+            some = np.flatnonzero(f)
+            if len(some):
+                yield columns(k, at[first[some]], f[some], longer[first[some]])
+            ident = np.zeros(len(both), np.int64)
+            ident[at] = phrase
         else:
-            done = past[frequent[first]] & past[frequent[first + 1]]
-            wanted, past = ~done, done & before[longer]
-        f = np.bincount(phrase[own[at]], minlength=len(keys))
-        some = np.flatnonzero(wanted & (f > 0))
-        if len(some):
-            yield columns(k, first[some], f[some]) if before is None else (longer[some], f[some])
-        hashes, frequent = longer, np.full(n, -1)
-        frequent[at] = np.where(reached[phrase], phrase, -1)
+            done = past[at] & past[at + 1]
+            some = ~done & own[at]
+            if some.any():
+                yield np.unique(longer[some], return_counts=True)
+            past = np.zeros(len(both), bool)
+            past[at[done]] = before[longer[done]]
+        hashes, frequent = np.zeros(len(both), np.uint64), np.zeros(len(both), bool)
+        hashes[at], frequent[at] = longer, reached
 
 
 def _distinct(keys: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,8 +271,9 @@ class Counters:
         own[at] = np.minimum(own[at] + np.minimum(counts, self.most).astype(self.kind), self.most)
 
     def add_slots(self, slots: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(slots)
-        slots, counts = slots[order], counts[order]
+        if (slots[1:] < slots[:-1]).any():
+            order = np.argsort(slots)
+            slots, counts = slots[order], counts[order]
         new = np.flatnonzero(np.diff(slots, prepend=-1))
         slots, counts = slots[new], np.add.reduceat(counts, new) if len(new) else counts
         pages = slots // PAGE
@@ -240,6 +307,51 @@ def _merged(rows: DataFrame, least: int) -> DataFrame:
     return rows.repartition("page").mapInArrow(run, PAGES)
 
 
+def _dealt(found: list[dict], parts: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of ``FOUND``, one for each part: phrases go to parts by their hash."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    langs = sorted({x for c in found for x in c["lang"].unique().to_pylist()})
+    lang = np.concatenate([pc.index_in(c["lang"], pa.array(langs, pa.string())).to_numpy() for c in found]).astype(np.int32)
+    k, f = (np.concatenate([c[x] for c in found]) for x in ("k", "f"))
+    part = ((np.concatenate([c["part"] for c in found]) & ~_UPPER) >> np.uint64(31)) * np.uint64(parts) >> np.uint64(32)
+    order = np.argsort(part, kind="stable")
+    phrases = pa.concat_arrays([c["phrase"].cast(pa.large_binary()) for c in found]).take(pa.array(order))
+    offsets = np.frombuffer(phrases.buffers()[1], np.int64)[phrases.offset:phrases.offset + len(phrases) + 1]
+    data, sizes, rows = memoryview(phrases.buffers()[2]), np.diff(offsets).astype(np.int32), []
+    lang, k, f = lang[order], k[order].astype(np.uint8), f[order].astype(np.int64)
+    some, cuts = np.unique(part[order], return_index=True)
+    for p, a, b in zip(some.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+        rows.append((p, langs, *(pack(x[a:b].tobytes()) for x in (lang, k, sizes)), pack(data[offsets[a]:offsets[b]]), pack(f[a:b].tobytes())))
+        if len(rows) == 1024 or b == len(order):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
+            rows = []
+
+
+def _totals(rows: list[dict], least: int) -> Iterator[dict]:
+    """Columns of ``COUNTS``: the sums of rows of ``FOUND``, by the bytes of the phrases."""
+    if not rows:
+        return
+    unpack = zstandard.ZstdDecompressor().decompress
+    langs = sorted({x for r in rows for x in r["langs"]})
+    code = {x: i for i, x in enumerate(langs)}
+    lang = np.concatenate([np.array([code[x] for x in r["langs"]])[np.frombuffer(unpack(r["lang"]), np.int32)] for r in rows])
+    k = np.concatenate([np.frombuffer(unpack(r["k"]), np.uint8) for r in rows])
+    f = np.concatenate([np.frombuffer(unpack(r["f"]), np.int64) for r in rows])
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.frombuffer(unpack(r["sizes"]), np.int32) for r in rows]), dtype=np.int64)])
+    data = b"".join(unpack(r.pop("phrases")) for r in rows)
+    phrases = pa.Array.from_buffers(pa.large_binary(), len(k), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    key = (phrases.indices.to_numpy().astype(np.int64) * len(langs) + lang) * (LONGEST + 1) + k
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    f, key = np.add.reduceat(f[order], first), key[first]
+    k = key % (LONGEST + 1)
+    some = (f >= least) | (k == 0)
+    key, k = key[some] // (LONGEST + 1), k[some]
+    yield {"lang": pa.array(langs).take(pa.array(key % len(langs))), "k": k,
+           "phrase": phrases.dictionary.take(pa.array(key // len(langs))).cast(pa.binary()), "f": f[some]}
+
+
 def frequent_phrases(docs: DataFrame, least: int = 30, shards: int = 4, table_bits: int = 26) -> tuple[DataFrame, DataFrame]:
     """((lang, k, phrase as bytes, f) of the phrases of 1 to 4 words with
     ``f >= least``, (lang, n) with n all words).
@@ -258,9 +370,26 @@ def frequent_phrases(docs: DataFrame, least: int = 30, shards: int = 4, table_bi
     """
     spark = docs.sparkSession
     ship(spark)
-    dealt = written(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"),
-                                (F.monotonically_increasing_id() % shards).cast("int").alias("shard")), "dic-shards",
-                    partition_by="shard")
+    as_row = pa_schema(spark, WORDS)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        at = TaskContext.get().partitionId()
+        for chunk in _chunks(batches):
+            if (words := split(chunk)) is not None:
+                row = (at % shards, *to_row(words), sum(len(c[1]) for c in chunk))
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, as_row)], schema=as_row)
+                at += 1
+
+    dealt = written(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
+                    .mapInArrow(deal, WORDS), "dic-shards", partition_by="shard")
+    packed = dealt.drop("shard", "n_bytes")
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from_row(*(c[i].as_py() for c in batch.columns))
+
     table_bits = max(table_bits, 16)
     bits, counters, step = [np.zeros((1 << table_bits) // 8, np.uint8)], None, 0
     half = len(bits[0]) // 2
@@ -271,12 +400,12 @@ def frequent_phrases(docs: DataFrame, least: int = 30, shards: int = 4, table_bi
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, before = map(Bits, state.value)
             held = Counters(least)
-            for chunk in _chunks(batches):
-                for hashes, f in count_chunk(chunk, now, before, words_too):
+            for words in opened(batches):
+                for hashes, f in count_words(words, now, before, words_too):
                     held.add_slots((hashes >> now.shift).astype(np.int64), f)
             yield from held.batches()
 
-        found = dealt.where(F.col("shard") == step % shards).select("lang", "text").mapInArrow(scan, PAGES)
+        found = dealt.where(F.col("shard") == step % shards).select(*packed.columns).mapInArrow(scan, PAGES)
         counters = written(_merged(found if counters is None else counters.unionByName(found), least), "dic-counters")
 
         def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,15 +426,27 @@ def frequent_phrases(docs: DataFrame, least: int = 30, shards: int = 4, table_bi
 
     last, out = spark.sparkContext.broadcast(bits[step]), pa_schema(spark, COUNTS)
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = Bits(last.value)
-        for chunk in _chunks(batches):
-            for c in count_chunk(chunk, now, None):
-                for a in range(0, len(c["k"]), 50000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[f.name][a:a + 50000], f.type) for f in out], schema=out)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(dealt.agg(F.sum("n_bytes")).first()[0] or 0) // CHUNK))
+    as_found = pa_schema(spark, FOUND)
 
-    counted = written(dealt.select("lang", "text").mapInArrow(exact, COUNTS).groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
-                      .where((F.col("f") >= least) | (F.col("k") == 0)), "dic-frequent")
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size = Bits(last.value), [], 0
+        for words in opened(batches):
+            for c in count_words(words, now, None):
+                held.append(c)
+                size += c["phrase"].nbytes
+            if size >= HELD:
+                yield from _dealt(held, parts, as_found)
+                held, size = [], 0
+        if held:
+            yield from _dealt(held, parts, as_found)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in _totals([r for batch in batches for r in batch.to_pylist()], least):
+            for a in range(0, len(c["k"]), 50000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[f.name][a:a + 50000], f.type) for f in out], schema=out)
+
+    counted = written(packed.mapInArrow(exact, FOUND).repartitionById(parts, "part").mapInArrow(total, COUNTS), "dic-frequent")
     return counted.where("k > 0"), counted.where("k = 0 AND f > 0").select("lang", F.col("f").alias("n"))
 
 
